@@ -124,11 +124,13 @@ def _votes(rules: Mapping[str, tuple[str, float | None, float | None]]) -> list[
     ]
 
 
-def fit_rules(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85) -> tuple[float, list[dict[int, float]]]:
+def fit_rules(
+    patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, trust: float = 20.0
+) -> tuple[float, list[dict[int, float]]]:
     """EM for a two-class model with independent rules, from counts of vote patterns.
 
     A class has its probability, and each rule its probabilities of voting good, bad or abstaining in each class.
-    Starts from rules that seldom vote against the truth and often abstain. Returns the log odds of the prior
+    Starts from rules that seldom vote against the truth, and counts that start as ``trust`` documents. Returns the log odds of the prior
     and, per rule, the log likelihood ratio of each vote: a vote for good never counts against a document, nor one
     for bad in its favour, and to abstain is no evidence.
     """
@@ -136,10 +138,16 @@ def fit_rules(patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50,
         return math.log(prior / (1 - prior)), []
     k = len(patterns[0][0])
     votes = (-1, 0, 1)
-    like = [[{-1: 0.01, 0: 0.19, 1: 0.8}, {-1: 0.3, 0: 0.6, 1: 0.1}] for _ in range(k)]
+    start = {
+        1: [{-1: 0.01, 0: 0.14, 1: 0.85}, {-1: 0.01, 0: 0.84, 1: 0.15}],
+        -1: [{-1: 0.02, 0: 0.97, 1: 0.01}, {-1: 0.25, 0: 0.74, 1: 0.01}],
+        0: [{-1: 0.02, 0: 0.38, 1: 0.6}, {-1: 0.25, 0: 0.6, 1: 0.15}],
+    }
+    begin = [start[sum({v[j] for v, _ in patterns} - {0})] for j in range(k)]
+    like = begin
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        sums = [[dict.fromkeys(votes, 0.5), dict.fromkeys(votes, 0.5)] for _ in range(k)]
+        sums = [[{v: trust * p for v, p in side.items()} for side in pair] for pair in begin]
         good = 0.0
         for vote, n in patterns:
             odds = math.log(prior / (1 - prior)) + sum(math.log(like[j][0][v] / like[j][1][v]) for j, v in enumerate(vote))
