@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoalgrid.llm import decontaminate, mixing, quality, secrets, simhash
+from shoalgrid.llm import decontaminate, mixing, quality, secrets, simhash, suffix_dedup
 from shoalgrid.llm.store import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.CONTAINED_SQL, "op5_mix": mixing.MIX_SQL}
+    return {"op1_suffix_dedup": suffix_dedup.REPEATS_SQL, "op3_decontaminate": decontaminate.CONTAINED_SQL, "op5_mix": mixing.MIX_SQL}
