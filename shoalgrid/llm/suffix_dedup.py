@@ -314,16 +314,20 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
 
 REPEATS_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, CAST(len(x) / 2 AS BIGINT))) AS i FROM d WHERE len(x) > 0),
-s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM p WHERE 2 * i + 200 <= len(x)),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM s),
-b AS (SELECT p.doc_id, p.i, substr(p.x, 2 * p.i + 1, 2) AS c,
-             coalesce(max(CASE WHEN r.again THEN p.i END) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
-      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.i = r.i),
-e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM b),
-g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
-             coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(d.x) / 2 AS BIGINT) AS n_bytes, coalesce(g.n_removed, 0) AS n_removed, coalesce(g.n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(g.kept, ''))) AS kept_sha256
-FROM d LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id
+s AS (SELECT doc_id, unnest(range(0, CAST(len(x) / 2 - 99 AS BIGINT))) AS i,
+             unnest(list_transform(range(0, CAST(len(x) / 2 - 99 AS BIGINT)), lambda i : md5_number(substr(x, 2 * i + 1, 200)))) AS k
+      FROM d WHERE len(x) >= 200),
+f AS (SELECT k, min(struct_pack(doc_id := doc_id, i := i)) AS first FROM s GROUP BY k HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.k = f.k WHERE s.doc_id <> f.first.doc_id OR s.i <> f.first.i),
+o AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 AS joins FROM r),
+n AS (SELECT doc_id, i, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+g AS (SELECT doc_id, span, min(i) AS a, max(i) + 100 AS b FROM n GROUP BY doc_id, span),
+h AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM g),
+t AS (SELECT d.doc_id, any_value(d.x) AS x, sum(h.b - h.a) AS n_removed, count(*) AS n_spans, max(h.b) AS upto,
+             string_agg(substr(d.x, 2 * h.upto + 1, 2 * (h.a - h.upto)), '' ORDER BY h.a) AS kept
+      FROM d JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(len(d.x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(t.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN t.doc_id IS NULL THEN d.x ELSE t.kept || substr(t.x, 2 * t.upto + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
