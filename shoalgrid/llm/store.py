@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation.
 
-    The shuffle files behind it have no reader any more; asking the JVM to collect its garbage lets Spark's
-    cleaner delete them now rather than at some later time.
+    free: the shuffle files behind ``df`` are large and have no reader any more; once Spark's listeners have seen the
+    write, collecting the JVM's garbage lets its cleaner delete them now rather than at some later time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    for wait in (0.5, 1.0, 1.0) if free else ():
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

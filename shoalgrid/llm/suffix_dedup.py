@@ -78,34 +78,28 @@ def units(buf: np.ndarray, ends: np.ndarray, threshold: int) -> dict[str, np.nda
 
 
 def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
-    """The next digit for units of one text: aligned blocks of BLOCK starts before the unit's place.
+    """The next digit for units: aligned blocks of BLOCK starts before a unit's place.
 
-    key: of the string that all starts of a whole block share; rest: of what the block's own starts cover; start,
-    n, slot (of its first start, counted down to 0) and digit (n by BLOCK, 32 bits of each whole suffix prefix).
+    unit (index), key: of the string that all starts of a whole block share; rest: of what the block's own starts
+    cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK, 32 bits of each whole string).
     """
     h32, h64 = gram_hashes(buf)
-    pieces: dict[str, list] = {k: [] for k in ("key", "rest", "start", "n", "slot", "digit")}
-    wide = threshold - GRAM + 1
-    tail = threshold - 64
-    for s, m in zip(start.tolist(), n.tolist()):
-        place = s + m - 1 + int(np.argmin(h32[s + m - 1 : s + m - 1 + wide] & ~_PLACE))
-        offsets = place - np.arange(s, s + m)
-        group = offsets // BLOCK
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        count = np.diff(np.append(first, m))
-        begin = s + first
-        core = place - group[first] * BLOCK
-        size = threshold - BLOCK + 1
-        pieces["key"].append(_pair(_pair(h64[core], h64[core + size - 64]), (place - core).astype(np.uint64)))
-        whole = _pair(h64[s : s + m], h64[s + tail : s + tail + m])
-        digit = np.zeros((len(first), BLOCK), dtype="<u4")
-        digit[np.repeat(np.arange(len(first)), count), offsets % BLOCK] = whole >> np.uint64(32)
-        pieces["rest"].append(_pair(_span_hash(h64, begin, count + (threshold - 1)), (offsets[first] % BLOCK).astype(np.uint64)))
-        pieces["start"].append(begin)
-        pieces["n"].append(count)
-        pieces["slot"].append(offsets[first] % BLOCK)
-        pieces["digit"].append(digit)
-    return {k: np.concatenate(v) for k, v in pieces.items()}
+    last = start + n - 1
+    place = last + np.argmin(h32[last[:, None] + np.arange(threshold - GRAM + 1)] & ~_PLACE, axis=1)
+    unit = np.repeat(np.arange(len(n)), n)
+    each = np.arange(len(unit)) + np.repeat(start - (np.cumsum(n) - n), n)
+    offset = place[unit] - each
+    group, slot = offset // BLOCK, offset % BLOCK
+    new = np.ones(len(unit), dtype=bool)
+    new[1:] = (unit[1:] != unit[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(unit)))
+    core = place[unit[first]] - group[first] * BLOCK
+    key = _pair(_pair(h64[core], h64[core + threshold - BLOCK + 1 - 64]), (place[unit[first]] - core).astype(np.uint64))
+    digit = np.zeros((len(first), BLOCK), dtype="<u4")
+    digit[np.repeat(np.arange(len(first)), count), slot] = _pair(h64[each], h64[each + threshold - 64]) >> np.uint64(32)
+    rest = _pair(_span_hash(h64, each[first], count + (threshold - 1)), slot[first].astype(np.uint64))
+    return {"unit": unit[first], "key": key, "rest": rest, "start": each[first], "n": count, "slot": slot[first], "digit": digit}
 
 
 def removed_mask(size: int, kept: np.ndarray, threshold: int) -> np.ndarray:
@@ -197,32 +191,41 @@ def _first_of_each(rows: DataFrame) -> DataFrame:
 
 
 def _arrow_blocks(threshold: int):
+    """(doc, text, ats) batches to (key, rest, doc, at, digit); at packs start, slot and n."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["key", "rest", "doc", "at", "digit"]
+        def emit(held: list[tuple[int, bytes, np.ndarray, int]]) -> pa.RecordBatch:
+            """held: doc, a stretch of its text, units there (packed) and where the stretch starts."""
+            lengths = np.array([len(t) for _, t, _, _ in held])
+            begin = np.cumsum(lengths) - lengths
+            which = np.repeat(np.arange(len(held)), [len(u) for _, _, u, _ in held])
+            shift = (np.array([a for _, _, _, a in held]) - begin)[which]
+            packed = np.concatenate([u for _, _, u, _ in held])
+            found = blocks(np.frombuffer(b"".join(t for _, t, _, _ in held), np.uint8), (packed >> 8) - shift, packed & 255, threshold)
+            at = (found["start"] + shift[found["unit"]]) << 8 | found["slot"] << 4 | found["n"]
+            doc = np.array([d for d, _, _, _ in held], dtype=np.int64)[which[found["unit"]]]
+            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
+            columns = [pa.array(_signed(found["key"])), pa.array(_signed(found["rest"])), pa.array(doc), pa.array(at), digit.cast(pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc", "at", "digit"])
+
+        held, size = [], 0
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in names}
             for doc, text, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 text, packed = text.as_py(), np.sort(packed.values.to_numpy())
                 start, n = packed >> 8, packed & 255
-                # Runs of units that lie together are cut out, so that a long text is not hashed for a few places.
-                run_of = np.cumsum(np.append(0, start[1:] > (start + n)[:-1] + 4 * threshold))
-                for r in range(int(run_of[-1]) + 1):
-                    own = np.flatnonzero(run_of == r)
-                    a = int(start[own[0]])
-                    b = int(start[own[-1]] + n[own[-1]]) + threshold - 1
-                    found = blocks(np.frombuffer(text[a:b], np.uint8), start[own] - a, n[own], threshold)
-                    rows["key"].append(_signed(found["key"]))
-                    rows["rest"].append(_signed(found["rest"]))
-                    rows["doc"].append(np.full(len(found["n"]), doc, dtype=np.int64))
-                    rows["at"].append((found["start"] + a) << 8 | found["slot"] << 4 | found["n"])
-                    rows["digit"].append(found["digit"])
-            if rows["key"]:
-                digit = np.concatenate(rows.pop("digit"))
-                columns = [pa.array(np.concatenate(v)) for v in rows.values()]
-                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCK), len(digit), [None, pa.py_buffer(digit.tobytes())])
-                yield pa.RecordBatch.from_arrays([*columns, fixed.cast(pa.binary())], names=names)
+                # Units that lie near each other are cut out together.
+                cuts = np.flatnonzero(start[1:] > (start + n)[:-1] + 2 * threshold) + 1
+                for own in np.split(np.arange(len(packed)), cuts):
+                    a, b = int(start[own[0]]), int(start[own[-1]] + n[own[-1]]) + threshold - 1
+                    held.append((doc, text[a:b], packed[own], a))
+                    size += b - a
+                    if size >= PIECE // 2:
+                        yield emit(held)
+                        held, size = [], 0
+        if held:
+            yield emit(held)
 
     return run
 
@@ -278,10 +281,11 @@ def first_suffixes(texts: DataFrame, threshold: int = 100) -> DataFrame:
     on to the next digit.
     """
     top = texts.filter(F.length("text") >= threshold).mapInArrow(_arrow_units(threshold), "key long, rest long, doc long, at long")
-    top = written(_first_of_each(top).select("doc", "at", "open"), "units")
+    top = written(_first_of_each(top).select("doc", "at", "open"), "units", free=True)
     parts = _with_places(texts, top.filter("open"), "inner").select("doc", "text", "ats")
     parts = parts.mapInArrow(_arrow_blocks(threshold), "key long, rest long, doc long, at long, digit binary")
-    parts = written(_first_of_each(parts).select("key", "doc", "at", "digit", "open"), "blocks")
+    only = [F.when(F.col("open"), F.col(c)).alias(c) for c in ("key", "digit")]
+    parts = written(_first_of_each(parts).select("doc", "at", "open", *only), "blocks", free=True)
     single = parts.filter("open").select("key", "doc", "at", "digit").mapInArrow(_arrow_suffixes, "key long, digit long, doc long, at long")
     single = single.groupBy("key", "digit").agg(F.min(F.struct("doc", "at")).alias("first")).select("first.doc", "first.at")
     start, n = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(15).cast("long"))
