@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 from shoalgrid.llm.store import written
 
 #: Labelled documents, about, that the chain is fitted on.
-TRAIN_DOCS = 12_000
-FEATURES = 1 << 17
+TRAIN_DOCS = 20_000
+FEATURES = 1 << 16
+#: Partitions that the bounded sample is fitted in.
+TRAIN_PARTITIONS = 6
 FOLDS = 2
 #: Category: SQL over the labels, in the order of the chain.
 CATEGORIES: Mapping[str, str] = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
+#: Lengths of the word beginnings that count as terms.
+STARTS = (5, 7)
+
+
 def terms(text: Column) -> Column:
-    """Distinct words of a text in lower case, and their first four and five letters."""
+    """Distinct words of a text in lower case, and their beginnings, each as often as words begin so."""
     words = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
     words = F.array_distinct(F.filter(words, lambda w: w != ""))
     starts = [
-        F.array_distinct(F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k))))
-        for k in (4, 5)
+        F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.lit(f"{k}:"), F.substring(w, 1, k)))
+        for k in STARTS
     ]
     return F.concat(words, *starts)
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    tf = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=FEATURES, binary=True)
+    tf = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=FEATURES)
     return tf.transform(docs.withColumn("terms", terms(F.col("text")))).drop("text", "terms")
 
 
@@ -59,7 +65,7 @@ class Chain:
         kinds = sorted(r[0] for r in rows.select(f"y_{name}").distinct().collect())
         if len(kinds) < 2:
             return float(kinds[0]) if kinds else 0.0
-        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=25, regParam=0.01, standardization=False)
+        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=30, regParam=0.001, elasticNetParam=1.0, standardization=False)
         return lr.fit(cls._assembled(rows, before))
 
     @classmethod
@@ -94,7 +100,7 @@ def classify(
     labels: DataFrame,
     categories: Mapping[str, str] = CATEGORIES,
     train_docs: int = TRAIN_DOCS,
-    threshold: float = 0.5,
+    threshold: float = 0.4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -115,7 +121,7 @@ def classify(
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     marked = marked.filter(place < min(1.0, train_docs / max(1, n)))
     learned = rows.join(marked, rows.doc_id == marked.id).drop("id").filter("text IS NOT NULL")
-    chain = Chain.fit(written(_features(learned), "toxicity"), names)
+    chain = Chain.fit(written(_features(learned).coalesce(TRAIN_PARTITIONS), "toxicity"), names)
     out = chain.predict(_features(rows.withColumn("blank", ~F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)))))
     out = out.select("doc_id", *[F.when(F.col("blank"), 0.0).otherwise(F.col(f"p_{name}")).alias(f"p_{name}") for name in names])
     return out.withColumn("toxic", F.col(f"p_{names[-1]}") >= threshold)
