@@ -1,0 +1,253 @@
+"""Queries over connected cells, masks that need them, models and whole jobs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoalgrid.functions import qa, reflectance
+from shoalgrid.operators import components, focal, metrics, models, robust, spatial, temporal
+from shoalgrid.plans import jobs
+from shoalgrid.plans.contract_cells import REFLECTED, reflected
+from shoalgrid.plans.contract_maps import maps
+from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, sampled
+from shoalgrid.plans.fixtures import SIDE, view
+from shoalgrid.plans.registry import query, r6
+
+_M = "m AS (SELECT r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997 AND z < -14)"
+
+
+def _reach(src: str, out: str, side: str = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1") -> str:
+    return f"""{out}(node, r, c) AS (SELECT node, r, c FROM {src} UNION SELECT x.node, b.r, b.c FROM {out} x JOIN {src} a ON a.r = x.r AND a.c = x.c JOIN {src} b ON {side}),
+      {out}_l AS (SELECT r, c, min(node) AS label FROM {out} GROUP BY r, c)"""
+
+
+_FOUR = "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
+
+
+def mask97(spark, sf):
+    return maps(spark, sf).filter("year = 1997 AND z < -14").select("r", "c")
+
+
+def _sql(body: str) -> str:
+    from shoalgrid.plans.fixtures import with_views
+
+    return with_views("WITH " + body, "depth").replace("WITH fx_depth", "WITH RECURSIVE fx_depth", 1)
+
+
+_REACHED = f"""{_M}, {_reach('m', 'q')}"""
+
+
+@query("label_components", _sql(f"{_REACHED} SELECT r, c, label FROM q_l"))
+def _(spark, sf):
+    return components.label(mask97(spark, sf))
+
+
+@query("label_components_4", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT r, c, label FROM q_l"))
+def _(spark, sf):
+    return components.label(mask97(spark, sf), connectivity=4)
+
+
+@query("drop_small_components", _sql(f"{_REACHED}, n AS (SELECT label, count(*) AS n FROM q_l GROUP BY label) SELECT r, c, q_l.label FROM q_l JOIN n ON q_l.label = n.label WHERE n >= 6"))
+def _(spark, sf):
+    return components.drop_small(components.label(mask97(spark, sf)), 6)
+
+
+@query("largest_component", _sql(f"{_REACHED}, n AS (SELECT label FROM q_l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT r, c, q_l.label FROM q_l JOIN n ON q_l.label = n.label"))
+def _(spark, sf):
+    return components.largest(components.label(mask97(spark, sf)))
+
+
+@query("component_patches", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT a.label, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1, sum(4 - (SELECT count(*) FROM q_l b WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1))::BIGINT AS edges FROM q_l a GROUP BY a.label"))
+def _(spark, sf):
+    return components.patches(components.label(mask97(spark, sf), connectivity=4), 100.0)
+
+
+_GROUND = "s0 AS (SELECT r, c FROM fx_depth WHERE year = 1997 AND z < -8), m AS (SELECT r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997 AND NOT z < -8)"
+
+
+@query("fill_holes", _sql(f"{_GROUND}, {_reach('m', 'q', _FOUR)}, o AS (SELECT DISTINCT label FROM q_l WHERE r IN (0, 31) OR c IN (0, 31)) SELECT r, c FROM s0 UNION SELECT r, c FROM q_l WHERE label NOT IN (SELECT label FROM o)"))
+def _(spark, sf):
+    grid = maps(spark, sf).filter("year = 1997")
+    return components.fill_holes(grid.filter("z < -8").select("r", "c"), grid, (0, 0, SIDE - 1, SIDE - 1))
+
+
+@query(
+    "sieve",
+    _sql(
+        f"""v AS (SELECT r, c, CASE WHEN z < -14 THEN 1 ELSE 0 END AS v, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997),
+        q(node, r, c) AS (SELECT node, r, c FROM v UNION SELECT x.node, b.r, b.c FROM q x JOIN v a ON a.r = x.r AND a.c = x.c JOIN v b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v = b.v),
+        l AS (SELECT v.r, v.c, v.v, min(q.node) AS label FROM q JOIN v ON q.r = v.r AND q.c = v.c GROUP BY ALL), n AS (SELECT label, any_value(v) AS v, count(*) AS n FROM l GROUP BY label),
+        k AS (SELECT a.label, arg_max(b.v, struct_pack(n := nb.n, k := -b.label)) AS v FROM l a JOIN n na ON a.label = na.label JOIN l b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v <> b.v JOIN n nb ON nb.label = b.label WHERE na.n < 4 GROUP BY a.label)
+        SELECT l.r, l.c, coalesce(k.v, l.v) AS v FROM l LEFT JOIN k ON l.label = k.label"""
+    ),
+)
+def _(spark, sf):
+    m = maps(spark, sf).filter("year = 1997").select("r", "c", F.when(F.col("z") < -14, 1).otherwise(0).alias("v"))
+    return components.sieve(m, "v", 4)
+
+
+@query("slope_filter", None)
+def _(spark, sf):
+    m = maps(spark, sf).filter("year = 1997")
+    flat = focal.horn_slope(m, "z").filter("slope <= 40")
+    return components.drop_small(components.label(flat), 10, keep_one=False).select("r", "c")
+
+
+@query("water_mask_hybrid", None)
+def _(spark, sf):
+    return jobs.hybrid_water(reflected(spark, sf).filter("scene_id = 1"), (0, 0, SIDE - 1, SIDE - 1))
+
+
+@query("combined_mask", f"WITH {REFLECTED} SELECT scene_id, r, c FROM s WHERE scl = 6 AND blue > 0.05::DOUBLE", "spectra")
+def _(spark, sf):
+    s = reflected(spark, sf)
+    shallow = s.filter("blue > 0.05").select("scene_id", "r", "c")
+    return s.filter("scl = 6").join(shallow, ["scene_id", "r", "c"], "left_semi").select("scene_id", "r", "c")
+
+
+_OSW = "WITH s AS (SELECT scene_id, r, c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, nir_dn/10000.0::DOUBLE AS nir FROM fx_spectra WHERE scene_id = 1)"
+
+
+@query("osw_nir_percentile", f"{_OSW}, k AS (SELECT quantile_cont(nir, 0.4) AS k FROM s), t AS (SELECT avg(blue) + 2 * stddev_pop(blue) AS tb, avg(green) + 2 * stddev_pop(green) AS tg FROM s, k WHERE nir <= k) SELECT r, c FROM s, t WHERE blue > tb OR green > tg", "spectra")
+def _(spark, sf):
+    return jobs.shallow_by_deep(reflected(spark, sf).filter("scene_id = 1"), jobs.nir_percentile(0.4)).select("r", "c")
+
+
+@query("osw_knee", None)
+def _(spark, sf):
+    return jobs.shallow_by_deep(reflected(spark, sf).filter("scene_id = 1"), jobs.nir_knee).select("r", "c")
+
+
+@query("osw_cluster", None)
+def _(spark, sf):
+    return models.cluster_deep_water(reflected(spark, sf).filter("scene_id = 1"), ["blue", "green", "nir"]).select("r", "c", "deep")
+
+
+@query("osw_stats", f"{_OSW} SELECT count(*) AS n, round(avg(blue), 6) + 0.0 AS blue_mean, round(stddev_pop(blue), 6) + 0.0 AS blue_std, round(avg(blue) + 2 * stddev_pop(blue), 6) + 0.0 AS blue_limit FROM s", "spectra")
+def _(spark, sf):
+    s = reflected(spark, sf).filter("scene_id = 1")
+    return s.agg(F.count("*").alias("n"), r6(F.avg("blue")).alias("blue_mean"), r6(F.stddev_pop("blue")).alias("blue_std"), r6(F.avg("blue") + 2 * F.stddev_pop("blue")).alias("blue_limit"))
+
+
+_LYZ = """WITH s AS (SELECT f.r, f.c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, d.z FROM fx_spectra f JOIN fx_depth d ON d.r = f.r AND d.c = f.c WHERE f.scene_id = 1 AND d.year = 1997),
+  k AS (SELECT CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(blue, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(blue, 0.01), 0.001) END AS rb, CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(green, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(green, 0.01), 0.001) END AS rg FROM s),
+  x AS (SELECT r, c, z, ln(greatest(blue - rb, 1e-4::DOUBLE)) - 0.75::DOUBLE * ln(greatest(green - rg, 1e-4::DOUBLE)) AS dii, (green - rg) * exp(0.24::DOUBLE * abs(z)) AS bottom FROM s CROSS JOIN k)"""
+
+
+def lyzenga(spark, sf):
+    s = reflected(spark, sf).filter("scene_id = 1").join(maps(spark, sf).filter("year = 1997").select("r", "c", "z"), ["r", "c"])
+    return robust.lyzenga(s, F.col("z"))
+
+
+@query("dii_bottom_reflectance", f"{_LYZ} SELECT r, c, round(dii, 6) + 0.0 AS dii, round(bottom, 6) + 0.0 AS bottom FROM x", "spectra", "depth")
+def _(spark, sf):
+    return lyzenga(spark, sf).select("r", "c", r6("dii").alias("dii"), r6("bottom").alias("bottom"))
+
+
+@query("benthic_rule", f"{_LYZ} SELECT r, c FROM x WHERE round(dii, 6) < (SELECT round(median(dii), 6) FROM x) AND abs(z) < 20", "spectra", "depth")
+def _(spark, sf):
+    x = lyzenga(spark, sf)
+    middle = x.agg(F.round(F.median("dii"), 6).alias("m"))
+    return x.crossJoin(F.broadcast(middle)).filter((F.round("dii", 6) < F.col("m")) & (F.abs("z") < 20)).select("r", "c")
+
+
+# Models
+
+_LINE = f"WITH {_SAMPLED}, l AS (SELECT regr_slope(depth, nir) AS b, regr_intercept(depth, nir) AS a FROM x)"
+
+
+@query("predict_cells_linear", f"{_LINE} SELECT s.scene_id, s.r, s.c, round(a + b * s.nir, 4) + 0.0 AS y_pred FROM s CROSS JOIN l", "points", "spectra")
+def _(spark, sf):
+    line = sampled(spark, sf).agg(F.regr_slope("depth", "nir").alias("b"), F.regr_intercept("depth", "nir").alias("a"))
+    return reflected(spark, sf).crossJoin(F.broadcast(line)).select("scene_id", "r", "c", (F.round(F.col("a") + F.col("b") * F.col("nir"), 4) + 0.0).alias("y_pred"))
+
+
+@query("evaluate_map", f"{_LINE}, p AS (SELECT depth AS t, a + b * nir AS p FROM x CROSS JOIN l) SELECT count(*) AS n, round(sqrt(avg(power(p - t, 2))), 4) + 0.0 AS rmse, round(avg(abs(p - t)), 4) + 0.0 AS mae FROM p", "points", "spectra")
+def _(spark, sf):
+    x = sampled(spark, sf)
+    line = x.agg(F.regr_slope("depth", "nir").alias("b"), F.regr_intercept("depth", "nir").alias("a"))
+    p = x.crossJoin(F.broadcast(line)).select(F.col("depth").alias("y_true"), (F.col("a") + F.col("b") * F.col("nir")).alias("y_pred"))
+    return metrics.regression_metrics(p).select("n", (F.round("rmse", 4) + 0.0).alias("rmse"), (F.round("mae", 4) + 0.0).alias("mae"))
+
+
+@query("fit_models", None)
+def _(spark, sf):
+    x = sampled(spark, sf)
+    return models.leaderboard(models.fit(x, _FEATURES), x)
+
+
+@query("predict_cells_forest", None)
+def _(spark, sf):
+    model = models.fit(sampled(spark, sf), _FEATURES, ["forest"])["forest"]
+    return models.predict(model, reflected(spark, sf), _FEATURES).select("scene_id", "r", "c", "y_pred")
+
+
+@query("spatial_folds", f"WITH {_SAMPLED} SELECT point_id, CAST((floor(r / 8.0) * 1000003 + floor(c / 8.0))::BIGINT % 5 AS INT) AS fold FROM x", "points", "spectra")
+def _(spark, sf):
+    return models.tile_folds(sampled(spark, sf)).select("point_id", "fold")
+
+
+@query("spatial_folds_kmeans", None)
+def _(spark, sf):
+    return models.kmeans_folds(sampled(spark, sf)).select("point_id", "fold")
+
+
+@query("grid_search", None)
+def _(spark, sf):
+    best = models.grid_search(sampled(spark, sf), _FEATURES).bestModel
+    x = sampled(spark, sf)
+    return x.select("point_id", F.lit(float(best.getRegParam())).alias("reg_param"))
+
+
+@query("huber_depth_correction", None)
+def _(spark, sf):
+    from shoalgrid.plans.contract_points import pairs
+
+    return models.huber_correction(pairs(spark, sf), maps(spark, sf)).select("year", "r", "c", "z")
+
+
+@query("bias_shift", "WITH b AS (SELECT avg(CAST(y_true AS DOUBLE) - CAST(y_pred AS DOUBLE)) AS b FROM fx_pairs) SELECT year, r, c, round(z + b, 6) + 0.0 AS z FROM fx_depth CROSS JOIN b", "depth", "pairs")
+def _(spark, sf):
+    from shoalgrid.plans.contract_points import pairs
+
+    return robust.bias_shift(pairs(spark, sf), maps(spark, sf)).select("year", "r", "c", r6("z").alias("z"))
+
+
+@query("global_year_matrix", "SELECT year, r, c, CAST(year AS DOUBLE) AS year_feature FROM fx_depth WHERE year IN (SELECT year FROM fx_depth GROUP BY year HAVING count(*) >= 10)", "depth")
+def _(spark, sf):
+    return models.year_matrix(maps(spark, sf)).select("year", "r", "c", "year_feature")
+
+
+@query("ensemble_fusion", "SELECT r, c, round(median(z), 6) + 0.0 AS z FROM fx_depth GROUP BY r, c", "depth")
+def _(spark, sf):
+    return temporal.fused_depth(maps(spark, sf), "median").select("r", "c", r6("z").alias("z"))
+
+
+@query("quantile_sigma", f"WITH {_SAMPLED} SELECT point_id, round((quantile_cont(depth, 0.84) OVER w - quantile_cont(depth, 0.16) OVER w) / 2, 6) + 0.0 AS sigma FROM x WINDOW w AS (PARTITION BY CAST(floor(nir / 0.01) AS INT))", "points", "spectra")
+def _(spark, sf):
+    return jobs.quantile_sigma(sampled(spark, sf), "nir", "depth", 0.01).select("point_id", r6("sigma").alias("sigma"))
+
+
+# Whole jobs
+
+@query("job_single_scene_depth", None)
+def _(spark, sf):
+    return jobs.single_scene_depth(reflected(spark, sf).filter("scene_id = 1"), view(spark, sf, "points").withColumn("depth", F.col("depth").cast("double")))
+
+
+@query("job_coastal_change", None)
+def _(spark, sf):
+    return jobs.coastal_change(maps(spark, sf), 100.0)
+
+
+@query("job_scene_prep", "SELECT scene_id, r, c, round(CASE WHEN blue_dn > 0 THEN blue_dn*0.0000275::DOUBLE - 0.2::DOUBLE END, 6) + 0.0 AS blue FROM fx_spectra WHERE scl NOT IN (0,1,3,8,9,10,11)", "spectra")
+def _(spark, sf):
+    x = view(spark, sf, "spectra").filter(~qa.scl_invalid(F.col("scl")))
+    return x.select("scene_id", "r", "c", r6(reflectance.landsat_reflectance(F.col("blue_dn"))).alias("blue"))
+
+
+@query("job_post_aggregate", None)
+def _(spark, sf):
+    from shoalgrid.plans.contract_maps import scene_depths
+
+    return spatial.remove_positive(temporal.aggregate_scenes(scene_depths(spark, sf), "weighted_median"))
