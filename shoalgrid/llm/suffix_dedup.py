@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.store import written
@@ -17,6 +17,9 @@ GRAM = 32
 BLOCK = 8
 #: Bytes hashed at a time; a longer text is cut into pieces (the order found does not depend on the cuts).
 PIECE = 1 << 20
+#: A null id inside, and the number of ids that are broadcast at most (8 bytes each).
+NO_ID = -(1 << 63)
+BROADCAST_ROWS = 500_000
 _PLACE = np.uint64((1 << 21) - 1)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -123,31 +126,31 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _arrow_units(threshold: int):
-    """(doc, text) batches to (key, rest, doc, at): units, of equal ones in a piece the first; at packs start and n."""
+    """(doc, twin, text) batches to (key, rest, doc, twin, at): units, of equal ones in a piece the first; at packs start and n."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def emit(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            lengths = np.array([len(t) for _, _, t in held])
+        def emit(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+            lengths = np.array([len(t) for *_, t in held])
             begin = np.cumsum(lengths) - lengths
-            found = units(np.frombuffer(b"".join(t for _, _, t in held), np.uint8), np.repeat(begin + lengths, lengths), threshold)
+            found = units(np.frombuffer(b"".join(t for *_, t in held), np.uint8), np.repeat(begin + lengths, lengths), threshold)
             which = np.searchsorted(begin, found["start"], side="right") - 1
-            doc = np.array([d for d, _, _ in held], dtype=np.int64)[which]
-            at = (found["start"] - begin[which] + np.array([a for _, a, _ in held])[which]) << 8 | found["n"]
-            order = np.lexsort((at, doc, found["rest"], found["key"]))
+            doc, twin, shift = (np.array([x[i] for x in held], dtype=np.int64)[which] for i in range(3))
+            at = (found["start"] - begin[which] + shift) << 8 | found["n"]
+            order = np.lexsort((at, twin, doc, found["rest"], found["key"]))
             key, rest = found["key"][order], found["rest"][order]
             first = np.append(True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]))[: len(key)]
-            columns = [_signed(key[first]), _signed(rest[first]), doc[order][first], at[order][first]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rest", "doc", "at"])
+            columns = [_signed(key[first]), _signed(rest[first]), *(x[order][first] for x in (doc, twin, at))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rest", "doc", "twin", "at"])
 
         held, size = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, twin, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
                 for a in range(0, max(0, len(text) - threshold + 1), PIECE):
                     part = text[a : a + PIECE + threshold - 1]
-                    held.append((doc, a, part))
+                    held.append((doc, twin, a, part))
                     size += len(part)
                     if size >= PIECE:
                         yield emit(held)
@@ -159,7 +162,7 @@ def _arrow_units(threshold: int):
 
 
 def _arrow_first(batches: Iterator) -> Iterator:
-    """Rows sorted by key, rest, doc, at: the first of each (key, rest), and whether its key has another rest (``open``)."""
+    """Rows sorted by key, rest, doc, twin, at: the first of each (key, rest), and whether its key has another rest (``open``)."""
     import pyarrow as pa
 
     last = None  # the newest first row, its key and rest, and whether the one before has its key
@@ -186,40 +189,40 @@ def _arrow_first(batches: Iterator) -> Iterator:
 def _first_of_each(rows: DataFrame) -> DataFrame:
     """One radix pass: rows go to the task of their key and are sorted there; groups stream by, whatever their size."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    order = rows.repartition("key").sortWithinPartitions("key", "rest", "doc", "at")
+    order = rows.repartition("key").sortWithinPartitions("key", "rest", "doc", "twin", "at")
     return order.mapInArrow(_arrow_first, f"{schema}, open boolean")
 
 
 def _arrow_blocks(threshold: int):
-    """(doc, text, ats) batches to (key, rest, doc, at, digit); at packs start, slot and n."""
+    """(doc, twin, text, ats) batches to (key, rest, doc, twin, at, digit); at packs start, slot and n."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def emit(held: list[tuple[int, bytes, np.ndarray, int]]) -> pa.RecordBatch:
-            """held: doc, a stretch of its text, units there (packed) and where the stretch starts."""
-            lengths = np.array([len(t) for _, t, _, _ in held])
+        def emit(held: list[tuple[int, int, bytes, np.ndarray, int]]) -> pa.RecordBatch:
+            """held: doc, twin, a stretch of the text, units there (packed) and where the stretch starts."""
+            lengths = np.array([len(x[2]) for x in held])
             begin = np.cumsum(lengths) - lengths
-            which = np.repeat(np.arange(len(held)), [len(u) for _, _, u, _ in held])
-            shift = (np.array([a for _, _, _, a in held]) - begin)[which]
-            packed = np.concatenate([u for _, _, u, _ in held])
-            found = blocks(np.frombuffer(b"".join(t for _, t, _, _ in held), np.uint8), (packed >> 8) - shift, packed & 255, threshold)
+            which = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+            shift = (np.array([x[4] for x in held]) - begin)[which]
+            packed = np.concatenate([x[3] for x in held])
+            found = blocks(np.frombuffer(b"".join(x[2] for x in held), np.uint8), (packed >> 8) - shift, packed & 255, threshold)
             at = (found["start"] + shift[found["unit"]]) << 8 | found["slot"] << 4 | found["n"]
-            doc = np.array([d for d, _, _, _ in held], dtype=np.int64)[which[found["unit"]]]
+            doc, twin = (np.array([x[i] for x in held], dtype=np.int64)[which[found["unit"]]] for i in range(2))
             digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
-            columns = [pa.array(_signed(found["key"])), pa.array(_signed(found["rest"])), pa.array(doc), pa.array(at), digit.cast(pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc", "at", "digit"])
+            columns = [pa.array(_signed(found["key"])), pa.array(_signed(found["rest"])), pa.array(doc), pa.array(twin), pa.array(at), digit.cast(pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc", "twin", "at", "digit"])
 
         held, size = [], 0
         for batch in batches:
-            for doc, text, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, twin, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 text, packed = text.as_py(), np.sort(packed.values.to_numpy())
                 start, n = packed >> 8, packed & 255
                 # Units that lie near each other are cut out together.
                 cuts = np.flatnonzero(start[1:] > (start + n)[:-1] + 2 * threshold) + 1
                 for own in np.split(np.arange(len(packed)), cuts):
                     a, b = int(start[own[0]]), int(start[own[-1]] + n[own[-1]]) + threshold - 1
-                    held.append((doc, text[a:b], packed[own], a))
+                    held.append((doc, twin, text[a:b], packed[own], a))
                     size += b - a
                     if size >= PIECE // 2:
                         yield emit(held)
@@ -231,18 +234,18 @@ def _arrow_blocks(threshold: int):
 
 
 def _arrow_suffixes(batches: Iterator) -> Iterator:
-    """Open blocks to their single starts: (key, digit, doc, at)."""
+    """Open blocks to their single starts: (key, digit, doc, twin, at)."""
     import pyarrow as pa
 
     for batch in batches:
-        key, doc, at = (batch.column(i).to_numpy() for i in (0, 1, 2))
-        digit = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u4").reshape(-1, BLOCK)
+        key, doc, twin, at = (batch.column(i).to_numpy() for i in range(4))
+        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u4").reshape(-1, BLOCK)
         start, slot, n = at >> 8, at >> 4 & 15, at & 15
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         own = slot[row] - step
-        columns = [key[row], own.astype(np.int64) << 32 | digit[row, own].astype(np.int64), doc[row], (start[row] + step) << 8 | 1]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "digit", "doc", "at"])
+        columns = [key[row], own.astype(np.int64) << 32 | digit[row, own].astype(np.int64), doc[row], twin[row], (start[row] + step) << 8 | 1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "digit", "doc", "twin", "at"])
 
 
 def _arrow_result(threshold: int):
@@ -266,13 +269,13 @@ def _arrow_result(threshold: int):
 
 
 def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """(doc, text, ats): the places of each document beside its text."""
-    own = places.groupBy("doc").agg(F.collect_list("at").alias("ats")).withColumnRenamed("doc", "k")
-    return texts.join(own, texts.doc == own.k, how).drop("k")
+    """(doc, twin, text, ats): the places of each document beside its text."""
+    own = places.groupBy(F.col("doc").alias("k"), F.col("twin").alias("j")).agg(F.collect_list("at").alias("ats"))
+    return texts.join(own, (texts.doc == own.k) & (texts.twin == own.j), how).select("doc", "twin", "text", "ats")
 
 
 def first_suffixes(texts: DataFrame, threshold: int = 100) -> DataFrame:
-    """(doc, at) of the suffixes of (doc, text) whose first ``threshold`` bytes start nowhere earlier.
+    """(doc, twin, at) of the suffixes of (doc, twin, text) whose first ``threshold`` bytes start nowhere earlier.
 
     ``at`` packs a start and a number of starts in a row. The digits of a suffix, most significant first: the
     k-gram of least hash inside its first bytes (so equal suffixes have it, and about 30 in a row share it), then
@@ -280,22 +283,31 @@ def first_suffixes(texts: DataFrame, threshold: int = 100) -> DataFrame:
     that agree on everything are copies, a digit that only one kind of row has ends there, and only the rest goes
     on to the next digit.
     """
-    top = texts.filter(F.length("text") >= threshold).mapInArrow(_arrow_units(threshold), "key long, rest long, doc long, at long")
-    top = written(_first_of_each(top).select("doc", "at", "open"), "units", free=True)
-    parts = _with_places(texts, top.filter("open"), "inner").select("doc", "text", "ats")
-    parts = parts.mapInArrow(_arrow_blocks(threshold), "key long, rest long, doc long, at long, digit binary")
+    top = texts.filter(F.length("text") >= threshold)
+    top = top.mapInArrow(_arrow_units(threshold), "key long, rest long, doc long, twin long, at long")
+    top = written(_first_of_each(top).select("doc", "twin", "at", "open"), "units", free=True)
+    parts = _with_places(texts, top.filter("open"), "inner")
+    parts = parts.mapInArrow(_arrow_blocks(threshold), "key long, rest long, doc long, twin long, at long, digit binary")
     only = [F.when(F.col("open"), F.col(c)).alias(c) for c in ("key", "digit")]
-    parts = written(_first_of_each(parts).select("doc", "at", "open", *only), "blocks", free=True)
-    single = parts.filter("open").select("key", "doc", "at", "digit").mapInArrow(_arrow_suffixes, "key long, digit long, doc long, at long")
-    single = single.groupBy("key", "digit").agg(F.min(F.struct("doc", "at")).alias("first")).select("first.doc", "first.at")
+    parts = written(_first_of_each(parts).select("doc", "twin", "at", "open", *only), "blocks", free=True)
+    single = parts.filter("open").select("key", "doc", "twin", "at", "digit").mapInArrow(_arrow_suffixes, "key long, digit long, doc long, twin long, at long")
+    single = single.groupBy("key", "digit").agg(F.min(F.struct("doc", "twin", "at")).alias("first")).select("first.*")
     start, n = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(15).cast("long"))
-    closed = parts.filter("not open").select("doc", F.shiftleft(start, 8).bitwiseOR(n).alias("at"))
-    return top.filter("not open").select("doc", "at").union(closed).union(single)
+    closed = parts.filter("not open").select("doc", "twin", F.shiftleft(start, 8).bitwiseOR(n).alias("at"))
+    return top.filter("not open").select("doc", "twin", "at").union(closed).union(single)
 
 
-def _document(id_col: str, text_col: str) -> list[Column]:
-    none = F.lit(-(1 << 63)).cast("long")
-    return [F.coalesce(F.col(id_col).cast("long"), none).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text")]
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, twin, text): null ids as the least number; twin is 0, or the text's hash for an id that stands for several texts."""
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("doc")
+    texts = docs.select(doc, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    shared = texts.select("doc", F.xxhash64("text").alias("h")).groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"))
+    shared = written(shared.filter("several").select(F.col("doc").alias("k")), "shared-ids")
+    n = shared.count()
+    if not n:
+        return texts.select("doc", F.lit(0).cast("long").alias("twin"), "text")
+    marked = texts.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, texts.doc == F.col("k"), "left")
+    return marked.select("doc", F.when(F.col("k").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("twin"), "text")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,16 +316,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     Earlier is in a document of smaller id, or before in the same one. Returns doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by 128 bits of hash or more.
 
-    Null and empty texts have 0 bytes and the hash of none; a null id is smaller than all others; rows with the same
-    id are one document seen again, so equal rows get equal results; other columns are ignored; no rows give none.
+    Null and empty texts have 0 bytes and the hash of none; a null id is smaller than all others; rows of one id and
+    text are one document seen again and get equal results; different texts of one id (or of none) stand in the order
+    of their hashes; other columns are ignored; no rows give none.
     """
     if not 64 + BLOCK - 1 <= threshold <= 128:
         raise ValueError("the threshold must be from 71 to 128 bytes")
-    texts = docs.select(*_document(id_col, text_col))
+    texts = _documents(docs, id_col, text_col)
     kept = first_suffixes(texts, threshold)
     out = _with_places(texts, kept, "left").select("doc", "text", "ats")
     out = out.mapInArrow(_arrow_result(threshold), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)).cast("long"), F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID).cast("long"), F.col("doc_id")))
 
 
 REPEATS_SQL = """
