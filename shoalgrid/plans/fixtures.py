@@ -62,11 +62,11 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, side: int = SIDE) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, side: int | None = None) -> DataFrame:
     """The view as a DataFrame over the tables in ``sf_dir``."""
     text, table = VIEWS[name]
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spark.sql(text.format(side=side).replace(f"FROM {table}", "FROM {source}"), source=source)
+    return spark.sql(text.format(side=side or SIDE).replace(f"FROM {table}", "FROM {source}"), source=source)
 
 
 def with_views(sql: str, *names: str, side: int = SIDE) -> str:
