@@ -46,6 +46,12 @@ def stratified_errors(pairs: DataFrame, by: str = "model", least: int = 5) -> Da
     return out.withColumn("iho_order", iho_order(F.col("rmse"), F.col("mean_depth")))
 
 
+def against_observed(observed: DataFrame, first: DataFrame, second: DataFrame | None = None, key: str = "point_id") -> DataFrame:
+    """``observed`` with p3_pred and, if given, p4_pred of the same points; points that lack one are left out."""
+    out = observed.join(first.select(key, F.col("y_pred").alias("p3_pred")), key)
+    return out if second is None else out.join(second.select(key, F.col("y_pred").alias("p4_pred")), key)
+
+
 def suggested_use(orders: DataFrame) -> DataFrame:
     """``orders`` with the use that suits ``iho_order``, from a fixed table."""
     table = F.create_map(*[F.lit(x) for pair in USES.items() for x in pair])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.metrics import regression_metrics
+from shoalgrid.operators.robust import filter_ransac
 
 
 def registry(label: str = "depth", weight: str | None = None, seed: int = 42) -> dict:
@@ -114,3 +116,37 @@ def year_matrix(rows: DataFrame, least: int = 10) -> DataFrame:
     """Rows of years with ``least`` rows or more, the year as a feature."""
     n = rows.groupBy(F.col("year").alias("_y")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return rows.join(F.broadcast(n), F.col("year") == F.col("_y"), "left_semi").withColumn("year_feature", F.col("year").cast("double"))
+
+
+def filter_huber(points: DataFrame, x: str, y: str, key: str, least: float = 0.0025) -> DataFrame:
+    """``points`` with ``residual`` of the line of most inliers, ``sigma`` (a robust line of the squared residual on y) and ``accepted`` (within 3 sigma)."""
+    fitted = filter_ransac(points, x, y, key).drop("accepted", "threshold").withColumn("_r2", F.col("residual") * F.col("residual"))
+    data = VectorAssembler(inputCols=[y], outputCol="_f").transform(fitted)
+    line = LinearRegression(featuresCol="_f", labelCol="_r2", loss="huber", epsilon=1.35).fit(data)
+    sigma = F.sqrt(F.greatest(F.lit(float(line.intercept)) + F.lit(float(line.coefficients[0])) * F.col(y), F.lit(least)))
+    return fitted.withColumn("sigma", sigma).withColumn("accepted", F.abs("residual") <= 3 * F.col("sigma")).drop("_r2")
+
+
+def stacked(rows: DataFrame, features: Sequence[str], names: Sequence[str], label: str = "depth") -> DataFrame:
+    """``rows`` with ``y_pred`` of a ridge over the predictions of some models."""
+    out = rows
+    for name, model in fit(rows, features, names, label).items():
+        out = model.transform(out).drop("features").withColumnRenamed("y_pred", f"p_{name}")
+    own = [f"p_{n}" for n in names]
+    return fit(out, own, ["ridge"], label)["ridge"].transform(out).drop("features", *own)
+
+
+def uncertainty(rows: DataFrame, cells: DataFrame, features: Sequence[str], label: str = "depth") -> DataFrame:
+    """``cells`` with ``u``: a forest of 1.96 times the magnitude of a forest's residual."""
+    first = fit(rows, features, ["forest"], label)["forest"].transform(rows).drop("features")
+    errors = first.withColumn("_u", 1.96 * F.abs(F.col(label) - F.col("y_pred"))).drop("y_pred")
+    return predict(fit(errors, features, ["forest"], "_u")["forest"], cells, features).withColumnRenamed("y_pred", "u")
+
+
+def benthic(labelled: DataFrame, cells: DataFrame, features: Sequence[str], label: str, erased: Sequence[int] = (2, 3), seed: int = 42) -> DataFrame:
+    """``cells`` with ``benthic_class`` of a forest fitted on labelled cells; some classes become NULL."""
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    forest = RandomForestClassifier(labelCol=label, featuresCol="features", predictionCol="_class", numTrees=20, seed=seed)
+    out = Pipeline(stages=[assembler, forest]).fit(labelled).transform(cells)
+    own = F.col("_class").cast("int")
+    return out.withColumn("benthic_class", F.when(~own.isin(*erased), own)).drop("features", "rawPrediction", "probability", "_class")

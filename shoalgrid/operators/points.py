@@ -85,6 +85,23 @@ def sample_at_points(points: DataFrame, cells: DataFrame, bands: Sequence[str])
     return points.join(cells.select("r", "c", *bands), ["r", "c"]).dropna(subset=list(bands))
 
 
+def valid_samples(rows: DataFrame, features: Sequence[str], nodata: float = -9999.0) -> DataFrame:
+    """Rows whose features are all finite and not the no-data value."""
+    ok = F.lit(True)
+    for f in features:
+        x = F.col(f).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")) & (x != nodata)
+    return rows.filter(ok)
+
+
+def masked_prediction(rows: DataFrame, features: Sequence[str], prediction: Column) -> DataFrame:
+    """``rows`` with ``prediction``, NULL where a feature is."""
+    known = F.lit(True)
+    for f in features:
+        known = known & F.col(f).isNotNull()
+    return rows.withColumn("prediction", F.when(known, prediction))
+
+
 def collision_reduce(points: DataFrame, mode: int, value: str = "depth", weight: str = "weight", key: str = "point_id", half: float = 0.5) -> DataFrame:
     """One row per cell (r, c, value, weight) of points with offsets dx, dy from the cell's centre in cells.
 

@@ -76,6 +76,15 @@ def shallow_by_deep(cells: DataFrame, limit: Callable[[DataFrame], DataFrame]) -
     return cells.crossJoin(F.broadcast(stats)).filter((F.col("blue") > F.col("_blue")) | (F.col("green") > F.col("_green"))).drop("_blue", "_green")
 
 
+def shallow_by_clear(cells: DataFrame, limit: Callable[[DataFrame], DataFrame], most: float = 0.75) -> DataFrame:
+    """As ``shallow_by_deep``, from the deep cells that are not among the most turbid (NDTI at or under its ``most`` quantile there)."""
+    marked = cells.withColumn("_ndti", indices.ndti(F.col("red"), F.col("green"))).crossJoin(F.broadcast(limit(cells)))
+    deep = marked.filter(F.col("nir") <= F.col("_k"))
+    clear = deep.crossJoin(F.broadcast(deep.agg(F.percentile("_ndti", most).alias("_q")))).filter(F.col("_ndti") <= F.col("_q"))
+    stats = clear.agg(*[(F.avg(b) + 2 * F.stddev_pop(b)).alias(f"_{b}") for b in ("blue", "green")])
+    return cells.crossJoin(F.broadcast(stats)).filter((F.col("blue") > F.col("_blue")) | (F.col("green") > F.col("_green"))).drop("_blue", "_green")
+
+
 def quantile_sigma(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """``rows`` with ``sigma``: half the distance of the 16 % and 84 % quantiles of y in the row's bin of x."""
     bin_ = F.floor(F.col(x) / width).cast("int")
