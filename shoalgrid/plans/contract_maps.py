@@ -120,7 +120,7 @@ def _(spark, sf):
     return temporal.stability(maps(spark, sf)).select("r", "c", r6("sigma").alias("sigma"), r6("msi").alias("msi"))
 
 
-@query("depth_trend", "SELECT r, c, round(coalesce(regr_slope(z, year), 0), 6) + 0.0 AS slope, round(coalesce(regr_slope(z, year), 0) * (SELECT max(year) - min(year) FROM fx_depth), 6) + 0.0 AS total FROM fx_depth GROUP BY r, c", "depth")
+@query("depth_trend", "WITH k AS (SELECT r, c, CASE WHEN count(DISTINCT year) > 1 THEN regr_slope(z, year) ELSE 0 END AS k FROM fx_depth GROUP BY r, c) SELECT r, c, round(k, 6) + 0.0 AS slope, round(k * (SELECT max(year) - min(year) FROM fx_depth), 6) + 0.0 AS total FROM k", "depth")
 def _(spark, sf):
     return temporal.depth_trend(maps(spark, sf)).select("r", "c", r6("slope").alias("slope"), r6("total").alias("total"))
 
