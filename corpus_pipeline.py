@@ -10,8 +10,11 @@ from shoalgrid.llm.store import table, written
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_anti``: is not) in the one column of ``ids``; null is an id like any other."""
-    ids = ids.toDF("__id")
+    """Rows of ``docs`` whose doc_id is (``left_anti``: is not) in the one column of ``ids``; null is an id like any other.
+
+    Ids grow with the documents, so the join is by shuffle at every size.
+    """
+    ids = ids.toDF("__id").hint("merge")
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
 
 
@@ -22,9 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: the one with the smallest doc_id, one row of it."""
-    found = simhash.near_duplicates(docs)
-    firsts = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return _only(docs, firsts).dropDuplicates(["doc_id"])
+    firsts = simhash.near_duplicates(docs).filter("doc_id <=> component_id").groupBy("doc_id").count()
+    firsts = written(firsts.select("doc_id", (F.col("count") > 1).alias("again")), "firsts")
+    kept = _only(docs, firsts.filter("not again").select("doc_id"))
+    if firsts.filter("again").limit(1).count():
+        kept = kept.unionByName(_only(docs, firsts.filter("again").select("doc_id")).dropDuplicates(["doc_id"]))
+    return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

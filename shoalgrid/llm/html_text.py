@@ -11,6 +11,8 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.llm.store import in_slices
+
 #: Labelled pages, about, that weights are learned from.
 TRAIN_PAGES = 2_000
 #: Elements that are no part of an article, and those whose content is no markup.
@@ -157,7 +159,7 @@ def fit_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, f
 
         inside: Counter = Counter()
         outside: Counter = Counter()
-        for batch in batches:
+        for batch in in_slices(batches):
             for page in batch.column(0).to_pylist():
                 for t, _, own in segments(page):
                     if t:
@@ -188,7 +190,7 @@ def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [main_text(page, weights) for page in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])

@@ -10,6 +10,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.llm.store import in_slices
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -102,7 +104,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         import pyarrow as pa
 
         names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"]
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base = find_base(text or "")
@@ -129,7 +131,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = [
                 t and redacted(t, sorted(find_base(t) + find_entropy(t)), mark) for t in batch.column(at).to_pylist()
             ]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.components import connected_components
-from shoalgrid.llm.store import written
+from shoalgrid.llm.store import in_slices, written
 
 #: Variant buckets with more distinct fingerprints go by the other exact way instead of by pairs.
 PAIR_BUCKET = 24
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in in_slices(batches):
             fps = np.array([simhash(t.as_py() or b"") for t in batch.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 

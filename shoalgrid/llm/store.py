@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,13 @@ def written(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     return out
 
 
+def in_slices(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches as slices of ``rows`` rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def single_value(df: DataFrame, *exprs) -> tuple:
     """The one row of a global aggregate."""
     return tuple(df.agg(*exprs).first())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shoalgrid.llm.store import written
 
 #: Labelled documents, about, that the chain is fitted on.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 12_000
 FEATURES = 1 << 16
 #: Partitions that the bounded sample is fitted in.
 TRAIN_PARTITIONS = 6
@@ -65,7 +65,7 @@ class Chain:
         kinds = sorted(r[0] for r in rows.select(f"y_{name}").distinct().collect())
         if len(kinds) < 2:
             return float(kinds[0]) if kinds else 0.0
-        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=30, regParam=0.001, elasticNetParam=1.0, standardization=False)
+        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=15, regParam=0.001, elasticNetParam=1.0, standardization=False)
         return lr.fit(cls._assembled(rows, before))
 
     @classmethod
