@@ -84,7 +84,7 @@ def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) ->
     """The next digit for units: aligned blocks of BLOCK starts before a unit's place.
 
     unit (index), key: of the string that all starts of a whole block share; rest: of what the block's own starts
-    cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK, 32 bits of each whole string).
+    cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK, 64 bits of each whole string).
     """
     h32, h64 = gram_hashes(buf)
     last = start + n - 1
@@ -99,8 +99,8 @@ def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) ->
     count = np.diff(np.append(first, len(unit)))
     core = place[unit[first]] - group[first] * BLOCK
     key = _pair(_pair(h64[core], h64[core + threshold - BLOCK + 1 - 64]), (place[unit[first]] - core).astype(np.uint64))
-    digit = np.zeros((len(first), BLOCK), dtype="<u4")
-    digit[np.repeat(np.arange(len(first)), count), slot] = _pair(h64[each], h64[each + threshold - 64]) >> np.uint64(32)
+    digit = np.zeros((len(first), BLOCK), dtype="<u8")
+    digit[np.repeat(np.arange(len(first)), count), slot] = _pair(h64[each], h64[each + threshold - 64])
     rest = _pair(_span_hash(h64, each[first], count + (threshold - 1)), slot[first].astype(np.uint64))
     return {"unit": unit[first], "key": key, "rest": rest, "start": each[first], "n": count, "slot": slot[first], "digit": digit}
 
@@ -209,7 +209,7 @@ def _arrow_blocks(threshold: int):
             found = blocks(np.frombuffer(b"".join(x[2] for x in held), np.uint8), (packed >> 8) - shift, packed & 255, threshold)
             at = (found["start"] + shift[found["unit"]]) << 8 | found["slot"] << 4 | found["n"]
             doc, twin = (np.array([x[i] for x in held], dtype=np.int64)[which[found["unit"]]] for i in range(2))
-            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
+            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
             columns = [pa.array(_signed(found["key"])), pa.array(_signed(found["rest"])), pa.array(doc), pa.array(twin), pa.array(at), digit.cast(pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc", "twin", "at", "digit"])
 
@@ -239,12 +239,12 @@ def _arrow_suffixes(batches: Iterator) -> Iterator:
 
     for batch in batches:
         key, doc, twin, at = (batch.column(i).to_numpy() for i in range(4))
-        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u4").reshape(-1, BLOCK)
+        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u8").reshape(-1, BLOCK)
         start, slot, n = at >> 8, at >> 4 & 15, at & 15
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         own = slot[row] - step
-        columns = [key[row], own.astype(np.int64) << 32 | digit[row, own].astype(np.int64), doc[row], twin[row], (start[row] + step) << 8 | 1]
+        columns = [key[row], _signed(digit[row, own]), doc[row], twin[row], (start[row] + step) << 8 | 1]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "digit", "doc", "twin", "at"])
 
 
@@ -314,7 +314,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     """Bytes of each text that are covered by a string of ``threshold`` bytes that also starts earlier.
 
     Earlier is in a document of smaller id, or before in the same one. Returns doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by 128 bits of hash or more.
+    (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by hashes: a pass groups by 64 bits of a shared part, and strings that
+    share it are told apart by 64 bits of the whole (of n different ones about n * n / 2**65 pairs collide).
 
     Null and empty texts have 0 bytes and the hash of none; a null id is smaller than all others; rows of one id and
     text are one document seen again and get equal results; different texts of one id (or of none) stand in the order

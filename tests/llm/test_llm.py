@@ -84,6 +84,32 @@ def test_suffix_dedup_in_pieces(monkeypatch):
     assert whole["n"].sum() == len(text) - 99
 
 
+def test_suffix_dedup_tells_contexts_apart(spark):
+    """Of many contexts of one passage, two whose 100-byte strings agree in 32 bits of hash stay different."""
+    rng = np.random.default_rng(1)
+    while True:
+        passage = bytes(rng.integers(97, 123, 300, dtype=np.uint8))
+        found = suffix_dedup.blocks(np.frombuffer(b"0123" + passage, np.uint8), *(suffix_dedup.units(np.frombuffer(b"0123" + passage, np.uint8), np.full(304, 304), 100)[k] for k in ("start", "n")), 100)
+        first = np.flatnonzero(found["start"] == 0)[0]
+        if found["slot"][first] >= 4 and found["n"][first] > 4:
+            break
+    heads = rng.permutation(26**4)[:200_000]
+    rows = np.empty((len(heads), 100), dtype=np.uint8)
+    rows[:, 4:] = np.frombuffer(passage, np.uint8)[:96]
+    for k in range(4):
+        rows[:, k] = 97 + heads // 26**k % 26
+    hashes = np.concatenate([suffix_dedup._pair(h[::100], h[36::100]) for part in np.array_split(rows, 20) for h in [suffix_dedup.gram_hashes(part.ravel())[1]]])
+    assert len(np.unique(hashes)) == len(hashes)
+    order = np.argsort(hashes)
+    same = np.flatnonzero(np.diff(hashes[order] >> np.uint64(32)) == 0)
+    assert len(same)
+    texts = [bytes(rows[order[at + i]][:4]) + passage for at in same for i in (0, 1)]
+    data = [(100 + i, t.decode()) for i, t in enumerate(texts)]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")))
+    upto = [max(j for j in range(5) if any(texts[k][4 - j : 4] == t[4 - j : 4] for k in range(i))) if i else -1 for i, t in enumerate(texts)]
+    assert [got[100 + i][0].n_removed for i in range(len(texts))] == [300 + j if j >= 0 else 0 for j in upto]
+
+
 def test_html(spark):
     page = (
         "<html><head><title>No</title><script>var a='<p>no</p>';</script></head><body><nav><a href='/x'>menu</a></nav><div class='cookie-notice'>no</div>"
