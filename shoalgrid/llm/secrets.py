@@ -22,6 +22,15 @@ CLASSES = (
     ("hex", re.compile(r"(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+\Z", re.DOTALL), 2.9),
     ("base64", re.compile(r"(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+\Z", re.DOTALL), 3.6),
 )
+#: Where that finds nothing, each of these runs inside counts by the first class that it is of. Least bits: about the lowest
+#: hundredth of random runs of 20 characters. The patterns ask for kinds that change often, as they don't in names and numbered words.
+RUN = re.compile(r"[A-Za-z0-9]{20,}")
+RUN_CLASSES = (
+    *CLASSES,
+    ("lower", re.compile(r"(?=[a-z]+[0-9]+[a-z]+[0-9]|[0-9]+[a-z]+[0-9]+[a-z])[a-z0-9]+\Z"), 3.35),
+    ("upper", re.compile(r"(?=[A-Z]+[0-9]+[A-Z]|[0-9]+[A-Z]+[0-9])[A-Z0-9]+\Z"), 3.25),
+    ("letters", re.compile(r"(?=.*[A-Z])(?=.*[a-z])[A-Za-z]+\Z"), 3.6),
+)
 #: Strings that look random and are no secrets.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
@@ -66,15 +75,29 @@ def find_base(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _secret(text: str, classes: Iterable[tuple], allow: Iterable[re.Pattern]) -> bool:
+    """Whether ``text`` is of some class, and a window of it at or above the entropy of the first such class."""
+    for name, kind, least in classes:
+        if kind.match(text):
+            # Letters alone: a quarter of either case at least, which CamelCase hasn't.
+            mixed = name != "letters" or 4 <= 16 * sum(map(str.isupper, text)) / len(text) <= 12
+            return mixed and not any(x.fullmatch(text) for x in allow) and most_entropy(text) >= least
+    return False
+
+
 def find_entropy(text: str, allow: Iterable[re.Pattern] = ALLOW) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidate strings of some class with a window at or above that class's entropy."""
+    """(start, kind, end) of candidate strings of some class with a window at or above that class's entropy.
+
+    Of a candidate that isn't one as a whole (a key joined to a name by = or _), the runs of letters and digits that are.
+    Letters of a single case are never found: long words have as much entropy.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        for _, kind, least in CLASSES:
-            if kind.match(m[0]):
-                if not any(x.fullmatch(m[0]) for x in allow) and most_entropy(m[0]) >= least:
-                    found.append((m.start(), 3, m.end()))
-                break
+        if _secret(m[0], CLASSES, allow):
+            found.append((m.start(), 3, m.end()))
+        elif not any(x.fullmatch(m[0]) for x in allow):
+            runs = RUN.finditer(text, m.start(), m.end())
+            found += [(x.start(), 3, x.end()) for x in runs if _secret(x[0], RUN_CLASSES, allow)]
     return found
 
 

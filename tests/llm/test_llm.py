@@ -340,6 +340,19 @@ def test_secrets(docs, rows, none, spark):
     assert "04dbebab" not in clean[11][0].text and clean[4][0].text is None and len(clean[1]) == 2
 
 
+def test_secret_classes():
+    """Random keys of each class are found, bare and joined to a name; names and long words are not."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    r = random.Random(3)
+    for letters in (lower + digits, upper + "234567", upper + digits, lower + upper, lower + upper + digits):
+        keys = ["".join(r.choice(letters) for _ in range(40)) for _ in range(300)]
+        for before in ("", "value=", "x_"):
+            hits = [[f"see {before}{k} now"[a:b] for a, _, b in secrets.find_entropy(f"see {before}{k} now")] for k in keys]
+            assert sum(len(h) == 1 and h[0].endswith(k) for h, k in zip(hits, keys)) >= 294, (letters, before)
+    clean = "Donaudampfschifffahrtsgesellschaft getElementByIdAndReturnItsValue INTERNATIONALIZATION internationalization2024 report20231231summaryfinal 01234567890123456789012345 user_name=internationalization /usr/local/share/documents/readme long-lower-case-words-in-a-row2"
+    assert not secrets.find_entropy(clean)
+
+
 def test_entropy_by_counts():
     r = random.Random(4)
     for n in (0, 1, 5, 20, 21, 60):
