@@ -70,8 +70,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     """page_id, host, path, rule (the longest that fits, else null), verdict, trust and distrust of every page's url.
 
     Where no rule fits, the graph of hosts decides. A host's seed of trust is the share of its pages that rules
-    allow, of distrust the share that they block. Trust follows links, distrust goes against them, both by
-    personalised PageRank. A host is blocked if its distrust is ``threshold`` or more and above its trust.
+    allow, of distrust the share that they block. Trust follows links by personalised PageRank. Distrust goes against
+    them: it is the chance that a walk from the host along its links, going on with ``damping``, meets a blocked page,
+    so it is 1 at most and doesn't depend on how many others link there. A host is blocked if its distrust is
+    ``threshold`` or more and above its trust.
 
     A null url or one without :// has empty host and path, fits no rule and is allowed; a null page has no links;
     hosts without seeds or links are allowed; equal rows each come back; null ids and other columns make no difference.
@@ -88,9 +90,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
     share = written(share, "seeds")
     steps = rounds if single_value(edges, F.count("*"))[0] else 0
     trust = spread(share.select("host", F.col("trusted").alias("seed")), edges, damping, steps)
-    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
-    sums = against.groupBy(F.col("src").alias("s")).agg(F.sum("share").alias("total"))
-    against = against.join(sums, against.src == sums.s).select("src", "dst", (F.col("share") / F.col("total")).alias("share"))
+    rest = share.select(F.col("host").alias("s"), (1 - F.col("blocked")).alias("rest")).filter("rest > 0")
+    against = edges.join(rest, edges.src == rest.s).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") * F.col("rest")).alias("share"))
     distrust = spread(share.select("host", F.col("blocked").alias("seed")), written(against, "edges"), damping, steps)
     both = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
     both = both.union(distrust.select("host", F.lit(0.0), F.col("rank"))).groupBy(F.col("host").alias("h"))

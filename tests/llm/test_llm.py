@@ -213,6 +213,17 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_with_many_linkers(spark):
+    """Hosts that link to nothing but blocked hosts are blocked however many they are; a half does not suffice."""
+    link = "<a href='http://{}/p'>a</a>".format
+    data = [(k, f"http://fan{k}.net/", link("spam.com")) for k in range(5)]
+    data += [(5, "http://half.net/", link("spam.com") + link("fine.net")), (6, "http://spam.com/de/1", link("junk.com")), (7, "http://junk.com/de/", link("spam.com")), (8, "http://far.net/", link("fan1.net"))]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == {**dict.fromkeys(range(5), "block"), 5: "allow", 6: "block", 7: "block", 8: "block"}
+    want = {**dict.fromkeys(range(5), 0.85), 5: 0.425, 6: 1, 7: 1, 8: 0.85**2}
+    assert {k: r.distrust for k, r in got.items()} == pytest.approx(want)
+
+
 def test_quality(docs, rows, none):
     got = by_id(quality.judge(docs))
     for k, text, *_ in rows:
