@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.llm import decontaminate, mixing, quality, secrets, simhash
 from shoalgrid.llm.store import table, written
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_anti``: is not) in the one column of ``ids``; null is an id like any other.
+def _key() -> Column:
+    """What tells rows apart: the doc_id, null after all others, and a hash of the text, for ids that stand for several texts."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"))
 
-    Ids grow with the documents, so the join is by shuffle at every size.
+
+def _only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose key is (``left_anti``: is not) in the one column of ``keys``.
+
+    Keys grow with the documents, so the join is by shuffle at every size.
     """
-    ids = ids.toDF("__id").hint("merge")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), how)
+    keys = keys.toDF("__key").hint("merge")
+    return docs.join(keys, _key() == F.col("__key"), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _only(docs, quality.judge(docs).filter("kept").select("doc_id"))
+    """Documents that the rules keep; texts of one id, or of none, are judged each for itself."""
+    return _only(docs, quality.judge(docs.withColumn("__id", _key()), id_col="__id").filter("kept").select("doc_id"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: the one with the smallest doc_id, one row of it."""
-    firsts = simhash.near_duplicates(docs).filter("doc_id <=> component_id").groupBy("doc_id").count()
+    """One row of each component of near-duplicates: one with the smallest doc_id, of the least text hash if that has several texts.
+
+    Rows without an id are documents like others; one stays where its component has no id.
+    """
+    firsts = simhash.near_duplicates(docs.withColumn("__id", _key()), "__id").filter("doc_id = component_id").groupBy("doc_id").count()
     firsts = written(firsts.select("doc_id", (F.col("count") > 1).alias("again")), "firsts")
     kept = _only(docs, firsts.filter("not again").select("doc_id"))
     if firsts.filter("again").limit(1).count():
-        kept = kept.unionByName(_only(docs, firsts.filter("again").select("doc_id")).dropDuplicates(["doc_id"]))
+        again = _only(docs, firsts.filter("again").select("doc_id")).withColumn("__id", F.xxhash64("text"))
+        kept = kept.unionByName(again.dropDuplicates(["doc_id", "__id"]).drop("__id"))
     return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = written(decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
+    """Documents that hold no benchmark item, with an id or without."""
+    items = table(spark, sf_dir, "benchmark")
+    leaks = written(decontaminate.contained(docs.withColumn("__id", _key()), items, id_col="__id").select("doc_id").distinct(), "leaks")
     return _only(docs, leaks, "left_anti")
 
 

@@ -41,3 +41,22 @@ def test_odd_rows(spark):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         assert [r.doc_id for r in docs.collect()] == ([1] if own else [])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(own[:1])
+
+
+def test_rows_without_id(spark):
+    """Texts of one id or of none are documents of their own in each stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = {c: " ".join(f"{c}word{i} and" for i in range(80)) + "." for c in "abcde"}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(stage, rows):
+        docs = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stages[stage](spark, docs, DATA).collect()), key=str)
+
+    rows = [(None, good["a"]), (None, good["b"]), (None, good["b"]), (None, good["c"]), (3, good["c"]), (7, good["d"]), (7, good["e"]), (8, good["a"])]
+    want = [(None, good["b"]), (3, good["c"]), (7, good["d"]), (7, good["e"]), (8, good["a"])]
+    assert left("SimHash near-dedup", rows) == sorted(want, key=str)
+    assert left("quality rules", [(None, good["a"]), (None, "x"), (7, good["b"]), (7, "x")]) == sorted([(None, good["a"]), (7, good["b"])], key=str)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 100").first().text
+    held = [(None, good["a"]), (None, f"x {item} y"), (7, good["b"]), (7, item)]
+    assert left("benchmark decontamination", held) == sorted([(None, good["a"]), (7, good["b"])], key=str)
