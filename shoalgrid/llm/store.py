@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that shuffle files go when a query ends, not when the driver's garbage is collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
@@ -16,25 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; the warehouse, shared as well, where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/llm"
+    """``spark.checkpoint.dir`` of the session. Where that is unset the warehouse, which only a local session may fall back to."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/llm"
 
 
-def written(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation.
 
-    free: the shuffle files behind ``df`` are large and have no reader any more; once Spark's listeners have seen the
-    write, collecting the JVM's garbage lets its cleaner delete them now rather than at some later time.
+    The shuffle files behind ``df`` have no reader any more after that, so Spark is told to delete them when the write ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    for wait in (0.5, 1.0, 1.0) if free else ():
-        time.sleep(wait)
-        spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_slices(batches: Iterator, rows: int = 500) -> Iterator:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from shoalgrid.llm.store import written
 
@@ -17,30 +18,45 @@ GRAM = 32
 BLOCK = 8
 #: Bytes hashed at a time; a longer text is cut into pieces (the order found does not depend on the cuts).
 PIECE = 1 << 20
-#: A null id inside, and the number of ids that are broadcast at most (8 bytes each).
+#: So many pieces of a task are thinned together before the shuffle.
+HELD = 8
+#: One document in so many shows which k-grams are hot: those with HOT_LEAST units there and one unit in HOT_SHARE, so at
+#: most HOT_SHARE of them. What is filed under a hot one is dealt to HOT_SALTS tasks.
+HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_SALTS = 64, 32, 100_000, 64
+#: A null id inside.
 NO_ID = -(1 << 63)
-BROADCAST_ROWS = 500_000
+#: Marks a packed place of a hot k-gram.
+_HOT = 128
 _PLACE = np.uint64((1 << 21) - 1)
-_C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
+#: Constants of two independent hash functions of 64 bits.
+_LANES = [
+    [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)],
+    [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)],
+]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def _mixed(x: np.ndarray, lane: int) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
-    x *= _C[3]
+    x *= _LANES[lane][3]
     x ^= x >> np.uint64(29)
     return x
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _mixed(a * _C[0] + _mixed(b * _C[1] + _C[2]))
+def _pair(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    c = _LANES[lane]
+    return _mixed(a * c[0] + _mixed(b * c[1] + c[2], lane), lane)
 
 
-def gram_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 32-byte and of the 64-byte string at each place, each from two of half its length."""
-    h = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes(), strides=(1,))
-    for half in (8, 16):
-        h = _pair(h[:-half], h[half:])
-    return h, _pair(h[:-32], h[32:])
+def gram_hashes(buf: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A hash of the 32-byte string at each place, and two independent ones of the 64-byte string, each from two of half its length."""
+    h32, h64 = [], []
+    for lane in (0, 1):
+        h = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes(), strides=(1,))
+        for half in (8, 16):
+            h = _pair(h[:-half], h[half:], lane)
+        h32.append(h)
+        h64.append(_pair(h[:-32], h[32:], lane))
+    return h32[0], h64
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -56,15 +72,15 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return (x & _PLACE).astype(np.int64)
 
 
-def _span_hash(h64: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of text[start : start + length], 64 <= length <= 192, from three 64-byte hashes that cover it."""
+def _span_hash(h64: list[np.ndarray], start: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of text[start : start + length], 64 <= length <= 192, each from three 64-byte hashes that cover it."""
     rest = length - 64
-    return _pair(_pair(h64[start], h64[start + rest // 2]), h64[start + rest] + length.astype(np.uint64))
+    return [_pair(_pair(h[start], h[start + rest // 2], k), h[start + rest] + length.astype(np.uint64), k) for k, h in enumerate(h64)]
 
 
 def units(buf: np.ndarray, ends: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
-    """Units of suffixes that are filed under one place of ``buf``: key (of the k-gram there), rest (of the whole string
-    that the unit's first ``threshold`` bytes cover), start and n (how many starts in a row).
+    """Units of suffixes that are filed under one place of ``buf``: key (of the k-gram there), rest and rest2 (of the whole
+    string that the unit's first ``threshold`` bytes cover), start and n (how many starts in a row).
 
     ends: where the text ends that each byte is in; suffixes shorter than the threshold are in no unit.
     """
@@ -77,14 +93,15 @@ def units(buf: np.ndarray, ends: np.ndarray, threshold: int) -> dict[str, np.nda
     start = np.flatnonzero(new & valid)
     stop = np.flatnonzero(np.append((new | ~valid)[1:], True) & valid) + 1
     size = stop - start
-    return {"key": h32[at[start]], "rest": _span_hash(h64, start, size + (threshold - 1)), "start": start, "n": size}
+    rest, rest2 = _span_hash(h64, start, size + (threshold - 1))
+    return {"key": h32[at[start]], "rest": rest, "rest2": rest2, "start": start, "n": size}
 
 
 def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) -> dict[str, np.ndarray]:
     """The next digit for units: aligned blocks of BLOCK starts before a unit's place.
 
-    unit (index), key: of the string that all starts of a whole block share; rest: of what the block's own starts
-    cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK, 64 bits of each whole string).
+    unit (index), key: of the string that all starts of a whole block share; rest and rest2: of what the block's own
+    starts cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK by 2, 128 bits of each whole string).
     """
     h32, h64 = gram_hashes(buf)
     last = start + n - 1
@@ -98,11 +115,11 @@ def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) ->
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(unit)))
     core = place[unit[first]] - group[first] * BLOCK
-    key = _pair(_pair(h64[core], h64[core + threshold - BLOCK + 1 - 64]), (place[unit[first]] - core).astype(np.uint64))
-    digit = np.zeros((len(first), BLOCK), dtype="<u8")
-    digit[np.repeat(np.arange(len(first)), count), slot] = _pair(h64[each], h64[each + threshold - 64])
-    rest = _pair(_span_hash(h64, each[first], count + (threshold - 1)), slot[first].astype(np.uint64))
-    return {"unit": unit[first], "key": key, "rest": rest, "start": each[first], "n": count, "slot": slot[first], "digit": digit}
+    key = _pair(_pair(h64[0][core], h64[0][core + threshold - BLOCK + 1 - 64]), (place[unit[first]] - core).astype(np.uint64))
+    digit = np.zeros((len(first), BLOCK, 2), dtype="<u8")
+    digit[np.repeat(np.arange(len(first)), count), slot] = np.stack([_pair(h[each], h[each + threshold - 64], k) for k, h in enumerate(h64)], axis=1)
+    rest, rest2 = (_pair(h, slot[first].astype(np.uint64), k) for k, h in enumerate(_span_hash(h64, each[first], count + (threshold - 1))))
+    return {"unit": unit[first], "key": key, "rest": rest, "rest2": rest2, "start": each[first], "n": count, "slot": slot[first], "digit": digit}
 
 
 def removed_mask(size: int, kept: np.ndarray, threshold: int) -> np.ndarray:
@@ -112,7 +129,7 @@ def removed_mask(size: int, kept: np.ndarray, threshold: int) -> np.ndarray:
     starts = size - threshold + 1
     step = np.zeros(starts + 1, dtype=np.int64)
     np.add.at(step, kept >> 8, 1)
-    np.add.at(step, (kept >> 8) + (kept & 255), -1)
+    np.add.at(step, (kept >> 8) + (kept & 127), -1)
     gone = np.cumsum(step[:-1]) == 0
     edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
     cover = np.zeros(size + 1, dtype=np.int64)
@@ -125,26 +142,47 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype("<u8", copy=False).view("<i8")
 
 
-def _arrow_units(threshold: int):
-    """(doc, twin, text) batches to (key, rest, doc, twin, at): units, of equal ones in a piece the first; at packs start and n."""
+def _salts(hot: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """0, or for hot rows 1 and more by ``rest``."""
+    return np.where(hot, rest.astype("<u8", copy=False) % np.uint64(HOT_SALTS) + np.uint64(1), np.uint64(0)).astype(np.int64)
+
+
+#: Columns of the rows of a pass; equal key, rest and rest2 are equal strings.
+ROWS = "key long, rest long, rest2 long, doc long, twin long, at long, salt long"
+
+
+def _batch(columns: list, names: list[str]):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        def emit(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+def _arrow_units(threshold: int, hot_keys: np.ndarray):
+    """(doc, twin, text) batches to units, of equal ones in some pieces the first; at packs start, whether hot, and n."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
+        def found_in(held: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
             lengths = np.array([len(t) for *_, t in held])
             begin = np.cumsum(lengths) - lengths
             found = units(np.frombuffer(b"".join(t for *_, t in held), np.uint8), np.repeat(begin + lengths, lengths), threshold)
             which = np.searchsorted(begin, found["start"], side="right") - 1
             doc, twin, shift = (np.array([x[i] for x in held], dtype=np.int64)[which] for i in range(3))
-            at = (found["start"] - begin[which] + shift) << 8 | found["n"]
-            order = np.lexsort((at, twin, doc, found["rest"], found["key"]))
-            key, rest = found["key"][order], found["rest"][order]
-            first = np.append(True, (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]))[: len(key)]
-            columns = [_signed(key[first]), _signed(rest[first]), *(x[order][first] for x in (doc, twin, at))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rest", "doc", "twin", "at"])
-
-        held, size = [], 0
+            key = _signed(found["key"])
+            hot = np.isin(key, hot_keys)
+            at = (found["start"] - begin[which] + shift) << 8 | hot * _HOT | found["n"]
+            return [key, _signed(found["rest"]), _signed(found["rest2"]), doc, twin, at, _salts(hot, found["rest"])]
+
+        def thinned(parts: list[list[np.ndarray]]) -> Iterator:
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            order = np.lexsort(columns[5::-1])
+            key, rest, rest2 = (x[order] for x in columns[:3])
+            new = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (rest2[1:] != rest2[:-1])
+            order = order[np.append(True, new)[: len(key)]]
+            for a in range(0, len(order), 100_000):
+                yield _batch([x[order[a : a + 100_000]] for x in columns], names)
+
+        held, size, parts = [], 0, []
         for batch in batches:
             for doc, twin, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
@@ -153,48 +191,60 @@ def _arrow_units(threshold: int):
                     held.append((doc, twin, a, part))
                     size += len(part)
                     if size >= PIECE:
-                        yield emit(held)
+                        parts.append(found_in(held))
                         held, size = [], 0
+                    if len(parts) == HELD:
+                        yield from thinned(parts)
+                        parts = []
         if held:
-            yield emit(held)
+            parts.append(found_in(held))
+        if parts:
+            yield from thinned(parts)
 
     return run
 
 
 def _arrow_first(batches: Iterator) -> Iterator:
-    """Rows sorted by key, rest, doc, twin, at: the first of each (key, rest), and whether its key has another rest (``open``)."""
+    """Rows sorted by key, rest, rest2, doc, twin, at: the first of each string, and whether its key has another (``open``).
+
+    A salted key has its strings in several tasks and counts as open.
+    """
     import pyarrow as pa
 
-    last = None  # the newest first row, its key and rest, and whether the one before has its key
+    last = None  # the newest first row, its key and string, and whether the one before has its key
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.append(last is None or (key[0], rest[0]) != last[1], (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]))
+        names = [*batch.schema.names, "open"]
+        salted = batch.column(batch.schema.get_field_index("salt")).to_numpy() > 0
+        key, rest, rest2 = (batch.column(k).to_numpy() for k in range(3))
+        new = (key[1:] != key[:-1]) | (rest[1:] != rest[:-1]) | (rest2[1:] != rest2[:-1])
+        new = np.append(last is None or (key[0], rest[0], rest2[0]) != last[1], new)
         rows = np.flatnonzero(new)
         if not len(rows):
             continue
         k = key[rows]
-        before = np.append(last is not None and k[0] == last[1][0], k[1:] == k[:-1])
+        before = np.append(last is not None and k[0] == last[1][0], k[1:] == k[:-1]) | salted[rows]
         out = batch.take(pa.array(rows))
         if last is not None:
-            yield pa.RecordBatch.from_arrays([*last[0].columns, pa.array([bool(last[2] or before[0])])], names=[*batch.schema.names, "open"])
+            yield _batch([*last[0].columns, pa.array([bool(last[2] or (before[0] and k[0] == last[1][0]))])], names)
         ready = out.slice(0, len(rows) - 1)
-        yield pa.RecordBatch.from_arrays([*ready.columns, pa.array(before[:-1] | before[1:], pa.bool_())], names=[*batch.schema.names, "open"])
-        last = (out.slice(len(rows) - 1), (k[-1], rest[rows[-1]]), bool(before[-1]))
+        yield _batch([*ready.columns, pa.array(before[:-1] | (before[1:] & (k[1:] == k[:-1])), pa.bool_())], names)
+        at = rows[-1]
+        last = (out.slice(len(rows) - 1), (k[-1], rest[at], rest2[at]), bool(before[-1]))
     if last is not None:
-        yield pa.RecordBatch.from_arrays([*last[0].columns, pa.array([last[2]])], names=[*last[0].schema.names, "open"])
+        yield _batch([*last[0].columns, pa.array([last[2]])], [*last[0].schema.names, "open"])
 
 
 def _first_of_each(rows: DataFrame) -> DataFrame:
-    """One radix pass: rows go to the task of their key and are sorted there; groups stream by, whatever their size."""
+    """One radix pass: rows go to the task of their key (and salt) and are sorted there; groups stream by, whatever their size."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    order = rows.repartition("key").sortWithinPartitions("key", "rest", "doc", "twin", "at")
+    order = rows.repartition("key", "salt").sortWithinPartitions("key", "rest", "rest2", "doc", "twin", "at")
     return order.mapInArrow(_arrow_first, f"{schema}, open boolean")
 
 
 def _arrow_blocks(threshold: int):
-    """(doc, twin, text, ats) batches to (key, rest, doc, twin, at, digit); at packs start, slot and n."""
+    """(doc, twin, text, ats) batches to blocks with their digits; at packs start, slot and n."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -206,18 +256,19 @@ def _arrow_blocks(threshold: int):
             which = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
             shift = (np.array([x[4] for x in held]) - begin)[which]
             packed = np.concatenate([x[3] for x in held])
-            found = blocks(np.frombuffer(b"".join(x[2] for x in held), np.uint8), (packed >> 8) - shift, packed & 255, threshold)
+            found = blocks(np.frombuffer(b"".join(x[2] for x in held), np.uint8), (packed >> 8) - shift, packed & 127, threshold)
             at = (found["start"] + shift[found["unit"]]) << 8 | found["slot"] << 4 | found["n"]
             doc, twin = (np.array([x[i] for x in held], dtype=np.int64)[which[found["unit"]]] for i in range(2))
-            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
-            columns = [pa.array(_signed(found["key"])), pa.array(_signed(found["rest"])), pa.array(doc), pa.array(twin), pa.array(at), digit.cast(pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["key", "rest", "doc", "twin", "at", "digit"])
+            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
+            salt = _salts((packed & _HOT > 0)[found["unit"]], found["rest"])
+            columns = [_signed(found["key"]), _signed(found["rest"]), _signed(found["rest2"]), doc, twin, at, salt, digit.cast(pa.binary())]
+            return _batch(columns, ["key", "rest", "rest2", "doc", "twin", "at", "salt", "digit"])
 
         held, size = [], 0
         for batch in batches:
             for doc, twin, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 text, packed = text.as_py(), np.sort(packed.values.to_numpy())
-                start, n = packed >> 8, packed & 255
+                start, n = packed >> 8, packed & 127
                 # Units that lie near each other are cut out together.
                 cuts = np.flatnonzero(start[1:] > (start + n)[:-1] + 2 * threshold) + 1
                 for own in np.split(np.arange(len(packed)), cuts):
@@ -234,18 +285,15 @@ def _arrow_blocks(threshold: int):
 
 
 def _arrow_suffixes(batches: Iterator) -> Iterator:
-    """Open blocks to their single starts: (key, digit, doc, twin, at)."""
-    import pyarrow as pa
-
+    """Open blocks to their single starts: (key, digit, digit2, doc, twin, at)."""
     for batch in batches:
         key, doc, twin, at = (batch.column(i).to_numpy() for i in range(4))
-        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u8").reshape(-1, BLOCK)
+        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u8").reshape(-1, BLOCK, 2)
         start, slot, n = at >> 8, at >> 4 & 15, at & 15
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        own = slot[row] - step
-        columns = [key[row], _signed(digit[row, own]), doc[row], twin[row], (start[row] + step) << 8 | 1]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "digit", "doc", "twin", "at"])
+        own = digit[row, slot[row] - step]
+        yield _batch([key[row], _signed(own[:, 0].copy()), _signed(own[:, 1].copy()), doc[row], twin[row], (start[row] + step) << 8 | 1], ["key", "digit", "digit2", "doc", "twin", "at"])
 
 
 def _arrow_result(threshold: int):
@@ -274,6 +322,15 @@ def _with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
     return texts.join(own, (texts.doc == own.k) & (texts.twin == own.j), how).select("doc", "twin", "text", "ats")
 
 
+def hot_grams(texts: DataFrame, threshold: int) -> np.ndarray:
+    """Keys that very many units are filed under, by the units of one document in HOT_SAMPLE. They only decide what is salted, not what is found."""
+    some = texts.filter(F.pmod(F.xxhash64("doc", "twin"), F.lit(HOT_SAMPLE)) == 0)
+    keys = some.mapInArrow(_arrow_units(threshold, np.empty(0, np.int64)), ROWS).groupBy("key", "doc", "twin").count().groupBy("key").count()
+    counts = written(keys.filter(F.col("count") >= HOT_LEAST), "grams")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return np.sort(np.array([r["key"] for r in counts.filter(F.col("count") * HOT_SHARE >= total).select("key").collect()], dtype=np.int64))
+
+
 def first_suffixes(texts: DataFrame, threshold: int = 100) -> DataFrame:
     """(doc, twin, at) of the suffixes of (doc, twin, text) whose first ``threshold`` bytes start nowhere earlier.
 
@@ -283,15 +340,15 @@ def first_suffixes(texts: DataFrame, threshold: int = 100) -> DataFrame:
     that agree on everything are copies, a digit that only one kind of row has ends there, and only the rest goes
     on to the next digit.
     """
-    top = texts.filter(F.length("text") >= threshold)
-    top = top.mapInArrow(_arrow_units(threshold), "key long, rest long, doc long, twin long, at long")
-    top = written(_first_of_each(top).select("doc", "twin", "at", "open"), "units", free=True)
+    long = texts.filter(F.length("text") >= threshold)
+    top = long.mapInArrow(_arrow_units(threshold, hot_grams(long, threshold)), ROWS)
+    top = written(_first_of_each(top).select("doc", "twin", "at", "open"), "units")
     parts = _with_places(texts, top.filter("open"), "inner")
-    parts = parts.mapInArrow(_arrow_blocks(threshold), "key long, rest long, doc long, twin long, at long, digit binary")
+    parts = parts.mapInArrow(_arrow_blocks(threshold), f"{ROWS}, digit binary")
     only = [F.when(F.col("open"), F.col(c)).alias(c) for c in ("key", "digit")]
-    parts = written(_first_of_each(parts).select("doc", "twin", "at", "open", *only), "blocks", free=True)
-    single = parts.filter("open").select("key", "doc", "twin", "at", "digit").mapInArrow(_arrow_suffixes, "key long, digit long, doc long, twin long, at long")
-    single = single.groupBy("key", "digit").agg(F.min(F.struct("doc", "twin", "at")).alias("first")).select("first.*")
+    parts = written(_first_of_each(parts).select("doc", "twin", "at", "open", *only), "blocks")
+    single = parts.filter("open").select("key", "doc", "twin", "at", "digit").mapInArrow(_arrow_suffixes, "key long, digit long, digit2 long, doc long, twin long, at long")
+    single = single.groupBy("key", "digit", "digit2").agg(F.min(F.struct("doc", "twin", "at")).alias("first")).select("first.*")
     start, n = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(15).cast("long"))
     closed = parts.filter("not open").select("doc", "twin", F.shiftleft(start, 8).bitwiseOR(n).alias("at"))
     return top.filter("not open").select("doc", "twin", "at").union(closed).union(single)
@@ -303,10 +360,9 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(doc, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     shared = texts.select("doc", F.xxhash64("text").alias("h")).groupBy("doc").agg((F.min("h") != F.max("h")).alias("several"))
     shared = written(shared.filter("several").select(F.col("doc").alias("k")), "shared-ids")
-    n = shared.count()
-    if not n:
+    if not shared.limit(1).count():
         return texts.select("doc", F.lit(0).cast("long").alias("twin"), "text")
-    marked = texts.join(F.broadcast(shared) if n <= BROADCAST_ROWS else shared, texts.doc == F.col("k"), "left")
+    marked = texts.join(shared, texts.doc == F.col("k"), "left")
     return marked.select("doc", F.when(F.col("k").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("twin"), "text")
 
 
@@ -314,13 +370,16 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
     """Bytes of each text that are covered by a string of ``threshold`` bytes that also starts earlier.
 
     Earlier is in a document of smaller id, or before in the same one. Returns doc_id, n_bytes, n_removed, n_spans
-    (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by hashes: a pass groups by 64 bits of a shared part, and strings that
-    share it are told apart by 64 bits of the whole (of n different ones about n * n / 2**65 pairs collide).
+    (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by hashes: a pass groups by 64 bits
+    of a shared part, and strings that share it are told apart by 128 bits of the whole string.
 
     Null and empty texts have 0 bytes and the hash of none; a null id is smaller than all others; rows of one id and
     text are one document seen again and get equal results; different texts of one id (or of none) stand in the order
-    of their hashes; other columns are ignored; no rows give none.
+    of their hashes; other columns are ignored; no rows give none. Ids are whole numbers (text raises TypeError), and the
+    least long counts as null.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of a whole number type: its order says which text is earlier")
     if not 64 + BLOCK - 1 <= threshold <= 128:
         raise ValueError("the threshold must be from 71 to 128 bytes")
     texts = _documents(docs, id_col, text_col)

@@ -51,14 +51,8 @@ def by_id(df):
     return out
 
 
-def test_suffix_dedup(docs, rows, none):
-    texts = {}
-    for r in rows:
-        texts.setdefault(r[0], (r[1] or "").encode())
-        if r[0] is None and r[1]:
-            texts["null"] = r[1].encode()
-    # A null id is before all others: its text is the first to have its strings.
-    order = [("null", texts["null"])] + sorted((k, t) for k, t in texts.items() if isinstance(k, int))
+def brute_repeats(order):
+    """{key: (n_bytes, n_removed, n_spans, kept_sha256)} of (key, bytes) in order."""
     seen, want = set(), {}
     for k, t in order:
         gone = bytearray(len(t))
@@ -67,14 +61,46 @@ def test_suffix_dedup(docs, rows, none):
             if s in seen:
                 gone[i : i + 100] = b"\1" * 100
             seen.add(s)
-        spans = len(re.findall(b"\1+", bytes(gone)))
-        want[k] = (len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())
+        want[k] = (len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest())
+    return want
+
+
+def test_suffix_dedup(docs, rows, none):
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], (r[1] or "").encode())
+        if r[0] is None and r[1]:
+            texts["null"] = r[1].encode()
+    # A null id is before all others: its text is the first to have its strings.
+    want = brute_repeats([("null", texts["null"])] + sorted((k, t) for k, t in texts.items() if isinstance(k, int)))
     got = by_id(suffix_dedup.remove_repeats(docs))
     for k, w in want.items():
         if k != "null":
             assert {tuple(r)[1:] for r in got[k]} == {w}, k
     assert len(got[1]) == 2 and len(got[None]) == 2
     assert suffix_dedup.remove_repeats(none).count() == 0
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(docs, id_col="words")
+
+
+def test_suffix_dedup_pair_with_a_common_core(spark):
+    """Two 100-byte strings that differ in their first 7 bytes alone are different strings."""
+    x = "znylodnwbonnpwiyffyuemjkfjdawjqeleuzvyterizqxjhgmqrumltemmimwcrlcbrmwrlcmdchcmdgbpuwwdqxaqvzh"
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame([(1, "0141501" + x), (2, "0015472" + x), (3, "0141501" + x)], "doc_id long, text string")))
+    assert [got[k][0].n_removed for k in (1, 2, 3)] == [0, 0, 100]
+
+
+@pytest.mark.parametrize("least", [2, 10**9])
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch, least):
+    """A passage in every text, with other bytes around it, whether its k-grams are dealt by salt or not."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", least)
+    r = random.Random(8)
+    passage = prose(50, 40)
+    texts = [(k, prose(100 + k, r.randrange(40)) + passage[: r.choice([150, 400])] + prose(200 + k % 3, 30)) for k in range(60)]
+    want = brute_repeats([(k, t.encode()) for k, t in texts])
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)))
+    assert {k: tuple(got[k][0])[1:] for k in want} == want
 
 
 def test_suffix_dedup_in_pieces(monkeypatch):
@@ -98,7 +124,7 @@ def test_suffix_dedup_tells_contexts_apart(spark):
     rows[:, 4:] = np.frombuffer(passage, np.uint8)[:96]
     for k in range(4):
         rows[:, k] = 97 + heads // 26**k % 26
-    hashes = np.concatenate([suffix_dedup._pair(h[::100], h[36::100]) for part in np.array_split(rows, 20) for h in [suffix_dedup.gram_hashes(part.ravel())[1]]])
+    hashes = np.concatenate([suffix_dedup._pair(h[::100], h[36::100]) for part in np.array_split(rows, 20) for h in [suffix_dedup.gram_hashes(part.ravel())[1][0]]])
     assert len(np.unique(hashes)) == len(hashes)
     order = np.argsort(hashes)
     same = np.flatnonzero(np.diff(hashes[order] >> np.uint64(32)) == 0)
