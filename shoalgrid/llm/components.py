@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.store import single_value, written
 
 
+#: A node's links are dealt to up to this many tasks.
+SALTS = 1024
+
+
 def _to_minimum(pairs: DataFrame) -> DataFrame:
-    """(u, v) rows to (u, v, m): m is the smallest of u and all v of that u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-    return pairs.join(least, pairs.u == least.k).drop("k")
+    """(u, v) rows to (u, v, m): m is the smallest of u and all v of that u.
+
+    A hub's rows go by (u, salt of v): each salt's minimum is found first, then that of at most ``SALTS`` rows of a
+    node, which goes back to the rows by the same two columns, so no task holds all links of a hub.
+    """
+    pairs = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    least = pairs.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = least.select("u", "s", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
+    return pairs.join(least, ["u", "s"]).drop("s")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,8 +39,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Edges (u, v) to rows (node, root), root the smallest node reachable; nodes that are their own root are left out.
 
-    Alternates large-star and small-star steps, a logarithmic number of rounds, each a shuffle by node with a
-    pre-aggregated minimum; every round is a table in the shared folder. Loops (u = v) and nulls are ignored,
+    Alternates large-star and small-star steps, a logarithmic number of rounds, each a shuffle by node and
+    salt with a pre-aggregated minimum; every round is a table in the shared folder. Loops (u = v) and nulls are ignored,
     repeated edges count once, no edges give no rows.
     """
     edges = written(edges.filter("u != v").select("u", "v").distinct(), "edges")

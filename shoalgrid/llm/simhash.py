@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoalgrid.llm.components import connected_components
+from shoalgrid.llm.components import SALTS, connected_components
 from shoalgrid.llm.store import in_slices, written
 
 #: Variant buckets with more distinct fingerprints go by the other exact way instead of by pairs.
@@ -38,7 +38,7 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, fp) with the fingerprint's 64 bits in a long. Null, empty and blank texts get 0."""
 
     def run(batches: Iterator) -> Iterator:
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in in_slices(batches):
-            fps = np.array([simhash(t.as_py() or b"") for t in batch.column(1)], dtype="<u8").view("<i8")
+            fps = np.array([simhash(t.as_py() or b"", width) for t in batch.column(1)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -63,7 +63,8 @@ def _variants(fps: DataFrame) -> DataFrame:
             segment.bitwiseAND(F.lit(~(1 << b)).cast("long")).bitwiseOR(F.lit((s << 61) | (b << SEGMENT_BITS)).cast("long"))
             for b in range(SEGMENT_BITS)
         ]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    return spread.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -89,18 +90,26 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links of 2 bits or fewer.
 
-    Fingerprints are grouped first, so exact copies never meet as pairs. Null, empty and blank texts have
-    fingerprint zero and link like any other; equal rows each come back; a null id is returned and takes the
-    component of its fingerprint (null if that has no id at all); other columns are ignored; no rows give none.
+    Fingerprints of ``width``-word shingles are grouped first, so exact copies never meet as pairs. Rows of one
+    fingerprint are dealt to many tasks by a salt, both to find their smallest id and to get their component.
+
+    Null, empty and blank texts have fingerprint zero and link like any other; equal rows each come back; a null id
+    is returned and takes the component of its fingerprint (null if that has no id at all); other columns are
+    ignored; no rows give none.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "groups")
+    prints = fingerprints(docs, id_col, text_col, width)
+    prints = written(prints.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))), "fingerprints")
+    shares = written(prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("first_id")), "shares")
+    groups = written(shares.groupBy("fp").agg(F.min("first_id").alias("first_id")), "groups")
     roots = written(connected_components(links(groups.select("fp"))), "roots")
     rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = rooted.join(least, "root").filter("not component_id <=> first_id").select(F.col("fp").alias("k"), F.col("component_id").alias("c"))
-    firsts = groups.join(moved, groups.fp == moved.k, "left").select("fp", F.coalesce("c", "first_id").alias("component_id"))
-    return prints.join(firsts, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = rooted.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    least = rooted.groupBy("root", "s").agg(F.min("first_id").alias("first_id"))
+    least = least.select("root", "s", F.min("first_id").over(Window.partitionBy("root")).alias("component_id"))
+    firsts = rooted.join(least, ["root", "s"]).select("fp", "component_id")
+    firsts = written(shares.select("fp", "salt").join(firsts, "fp"), "components")
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return prints.join(firsts, ["fp", "salt"]).select("doc_id", fingerprint, "component_id")
