@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,20 +46,46 @@ def _sorted_windows(w: Column, width: int) -> Column:
     )
 
 
-def _repeated_words(sorted_windows: Column, n: Column, width: int) -> Column:
-    """Number of words in windows whose hash another window of ``sorted_windows`` has, too."""
+def _covered(places: Column, width: int) -> Column:
+    """How many words the windows at ``places`` cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (width - 1))))))
+
+
+def _repeated_words(w: Column, sorted_windows: Column, width: int) -> Column:
+    """Number of words in windows that ``w`` has twice or more.
+
+    Windows of one hash stand side by side in ``sorted_windows``; their words are compared. Where two neighbours of
+    one hash have different words, the windows themselves are sorted instead.
+    """
+    n = F.size(w)
     bits = F.length(F.bin(n.cast("long")))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+
+    def one_hash(x: Column, y: Column) -> Column:
+        return F.coalesce(F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0, F.lit(False))
 
-    def covered(s: Column) -> Column:
+    def one_text(x: Column, y: Column) -> Column:
+        p, q = (z.bitwiseAND(low).cast("int") for z in (x, y))
+        return reduce(lambda a, b: a & b, [F.get(w, p + k) == F.get(w, q + k) for k in range(width)])
+
+    def by_hash(s: Column) -> Column:
+        hits = F.filter(s, lambda x, i: one_hash(x, F.get(s, i + 1)) | one_hash(x, F.get(s, i - 1)))
+        return F.when(
+            F.exists(F.filter(s, lambda x, i: one_hash(x, F.get(s, i + 1)) & ~one_text(x, F.get(s, i + 1))), lambda x: F.lit(True)),
+            _let(F.sort_array(F.transform(F.sequence(F.lit(0), n - width), window)), by_words),
+        ).otherwise(_covered(F.transform(hits, lambda x: x.bitwiseAND(low)), width))
+
+    def window(i: Column) -> Column:
+        return F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(width)]).alias("words"), i.cast("long").alias("at"))
+
+    def by_words(s: Column) -> Column:
         def twin(x: Column, y: Column) -> Column:
-            return F.coalesce(F.call_function("shiftright", x.bitwiseXOR(y), bits) == 0, F.lit(False))
+            return F.coalesce(x["words"] == y["words"], F.lit(False))
 
-        low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         hits = F.filter(s, lambda x, i: twin(x, F.get(s, i + 1)) | twin(x, F.get(s, i - 1)))
-        places = F.transform(hits, lambda x: x.bitwiseAND(low))
-        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + (width - 1))))))
+        return _covered(F.transform(hits, lambda x: x["at"]), width)
 
-    return F.when(n < width + 1, F.lit(0)).otherwise(_let(sorted_windows, covered)).cast("long")
+    return F.when(n < width + 1, F.lit(0)).otherwise(_let(sorted_windows, by_hash)).cast("long")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -76,7 +103,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def chars(pattern_less: str) -> Column:
         return F.length("text") - F.length(F.translate("text", pattern_less, ""))
 
-    blank = r"^[\x20\x09-\x0D]*$"
+    blank = r"^[\x20\x09-\x0D]*\z"
     lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(blank))
     upper = F.length("text") - F.length(F.regexp_replace("text", r"\p{Lu}+", ""))
     lower = F.length("text") - F.length(F.regexp_replace("text", r"\p{Ll}+", ""))
@@ -86,7 +113,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         chars("#*$%&|<>").cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("sorted_windows"), n, width).alias("n_repeat_words"),
+        _repeated_words(w, F.col("sorted_windows"), width).alias("n_repeat_words"),
         upper.alias("n_upper"),
         (upper + lower).alias("n_letters"),
         F.regexp_count("text", F.lit("!+")).alias("n_exclaim"),
@@ -125,14 +152,14 @@ def _votes(rules: Mapping[str, tuple[str, float | None, float | None]]) -> list[
 
 
 def fit_rules(
-    patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, trust: float = 20.0
+    patterns: Sequence[tuple[tuple[int, ...], int]], rounds: int = 1000, prior: float = 0.85, trust: float = 20.0, settled: float = 1e-7
 ) -> tuple[float, list[dict[int, float]]]:
-    """EM for a two-class model with independent rules, from counts of vote patterns.
+    """EM for a two-class model with independent rules, from counts of vote patterns, until no estimate moves by ``settled``.
 
-    A class has its probability, and each rule its probabilities of voting good, bad or abstaining in each class.
-    Starts from rules that seldom vote against the truth, and counts that start as ``trust`` documents. Returns the log odds of the prior
-    and, per rule, the log likelihood ratio of each vote: a vote for good never counts against a document, nor one
-    for bad in its favour, and to abstain is no evidence.
+    A class has its probability, and each rule its probabilities of voting good, bad or abstaining in each class. The
+    estimates are the most probable ones under a Dirichlet prior that counts as ``trust`` documents of rules that
+    seldom vote against the truth; without it the two classes could change places. Returns the log odds of the prior
+    and, per rule, the log likelihood ratio of each vote and of abstaining.
     """
     if not patterns:
         return math.log(prior / (1 - prior)), []
@@ -144,22 +171,29 @@ def fit_rules(
         0: [{-1: 0.02, 0: 0.38, 1: 0.6}, {-1: 0.25, 0: 0.6, 1: 0.15}],
     }
     begin = [start[sum({v[j] for v, _ in patterns} - {0})] for j in range(k)]
-    like = begin
+
+    def ratios(like: list) -> list[dict[int, float]]:
+        return [{v: math.log(g[v] / b[v]) for v in votes} for g, b in like]
+
+    found = ratios(begin)
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
         sums = [[{v: trust * p for v, p in side.items()} for side in pair] for pair in begin]
         good = 0.0
         for vote, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(like[j][0][v] / like[j][1][v]) for j, v in enumerate(vote))
+            odds = math.log(prior / (1 - prior)) + sum(found[j][v] for j, v in enumerate(vote))
             p = 1 / (1 + math.exp(-max(-500, min(500, odds))))
             good += p * n
             for j, v in enumerate(vote):
                 sums[j][0][v] += p * n
                 sums[j][1][v] += (1 - p) * n
+        old = [math.log(prior / (1 - prior)), *(x for r in found for x in r.values())]
         prior = min(0.999, max(0.5, (good + 1) / (total + 2)))
-        like = [[{v: s[v] / sum(s.values()) for v in votes} for s in pair] for pair in sums]
-    ratios = [{v: math.log(g[v] / b[v]) for v in votes} for g, b in like]
-    return math.log(prior / (1 - prior)), [{-1: min(0.0, r[-1]), 0: 0.0, 1: max(0.0, r[1])} for r in ratios]
+        found = ratios([[{v: s[v] / sum(s.values()) for v in votes} for s in pair] for pair in sums])
+        new = [math.log(prior / (1 - prior)), *(x for r in found for x in r.values())]
+        if max(abs(x - y) for x, y in zip(old, new)) < settled:
+            break
+    return math.log(prior / (1 - prior)), found
 
 
 def judge(
@@ -173,7 +207,8 @@ def judge(
 
     Rules vote on measured rates or abstain. How often each vote comes with good and with bad documents is
     estimated by expectation-maximisation over the counts of all vote patterns (3 to the number of rules at most,
-    however many documents there are). ``kept`` needs a posterior of ``least`` and no ``base_failed``.
+    however many documents there are). The posterior is that given the votes cast: what a rule that abstains might have
+    said is summed out, so a document on which all abstain has the prior. ``kept`` needs a posterior of ``least`` and no ``base_failed``.
 
     Null and empty texts have no words and fail; equal rows are judged alike; null ids and other columns make no
     difference; an empty table gives no rows.

@@ -268,11 +268,39 @@ def test_quality(docs, rows, none):
     assert quality.judge(none).count() == 0
 
 
+def test_quality_of_odd_spaces_and_equal_hashes(spark, monkeypatch):
+    """Only the six white-space characters are blank; windows of one hash are told apart by their words."""
+    texts = [(1, "\u0085\n\u0085\n\u2028\na b\n \x0b\n \x0b"), (2, "a b c x a b c y " * 3 + "z"), (3, " ".join(f"w{i}" for i in range(60)) + " w7 w8 w9"), (4, "p q r s")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+
+    def want(t):
+        w = WORD.findall(t)
+        windows = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        return (len(w), len(lines) - len(set(lines)), len({j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}))
+
+    found = {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words) for r in quality.measured(docs).collect()}
+    assert found == {k: want(t) for k, t in texts}
+    # All windows of a text get one hash: the words alone decide.
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: quality.F.lit(77).cast("long") + 0 * quality.F.length(quality.F.coalesce(c[0], quality.F.lit(""))))
+    found = {r.doc_id: (r.n_words, r.n_dup_lines, r.n_repeat_words) for r in quality.measured(docs).collect()}
+    assert found == {k: want(t) for k, t in texts}
+
+
 def test_rule_weights():
-    patterns = [((1, 0, 0), 900), ((0, -1, 0), 60), ((0, 0, -1), 30), ((0, -1, -1), 10)]
-    prior, ratios = quality.fit_rules(patterns)
-    p = lambda v: 1 / (1 + math.exp(-prior - sum(r[x] for r, x in zip(ratios, v))))
-    assert p((1, 0, 0)) > 0.9 and p((0, -1, 0)) < 0.5 and p((0, 0, -1)) < 0.5 and p((0, 0, 0)) > 0.5
+    """EM finds the accuracies that votes were drawn with, and its posterior is Bayes' rule."""
+    r = random.Random(11)
+    accuracy = [(0.9, 0.05), (0.8, 0.3), (0.7, 0.1)]
+    patterns = collections.Counter()
+    for _ in range(40_000):
+        good = r.random() < 0.8
+        patterns[tuple(0 if r.random() < 0.3 else 1 if r.random() < (a if good else b) else -1 for a, b in accuracy)] += 1
+    prior, ratios = quality.fit_rules(list(patterns.items()), trust=1.0)
+    assert 1 / (1 + math.exp(-prior)) == pytest.approx(0.8, abs=0.05)
+    for (a, b), ratio in zip(accuracy, ratios):
+        assert ratio[1] == pytest.approx(math.log(a / b), abs=0.4) and ratio[-1] == pytest.approx(math.log((1 - a) / (1 - b)), abs=0.4) and abs(ratio[0]) < 0.1
+    # Without a vote to learn from, the prior stands.
+    assert quality.fit_rules([])[1] == []
 
 
 def test_language(spark, docs, none):
