@@ -2,44 +2,52 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.llm.store import single_value, words, written
 
-#: A sketch or set of shingles with up to this many rows (8-byte hashes and ids: about 16 MB) is broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows of item shingles that are broadcast at a time (about 100 bytes each); more items take more passes over the documents.
+BLOCK_ROWS = 100_000
 
 
 def _shingles(text: Column, width: int) -> Column:
-    """Hashes of a text's distinct word shingles in lower case; of the whole sequence if there are fewer words; none without words."""
+    """A text's word shingles in lower case, in order; the whole sequence if there are fewer words; none without words."""
     w = words(F.lower(text))
+
     def of(x: Column) -> Column:
-        short = F.when(F.size(x) > 0, F.array(F.xxhash64(F.array_join(x, " ")))).otherwise(F.array().cast("array<bigint>"))
+        short = F.when(F.size(x) > 0, F.array(F.array_join(x, " "))).otherwise(F.array().cast("array<string>"))
         places = F.sequence(F.lit(0), F.size(x) - width)
-        long = F.transform(places, lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(x, i + k) for k in range(width)])))
+        long = F.transform(places, lambda i: F.concat_ws(" ", *[F.get(x, i + k) for k in range(width)]))
         return F.when(F.size(x) < width, short).otherwise(long)
-    return F.element_at(F.transform(F.array(w), of), 1)
-
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are few enough."""
-    return F.broadcast(df) if single_value(df, F.count("*"))[0] <= BROADCAST_ROWS else df
+    return F.element_at(F.transform(F.array(w), of), 1)
 
 
 def sketches(items: DataFrame, width: int, least: float) -> DataFrame:
-    """(item_id, h, n, size_class, in_sketch): each item's distinct shingle hashes and which are in its MinHash sketch.
+    """(item, h, shingle, at, n, size_class, in_sketch): each item's distinct shingles by hash, and which are in its MinHash sketch.
 
     Items are partitioned by size (powers of two). In a class of sizes up to ``u`` the sketch has the
     floor((1 - least) * u) + 1 smallest hashes of an item: a document that lacks all of these lacks more than the
     share 1 - ``least`` of the item, so a search by sketch misses nothing.
     """
-    hashes = items.select("item_id", F.explode(F.array_distinct(_shingles(F.col("text"), width))).alias("h"))
-    sets = hashes.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
-    size_class = F.ceil(F.log2(F.size("hs").cast("double")))
+    rows = items.select("item_id", F.explode(_shingles(F.col("text"), width)).alias("shingle"))
+    pair = F.struct(F.xxhash64("shingle").alias("h"), "shingle")
+    sets = rows.groupBy("item_id").agg(F.sort_array(F.collect_set(pair)).alias("pairs"))
+    size_class = F.ceil(F.log2(F.size("pairs").cast("double")))
     keep = F.floor(F.lit(1 - least) * F.pow(F.lit(2.0), F.col("size_class")) + 1e-9).cast("int") + 1
     sets = sets.withColumn("size_class", size_class)
-    return sets.select("item_id", F.posexplode("hs").alias("at", "h"), F.size("hs").alias("n"), "size_class", (F.col("at") < keep).alias("in_sketch")).drop("at")
+    rows = sets.select(F.col("item_id").alias("item"), F.posexplode("pairs").alias("at", "pair"), F.size("pairs").alias("n"), "size_class", keep.alias("keep"))
+    return rows.select("item", "pair.h", "pair.shingle", "at", "n", "size_class", (F.col("at") < F.col("keep")).alias("in_sketch"))
+
+
+def _in_blocks(rows: DataFrame, found) -> DataFrame:
+    """The union of ``found(block)`` over broadcast blocks of ``rows``, about BLOCK_ROWS each; rows are counted first, and dealt by hash."""
+    blocks = max(1, -(-single_value(rows, F.count("*"))[0] // BLOCK_ROWS))
+    dealt = F.pmod(F.xxhash64("h", "item"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [found(F.broadcast(rows.filter(dealt == k))) for k in range(blocks)])
 
 
 def contained(
@@ -48,22 +56,28 @@ def contained(
     """Pairs (doc_id, item_id, n_shared, n_shingles, containment) of documents that hold an item.
 
     Containment is the share of the item's distinct ``width``-word shingles (lower case) that are in the document,
-    at least ``least``. Documents are searched by the items' MinHash sketches; the documents found are read
-    again and verified by counting all the item's shingles. An item or a document of fewer words is one shingle.
+    at least ``least``. A document's sketch are its shingles of hash up to the largest in any item's sketch, so none
+    that could meet one is left out; the sketches of the items come in blocks of bounded size and are broadcast, so
+    documents aren't shuffled. The documents found are read again and verified by all the item's shingles, word for
+    word. An item or a document of fewer words is one shingle.
 
     Null and empty texts match nothing; equal rows give one pair; null ids of documents or items are left out; other columns are ignored.
     """
     items = items.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL")
     marked = written(sketches(items, width, least), "sketches")
-    sketch = _bounded(marked.filter("in_sketch").select("h", F.col("item_id").alias("item")))
+    sketch = marked.filter("in_sketch").select("h", "item")
+    (bound,) = single_value(sketch, F.max("h"))
     shingled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    hashed = shingled.select("doc_id", F.explode(_shingles(F.col("text"), width)).alias("h"))
-    found = written(hashed.join(sketch, "h").groupBy("doc_id", "item").count().select("doc_id", "item"), "candidates")
+    shingles = F.explode(_shingles(F.col("text"), width)).alias("shingle")
+    hashed = shingled.select("doc_id", shingles).select("doc_id", F.xxhash64("shingle").alias("h"))
+    hashed = hashed.filter(F.col("h") <= F.lit(bound).cast("long"))
+    found = _in_blocks(sketch, lambda block: hashed.join(block, "h").groupBy("doc_id", "item").count().select("doc_id", "item"))
+    found = written(found.distinct(), "candidates")
     ids = found.select(F.col("doc_id").alias("k")).distinct()
-    again = shingled.join(ids, shingled.doc_id == ids.k, "left_semi")
-    again = again.select("doc_id", F.explode(_shingles(F.col("text"), width)).alias("h"))
-    whole = _bounded(marked.select("h", F.col("item_id").alias("item"), "n"))
-    shared = again.join(whole, "h").groupBy("doc_id", "item", "n").agg(F.count_distinct("h").alias("n_shared"))
+    again = shingled.join(ids, shingled.doc_id == ids.k, "left_semi").select("doc_id", shingles).withColumn("h", F.xxhash64("shingle"))
+    whole = marked.select("h", "item", "n", "at", F.col("shingle").alias("own"))
+    pairs = _in_blocks(whole, lambda block: again.join(block, "h").filter("shingle = own").select("doc_id", "item", "n", "at").distinct())
+    shared = pairs.groupBy("doc_id", "item", "n").agg(F.count_distinct("at").alias("n_shared"))
     return (
         shared.join(found, ["doc_id", "item"], "left_semi")
         .filter(F.col("n_shared") >= F.col("n") * F.lit(float(least)) - 1e-9)

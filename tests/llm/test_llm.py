@@ -159,7 +159,9 @@ def test_best_run_is_brute_force():
         assert sum(x[a:b]) == best
 
 
-def test_decontamination(spark, docs, rows, none):
+@pytest.mark.parametrize("block", [100_000, 40])
+def test_decontamination(spark, docs, rows, none, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", block)
     items = [(1, rows[6][1][:200], "c"), (2, prose(99), "c"), (3, None, "c"), (4, "one", "c"), (5, " ".join(prose(5, 3000).split()[1000:1040]), "c"), (None, prose(1), "c")]
     bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
 
