@@ -309,15 +309,24 @@ def test_language(spark, docs, none):
     r = random.Random(5)
     words = {"en": "the with that thing house river".split(), "de": "der nicht schön haus über straße".split()}
     data = [(i, " ".join(r.choice(words[g]) for _ in range(30)), g) for i in range(200) for g in [("en", "de")[i % 2]]]
-    own = spark.createDataFrame([*data, (1000, None, None), (1001, "123 !!", "en"), (1002, "a" * 3000, None), (None, "the river", None)], "doc_id long, text string, lang string")
+    own = spark.createDataFrame([*data, (1000, None, None), (1001, "123 !!", "en"), (1003, "½ ² ①", "en"), (1004, "ⅷ der", "en"), (1002, "a" * 3000, None), (None, "the river", None)], "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in langid.identify(own).collect()}
     import zlib
 
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200))
     assert all(got[i].lang_pred == g for i, _, g in data)
-    assert (got[1000].lang_pred, got[1001].lang_pred, got[1000].score) == ("und", "und", 0.0)
+    assert (got[1000].lang_pred, got[1001].lang_pred, got[1003].lang_pred, got[1000].score) == ("und", "und", "und", 0.0)
     assert all(0 <= x.score <= 1 for x in got.values())
     assert langid.identify(none).count() == 0
+    with pytest.raises(FileNotFoundError):
+        langid.pieces("/nowhere/x.model")
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs).filter("held_out").join(docs.filter("lang IS NOT NULL").select("doc_id", "lang"), "doc_id").collect()
+    right = sum(r.lang_pred == r.lang for r in found)
+    assert len(found) > 100 and right >= 0.97 * len(found)
 
 
 def test_all_segmentations():
@@ -332,10 +341,43 @@ def test_all_segmentations():
 
     for word in ("a", "abab", "babba", "cab"):
         assert np.exp(s.log_probability([word])[0]) == pytest.approx([total("▁" + word, g) for g in (0, 1)])
-    n = s.expected(["abab"], np.ones((1, 2)))
+    n, _ = s.expected(["abab"], np.ones((1, 2)))
     assert (n * np.array([[len(v)] for v in vocabulary])).sum(axis=0) == pytest.approx([5.0, 5.0]), "pieces cover each character once"
 
 
+def test_all_segmentations_of_long_runs(monkeypatch):
+    """Whole runs without white space, far beyond the range of doubles, by exact fractions; counts as those of many short words."""
+    from fractions import Fraction
+
+    vocabulary = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
+    p = np.random.default_rng(1).uniform(0.01, 0.3, (len(vocabulary), 2))
+    s = langid.Segmenter(vocabulary, p)
+    r = random.Random(1)
+    for n in (33, 100, 3000):
+        word = "".join(r.choice("abc") for _ in range(n))
+        for g in (0, 1):
+            sums = [Fraction(1)]
+            whole = "▁" + word
+            for j in range(1, len(whole) + 1):
+                sums.append(sum(sums[j - k] * (Fraction(p[vocabulary.index(whole[j - k : j]), g]) if whole[j - k : j] in vocabulary else Fraction(langid.FLOOR) if k == 1 else 0) for k in range(1, min(3, j) + 1)))
+                if n > 1000 and j > 300:
+                    break
+            if n <= 1000:
+                want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+                assert s.log_probability([word])[0][g] == pytest.approx(want)
+        assert np.isfinite(s.log_probability([word])).all()
+        n_long, l_long = s.expected([word], np.ones((1, 2)))
+        chars = np.array([[len(v)] for v in vocabulary])
+        assert (n_long * chars).sum(axis=0) == pytest.approx([1 + n - word.count("c")] * 2)
+    # One word both ways.
+    word = "abbabbaab"
+    short, l_short = s.expected([word], np.ones((1, 2)))
+    logs = s.log_probability([word])
+    monkeypatch.setattr(langid, "LONGEST", 3)
+    long, l_long = s.expected([word], np.ones((1, 2)))
+    assert long == pytest.approx(short) and l_long == pytest.approx(l_short) and s.log_probability([word]) == pytest.approx(logs)
+
+
 def components_of(prints, bits=2):
     root = {k: k for k in prints}
 
