@@ -23,7 +23,7 @@ LONGEST = 32
 #: Words whose scores a task remembers.
 REMEMBERED = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 19
+_TABLE_BITS = 20
 
 
 def pieces(path: str = VOCABULARY) -> list[str]:
@@ -55,19 +55,27 @@ class Segmenter:
         self.p = np.vstack([probability, np.zeros(self.languages), np.full(self.languages, FLOOR)])
         with np.errstate(divide="ignore"):
             self.log_p = np.log(self.p)
-        self.keys = np.zeros(self.none + 1, dtype=np.uint64)
+        # Beginnings of pieces by their hash, and the piece that a beginning is as a whole.
         sizes = np.array([len(v) for v in vocabulary], dtype=np.int64)
+        hashes, own = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         for size in np.unique(sizes):
-            own = np.flatnonzero(sizes == size)
-            codes = _codes([vocabulary[i] for i in own], int(size))
-            h = np.zeros(len(own), dtype=np.uint64)
+            ids = np.flatnonzero(sizes == size)
+            codes = _codes([vocabulary[i] for i in ids], int(size))
+            h = np.zeros(len(ids), dtype=np.uint64)
             for k in range(int(size)):
                 h = self._step(h, codes[:, k])
-            self.keys[own] = h
-        # Hash tables from some bits of the key to the piece; what finds its place taken goes to the next, by other bits.
-        self.tables, left, shift = [], np.arange(self.none), 0
+                hashes.append(h)
+                own.append(ids if k + 1 == size else np.full(len(ids), self.none))
+        hashes, own = np.concatenate(hashes), np.concatenate(own)
+        order = np.lexsort((own, hashes))
+        first = np.append(True, np.diff(hashes[order]) != 0)[: len(order)]
+        self.keys = np.append(hashes[order][first], np.uint64(0))
+        self.piece = np.append(own[order][first], self.none)
+        self.nothing = len(self.keys) - 1
+        # Hash tables from some bits of the key to the beginning; what finds its place taken goes to the next, by other bits.
+        self.tables, left, shift = [], np.arange(self.nothing), 0
         while len(left):
-            table = np.full(1 << _TABLE_BITS, self.none, dtype=np.int32)
+            table = np.full(1 << _TABLE_BITS, self.nothing, dtype=np.int32)
             table[self._slot(self.keys[left], shift)] = left
             self.tables.append((shift, table))
             left = left[table[self._slot(self.keys[left], shift)] != left]
@@ -82,9 +90,9 @@ class Segmenter:
     def _slot(h: np.ndarray, shift: int) -> np.ndarray:
         return ((h >> np.uint64(shift)) & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
 
-    def _pieces(self, h: np.ndarray) -> np.ndarray:
-        """The piece of each hash, ``none`` if there is none."""
-        out = np.full(len(h), self.none, dtype=np.int64)
+    def _beginnings(self, h: np.ndarray) -> np.ndarray:
+        """The beginning of a piece that has each hash, ``nothing`` if none has."""
+        out = np.full(len(h), self.nothing, dtype=np.int64)
         for shift, table in self.tables:
             own = table[self._slot(h, shift)]
             out = np.where(self.keys[own] == h, own, out)
@@ -94,16 +102,18 @@ class Segmenter:
         """(start, size, which words, their pieces) by start for words of one length."""
         found = []
         for i in range(codes.shape[1]):
-            h = np.zeros(len(codes), dtype=np.uint64)
+            active, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
             for size in range(1, min(self.longest, codes.shape[1] - i) + 1):
-                h = self._step(h, codes[:, i + size - 1])
-                own = self._pieces(h)
+                h = self._step(h, codes[active, i + size - 1])
+                node = self._beginnings(h)
+                own = self.piece[node]
                 if size == 1:
                     found.append((i, 1, slice(None), np.where(own == self.none, self.none + 1, own)))
-                else:
-                    which = np.flatnonzero(own != self.none)
-                    if len(which):
-                        found.append((i, size, which, own[which]))
+                elif (own != self.none).any():
+                    found.append((i, size, active[own != self.none], own[own != self.none]))
+                active, h = active[node != self.nothing], h[node != self.nothing]
+                if not len(active):
+                    break
         return found
 
     def _forward(self, found: list, n: int, size: int) -> np.ndarray:
@@ -127,7 +137,7 @@ class Segmenter:
         h = np.zeros(len(codes), dtype=np.uint64)
         for size in range(1, min(self.longest, len(codes)) + 1):
             h = self._step(h[: len(codes) - size + 1], codes[size - 1 :])
-            out[size - 1 :, self.longest - size] = self._pieces(h)
+            out[size - 1 :, self.longest - size] = self.piece[self._beginnings(h)]
         out[:, -1] = np.where(out[:, -1] == self.none, self.none + 1, out[:, -1])
         return out
 
@@ -157,9 +167,10 @@ class Segmenter:
         sums = np.zeros((self.none + 2, self.languages))
         likelihood = 0.0
 
-        def add(own: np.ndarray, seen: np.ndarray) -> None:
+        def add(seen: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            own, n = (np.concatenate(x) for x in zip(*seen))
             for g in range(self.languages):
-                sums[:, g] += np.bincount(own, weights=seen[:, g], minlength=len(sums))
+                sums[:, g] += np.bincount(own, weights=n[:, g], minlength=len(sums))
 
         for where, codes in self._by_length(words):
             size = codes.shape[1]
@@ -172,8 +183,7 @@ class Segmenter:
                     b[i, which] += b[i + k, which] * self.p[own]
                 share = counts[where] / a[size]
                 likelihood += float((counts[where] * np.log(a[size])).sum())
-                for i, k, which, own in found:
-                    add(own, a[i, which] * self.p[own] * b[i + k, which] * share[which])
+                add([(own, a[i, which] * self.p[own] * b[i + k, which] * share[which]) for i, k, which, own in found])
             else:
                 # The sum from a place on is the forward sum of the same pieces read from the end.
                 ids = self._ending(codes[0])
@@ -183,9 +193,8 @@ class Segmenter:
                 a, b = self._log_forward(ids), self._log_forward(back)[::-1]
                 whole = a[-1]
                 likelihood += float((counts[where] * whole).sum())
-                for k in range(1, min(self.longest, size) + 1):
-                    own = ids[k - 1 :, self.longest - k]
-                    add(own, np.exp(a[: size - k + 1] + self.log_p[own] + b[k:] - whole) * counts[where])
+                each = [(k, ids[k - 1 :, self.longest - k]) for k in range(1, min(self.longest, size) + 1)]
+                add([(own, np.exp(a[: size - k + 1] + self.log_p[own] + b[k:] - whole) * counts[where]) for k, own in each])
         return sums[: self.none], likelihood
 
 
