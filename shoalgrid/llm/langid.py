@@ -251,15 +251,21 @@ def train(
             import pyarrow as pa
 
             own, prob, at = shared.value
-            segmenter, sums, likelihood = Segmenter(own, prob), 0, 0.0
+            segmenter, sums, likelihood, held = Segmenter(own, prob), 0, 0.0, []
+
+            def add() -> None:
+                nonlocal sums, likelihood, held
+                counted = np.zeros((len(held), len(at)))
+                counted[np.arange(len(held)), [at[g] for g, _, _ in held]] = [n for _, _, n in held]
+                more, part = segmenter.expected([w for _, w, _ in held], counted)
+                sums, likelihood, held = sums + more, likelihood + part, []
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                g, words, n = (c.to_pylist() for c in batch.columns)
-                counted = np.zeros((len(words), len(at)))
-                counted[np.arange(len(words)), [at[x] for x in g]] = n
-                more, part = segmenter.expected(words, counted)
-                sums, likelihood = sums + more, likelihood + part
+                held += zip(*(c.to_pylist() for c in batch.columns))
+                if len(held) > 50_000:
+                    add()
+            if held:
+                add()
             if isinstance(sums, np.ndarray):
                 piece, g = np.nonzero(sums)
                 columns = [np.append(piece, -1), np.append(g, 0), np.append(sums[piece, g], likelihood)]
