@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,11 @@ FEATURES = 1 << 16
 #: Partitions that the bounded sample is fitted in.
 TRAIN_PARTITIONS = 6
 FOLDS = 2
-#: Category: SQL over the labels, in the order of the chain.
+#: Absolute penalty of the models: few of the terms count.
+PENALTY = 1e-4
+#: Iterations that a fit may take; one that has not converged then is an error.
+MOST_ITERATIONS = 500
+#: Category: SQL over the labels, in the order of the chain. The labels hold two categories, and only the second is one of toxicity.
 CATEGORIES: Mapping[str, str] = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
 
@@ -38,8 +43,9 @@ def terms(text: Column) -> Column:
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    tf = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=FEATURES)
-    return tf.transform(docs.withColumn("terms", terms(F.col("text")))).drop("text", "terms")
+    tf = HashingTF(inputCol="terms", outputCol="counts", numFeatures=FEATURES)
+    counted = tf.transform(docs.withColumn("terms", terms(F.col("text")))).drop("text", "terms")
+    return Normalizer(inputCol="counts", outputCol="hashed").transform(counted).drop("counts")
 
 
 class Chain:
@@ -65,12 +71,15 @@ class Chain:
         kinds = sorted(r[0] for r in rows.select(f"y_{name}").distinct().collect())
         if len(kinds) < 2:
             return float(kinds[0]) if kinds else 0.0
-        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=15, regParam=0.001, elasticNetParam=1.0, standardization=False)
-        return lr.fit(cls._assembled(rows, before))
+        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=MOST_ITERATIONS, tol=1e-3, regParam=PENALTY, elasticNetParam=1.0, standardization=False)
+        model = lr.fit(cls._assembled(rows, before))
+        if model.summary.totalIterations >= MOST_ITERATIONS:
+            raise RuntimeError(f"the model of {name} did not converge in {MOST_ITERATIONS} iterations")
+        return model
 
     @classmethod
-    def fit(cls, rows: DataFrame, names: list[str], folds: int = FOLDS) -> Chain:
-        """rows: doc_id, hashed, and y_<name> (0.0 or 1.0) for each category.
+    def fit(cls, rows: DataFrame, names: list[str], folds: int = FOLDS) -> tuple[Chain, DataFrame]:
+        """The chain, and ``rows`` with out-of-fold p_<name>; rows: doc_id, hashed, and y_<name> (0.0 or 1.0) for each category.
 
         What a later category's model learns from of an earlier one are out-of-fold predictions: each document's by
         a model fitted on the other folds, as good and as bad as those of unseen documents will be.
@@ -80,13 +89,9 @@ class Chain:
         for k, name in enumerate(names):
             before = names[:k]
             models.append(cls._fitted(rows, name, before))
-            if k + 1 < len(names):
-                parts = [cls._predicted(rows.filter(F.col("fold") == f), cls._fitted(rows.filter(F.col("fold") != f), name, before), name, before) for f in range(folds)]
-                out = parts[0]
-                for part in parts[1:]:
-                    out = out.unionByName(part)
-                rows = written(out, "chain")
-        return cls(names, models)
+            parts = [cls._predicted(rows.filter(F.col("fold") == f), cls._fitted(rows.filter(F.col("fold") != f), name, before), name, before) for f in range(folds)]
+            rows = written(reduce(DataFrame.unionByName, parts).coalesce(TRAIN_PARTITIONS), "chain")
+        return cls(names, models), rows
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` with p_<name> for each category."""
@@ -95,20 +100,31 @@ class Chain:
         return rows
 
 
+def best_threshold(rows: DataFrame, name: str) -> float:
+    """The probability, in hundredths, from which on calling a document ``name`` has the largest F1 over out-of-fold predictions; 0.5 if none is."""
+    counts = rows.groupBy(F.floor(F.col(f"p_{name}") * 100).cast("int").alias("at")).agg(F.sum(f"y_{name}").alias("hits"), F.count("*").alias("n"))
+    found = sorted((r["at"], r["hits"], r["n"]) for r in counts.collect())
+    total = sum(h for _, h, _ in found)
+    scores = [(2 * sum(h for x, h, _ in found if x >= at) / (total + sum(n for x, _, n in found if x >= at)), -at) for at in range(1, 100)]
+    best = max(scores)
+    return -best[1] / 100 if best[0] > 0 else 0.5
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
     categories: Mapping[str, str] = CATEGORIES,
     train_docs: int = TRAIN_DOCS,
-    threshold: float = 0.4,
+    threshold: float | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, p_<category> for each category and ``toxic`` (the last category's probability is ``threshold`` or more).
 
     Fits a classifier chain on about ``train_docs`` labelled documents, those of least hash of the id, and predicts
-    every whole text. Rows of ``labels`` with a null id or null in a category are not used; an id labelled twice
-    takes the largest label.
+    every whole text. Unless given, the threshold is the best one for out-of-fold predictions. Rows of ``labels`` with
+    a null id or null in a category are not used; an id labelled twice takes the largest label, and other columns of
+    theirs are ignored. Of documents of one id each learns that label.
 
     Null texts and those without a word get probability 0; with nothing to learn from all get 0; equal rows are
     predicted alike; null ids are predicted but not learned from; other columns are ignored.
@@ -119,9 +135,13 @@ def classify(
     marked = marked.dropna().groupBy("id").agg(*[F.max(f"y_{name}").alias(f"y_{name}") for name in names])
     n = marked.count()
     place = F.pmod(F.xxhash64(F.lit("toxicity"), F.col("id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    marked = marked.filter(place < min(1.0, train_docs / max(1, n)))
-    learned = rows.join(marked, rows.doc_id == marked.id).drop("id").filter("text IS NOT NULL")
-    chain = Chain.fit(written(_features(learned).coalesce(TRAIN_PARTITIONS), "toxicity"), names)
+    marked = written(marked.filter(place < min(1.0, train_docs / max(1, n))), "labels")
+    # The sample is bounded by train_docs, so it goes to the documents and these stay where they are.
+    learned = rows.join(F.broadcast(marked), rows.doc_id == marked.id).drop("id").filter("text IS NOT NULL")
+    sample = written(_features(learned), "toxicity")
+    chain, unseen = Chain.fit(written(sample.repartition(TRAIN_PARTITIONS), "toxicity"), names)
+    if threshold is None:
+        threshold = best_threshold(unseen, names[-1])
     out = chain.predict(_features(rows.withColumn("blank", ~F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False)))))
     out = out.select("doc_id", *[F.when(F.col("blank"), 0.0).otherwise(F.col(f"p_{name}")).alias(f"p_{name}") for name in names])
     return out.withColumn("toxic", F.col(f"p_{names[-1]}") >= threshold)

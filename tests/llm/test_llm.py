@@ -185,12 +185,12 @@ def test_decontamination(spark, docs, rows, none, monkeypatch, block):
 def test_toxicity(spark):
     bad = "idiot moron clown".split()
     data = [(i, prose(i, 40) + (" " + bad[i % 3] + " " + bad[(i + 1) % 3] if i % 4 == 0 else ""), "w") for i in range(160)]
-    docs = spark.createDataFrame([*data, (None, "an idiot and a moron", "w"), (900, None, "w"), (901, "!!", "w")], "doc_id long, text string, p_toxic string")
-    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(120)] + [(None, 1, 1), (3, None, None), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([*data, (None, "an idiot and a moron", "w"), (900, None, "w"), (901, "!!", "w"), (902, "idiot moron " + prose(1, 20_000), "w"), (903, "idiot moron", "w"), (904, "idiot moron", "w")], "doc_id long, text string, p_toxic string")
+    labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0), "x") for i in range(120)] + [(None, 1, 1, "x"), (3, None, None, "x"), (5, 1, 0, "x"), (5, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
     right = [got[i].toxic == (i % 4 == 0) for i in range(120, 160)]
     assert sum(right) >= 36
-    assert not got[900].toxic and got[901].p_toxic == 0.0
+    assert not got[900].toxic and got[901].p_toxic == 0.0 and got[903].toxic and got[903].p_toxic == got[904].p_toxic
     assert toxicity.classify(docs.limit(0), labels).count() == 0
     assert {r.p_toxic for r in toxicity.classify(docs, labels.limit(0)).collect()} == {0.0}
 
