@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +57,13 @@ class Chain:
 
     @staticmethod
     def _assembled(rows: DataFrame, before: list[str]) -> DataFrame:
-        return VectorAssembler(inputCols=["hashed", *(f"p_{b}" for b in before)], outputCol="features").transform(rows)
+        if not before:
+            return rows.withColumn("features", F.col("hashed").alias("features", metadata={}))
+        plain = rows.withColumn("hashed", F.col("hashed").alias("hashed", metadata={}))
+        sized = VectorSizeHint(inputCol="hashed", size=FEATURES, handleInvalid="optimistic").transform(plain)
+        out = VectorAssembler(inputCols=["hashed", *(f"p_{b}" for b in before)], outputCol="features").transform(sized)
+        # A description of every hashed term would travel with each plan.
+        return out.withColumn("features", F.col("features").alias("features", metadata={}))
 
     @classmethod
     def _predicted(cls, rows: DataFrame, model: LogisticRegressionModel | float, name: str, before: list[str]) -> DataFrame:
@@ -105,7 +111,7 @@ def best_threshold(rows: DataFrame, name: str) -> float:
     counts = rows.groupBy(F.floor(F.col(f"p_{name}") * 100).cast("int").alias("at")).agg(F.sum(f"y_{name}").alias("hits"), F.count("*").alias("n"))
     found = sorted((r["at"], r["hits"], r["n"]) for r in counts.collect())
     total = sum(h for _, h, _ in found)
-    scores = [(2 * sum(h for x, h, _ in found if x >= at) / (total + sum(n for x, _, n in found if x >= at)), -at) for at in range(1, 100)]
+    scores = [(2 * sum(h for x, h, _ in found if x >= at) / max(1, total + sum(n for x, _, n in found if x >= at)), -at) for at in range(1, 100)]
     best = max(scores)
     return -best[1] / 100 if best[0] > 0 else 0.5
 
