@@ -20,96 +20,146 @@ ASIDE_TAGS = frozenset("head nav header footer aside form menu dialog noscript t
 RAW_TAGS = frozenset("script style textarea title xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE_TAGS = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words of class, id and role that mark an element as no part of an article.
+HEAD_TAGS = frozenset("head title meta link script style base noscript template".split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
+#: A class, id or role marks an element as no part of an article if it is made of these words, with or without those that name a part of a page.
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
     " disqus footer header masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted"
     " promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe"
     " toolbar topbar widget alert complementary contentinfo".split()
 )
-CONTENT_TAGS = ("article", "main")
-WORD, DEFAULT_TAG, LEAST_TAG, MOST_TAG = 1.0, -0.5, -1.0, -0.02
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""",
-    re.DOTALL,
+PART_WORDS = frozenset(
+    "area articles bar block box btn button buttons col column container content count form group icon icons inner item items left link links list"
+    " main message outer page panel posts right row secondary section site slot stories thread tool tools top bottom unit wrap wrapper zone".split()
 )
+CONTENT_TAGS = ("article", "main")
+#: Scores: of a word; of a tag that no labelled page has; the bounds of a learned one; of a tag on a page with an article.
+WORD, DEFAULT_TAG, LEAST_TAG, MOST_TAG, INSIDE_TAG = 1.0, -0.05, -1.0, -0.02, -1e-6
+#: Score of a word outside the article: small, so that what stands between two articles doesn't part them.
+OUTSIDE_WORD = -1e-4
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def marks(attributes: str) -> list[str]:
+    """The classes, id and roles in a tag's attributes."""
+    if "=" not in attributes:
+        return []
+    return " ".join(next(filter(None, m.groups()), "") for m in _MARKS.finditer(attributes)).split()
 
 
-def _is_aside(tag: str, attributes: str) -> bool:
+def is_aside(tag: str, own_marks: list[str]) -> bool:
+    """Whether an element is no part of an article, by its name or by a class, id or role."""
     if tag in ASIDE_TAGS:
         return True
-    if tag in ("html", "body", *CONTENT_TAGS) or "=" not in attributes:
-        return False
-    marks = " ".join(next(filter(None, m.groups()), "") for m in _MARKS.finditer(attributes))
-    return not ASIDE_WORDS.isdisjoint(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", marks).lower()))
+    if tag in ("html", "body", *CONTENT_TAGS):
+        own_marks = [m for m in own_marks if m.lower() in ("comment", "comments", "ad", "advert", "advertisement")] if tag in CONTENT_TAGS else []
+    for mark in own_marks:
+        words = {w.lower() for w in _WORDS.findall(mark)}
+        if not words.isdisjoint(ASIDE_WORDS) and words <= ASIDE_WORDS | PART_WORDS:
+            return True
+    return False
 
 
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(tag name, with / for an end tag; '' for text) and the text, in page order; raw elements and comments are gone."""
-    out, at = [], 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
+def _tag_end(page: str, at: int, none: dict[str, int]) -> int:
+    """Place of the > that ends a tag, beyond quoted values; a quote without a second one is no quote. -1 if there is no >.
+
+    none: from where on the page has no more of a character, so that no search for it is made twice.
+    """
+    i = at
+    while True:
+        m = _STOP.search(page, i)
+        if not m:
+            return -1
+        if m[0] == ">":
+            return m.start()
+        j = page.find(m[0], m.end()) if m.end() < none.get(m[0], len(page)) else -1
+        if j < 0:
+            none[m[0]] = min(m.end(), none.get(m[0], len(page)))
+            return page.find(">", at)
+        i = j + 1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str]]:
+    """(tag name, with / for an end tag; '' for text) and the attributes or the text, in page order; raw elements and comments are gone."""
+    at, text_from = 0, 0
+    none: dict[str, int] = {}
+    while True:
+        m = _OPEN.search(page, at)
         if not m:
-            out.append(("", page[at:]))
             break
-        if m.start() > at:
-            out.append(("", page[at : m.start()]))
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
-        if not tag:
-            continue
-        end, rest = m["end"] or m["end2"] or "", m["rest"] or m["rest2"] or ""
-        if tag in RAW_TAGS and not end:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        out.append((end + tag, rest))
-    return out
+        if m[2] is None:
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = page.find(close, m.end() - (2 if close == "-->" and page.startswith("<!-->", m.start()) else 0))
+            end = len(page) if end < 0 else end + len(close)
+            tag, rest = "", ""
+        else:
+            end = _tag_end(page, m.end(), none)
+            if end < 0:
+                break
+            tag, rest = m[1] + m[2].lower(), page[m.end() : end]
+            end += 1
+            if tag in RAW_TAGS:
+                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, end)
+                end = close.end() if close else len(page)
+                tag = ""
+        if m.start() > text_from:
+            yield "", page[text_from : m.start()]
+        if tag:
+            yield tag, rest
+        at = text_from = end
+    if text_from < len(page):
+        yield "", page[text_from:]
 
 
-def segments(page: str) -> list[tuple[str, str, bool]]:
-    """(tag or '', text, whether it can be content): an aside element with all inside is left out.
+def segments(page: str) -> list[tuple[str, str, str, tuple[str, ...]]]:
+    """(tag or '', text, where, marks) in page order.
 
-    Of a page with an article or main element only what is inside such can be content.
+    where: 'aside' in an element that is no part of an article, 'inside' in an article or main element, 'outside' if
+    the page has such but not here, 'open' if it has none. marks: classes, ids and roles of the elements around, for
+    texts. An element without an end tag ends with its parent, a head with the first element of the body, a foreign
+    element with a slash at once.
     """
-    found = tokens(page)
-    # Where each element ends that is an aside; one without an end tag runs to the next article, or is none if only its class says so.
-    skip: dict[int, int] = {}
-    wanted = [(i, t) for i, (t, rest) in enumerate(found) if t and t[0] != "/" and t not in VOID_TAGS and _is_aside(t, rest)]
-    if wanted:
-        names = {t for _, t in wanted}
-        open_at: dict[str, list[int]] = {t: [] for t in names}
-        ends: dict[int, int] = {}
-        for i, (t, _) in enumerate(found):
-            if t in names:
-                open_at[t].append(i)
-            elif t[:1] == "/" and t[1:] in names and open_at[t[1:]]:
-                ends[open_at[t[1:]].pop()] = i
-        articles = [i for i, (t, _) in enumerate(found) if t in CONTENT_TAGS]
-        for i, t in wanted:
-            if i in ends:
-                skip[i] = ends[i]
-            elif t in ASIDE_TAGS:
-                skip[i] = next((a for a in articles if a > i), len(found)) - 1
-    out, i, depth = [], 0, 0
+    out: list[tuple[str, str, str, tuple[str, ...]]] = []
+    #: Tag, whether in an aside, whether in an article, marks of it and all around.
+    stack: list[tuple[str, bool, bool, tuple[str, ...]]] = []
+    opened: Counter = Counter()
     some = False
-    while i < len(found):
-        if i in skip:
-            if found[i][0] not in INLINE_TAGS:
-                out.append((found[i][0], "", depth > 0))
-            i = skip[i] + 1
-            continue
-        t, text = found[i]
-        if t in CONTENT_TAGS:
-            depth, some = depth + 1, True
-        out.append((t, text if not t else "", depth > 0))
-        if t[1:] in CONTENT_TAGS and t[0] == "/":
-            depth = max(0, depth - 1)
-        i += 1
-    return out if some else [(t, text, True) for t, text, _ in out]
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for tag, rest in tokens(page):
+        aside, inside, around = stack[-1][1:] if stack else (False, False, ())
+        name = tag.lstrip("/")
+        if opened["head"] and name not in HEAD_TAGS and (tag or rest.strip()):
+            while opened["head"]:
+                pop()
+            aside, inside, around = stack[-1][1:] if stack else (False, False, ())
+        if tag[:1] == "/":
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
+        elif tag and tag not in VOID_TAGS:
+            if stack and stack[-1][0] == "p" and tag not in INLINE_TAGS:
+                pop()
+                aside, inside, around = stack[-1][1:] if stack else (False, False, ())
+            own = marks(rest)
+            foreign = tag in FOREIGN_TAGS or opened["svg"] or opened["math"]
+            if not (foreign and rest.endswith("/")):
+                aside = aside or is_aside(tag, own)
+                inside = inside or (tag in CONTENT_TAGS and not aside)
+                some = some or inside
+                around = (*around[-20:], *own[:5]) if own else around
+                stack.append((tag, aside, inside, around))
+                opened[tag] += 1
+        where = "aside" if aside else "inside" if inside else "open"
+        out.append((tag, "" if tag else rest, where, () if tag else around))
+    return [(t, x, "outside" if where == "open" else where, m) for t, x, where, m in out] if some else out
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -124,15 +174,31 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return bounds
 
 
+def scores(parts: list[tuple[str, str, str, tuple[str, ...]]], weights: Mapping[str, float]) -> list[float]:
+    """Score of each segment. An aside's words have none. A word counts WORD in an article and OUTSIDE_WORD outside one if
+    the page has one; on a page without one, what the least learned mark around it weighs. Tags count their learned weight,
+    next to nothing on a page with an article."""
+    out = []
+    for tag, text, where, around in parts:
+        if tag:
+            out.append(0.0 if where == "aside" else INSIDE_TAG if where != "open" else weights.get(tag.lstrip("/"), DEFAULT_TAG))
+        else:
+            word = {"aside": 0.0, "inside": WORD, "outside": OUTSIDE_WORD}.get(where)
+            if word is None:
+                word = min([WORD, *(weights[f".{m}"] for m in around if f".{m}" in weights)])
+            out.append(len(text.split()) * word)
+    return out
+
+
 def main_text(page: str, weights: Mapping[str, float]) -> str:
-    """Text of the best run of ``page``: a word scores ``weights['']``, a tag its own weight."""
+    """Text of the best run of ``page``: the words in it that score positive."""
     parts = segments(page)
-    word = weights.get("", WORD)
-    a, b = best_run([len(text.split()) * word * own if not t else weights.get(t.lstrip("/"), DEFAULT_TAG) for t, text, own in parts])
+    scored = scores(parts, weights)
+    a, b = best_run(scored)
     blocks, held = [], []
-    for t, text, own in [*parts[a:b], ("p", "", True)]:
+    for (t, text, _, _), score in zip([*parts[a:b], ("p", "", "", ())], [*scored[a:b], 0.0]):
         if not t:
-            if own:
+            if score > 0 or not text.strip():
                 held.append(text)
         elif t.lstrip("/") == "br":
             held.append(" ")
@@ -145,13 +211,14 @@ def main_text(page: str, weights: Mapping[str, float]) -> str:
 def fit_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from pages that label their own content by an article or main element.
 
-    A tag's weight is its log odds to be inside, held between LEAST_TAG and MOST_TAG so that tags stay negative; a
-    word's is WORD. About ``train_pages`` pages are read, those of least hash of the page.
+    A tag's weight is its log odds to be inside, held between LEAST_TAG and MOST_TAG so that tags stay negative. A
+    class, id or role (with a dot before it) weighs the log odds of the words in such elements to be inside, held
+    between -WORD and WORD; a word with none weighs WORD. About ``train_pages`` pages are read, those of least hash of the page.
     """
     labelled = pages.filter(F.lower("html").rlike(r"<(article|main)[\s>]"))
     n = labelled.count()
     if not n:
-        return {"": WORD}
+        return {}
     place = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches: Iterator) -> Iterator:
@@ -161,9 +228,13 @@ def fit_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, f
         outside: Counter = Counter()
         for batch in in_slices(batches):
             for page in batch.column(0).to_pylist():
-                for t, _, own in segments(page):
+                for t, text, where, around in segments(page):
+                    seen = inside if where == "inside" else outside
                     if t:
-                        (inside if own else outside)[t.lstrip("/")] += 1
+                        seen[t.lstrip("/")] += 1
+                    else:
+                        for m in set(around):
+                            seen[f".{m}"] += len(text.split())
         names = sorted({*inside, *outside})
         if names:
             columns = [pa.array(names), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())]
@@ -171,15 +242,16 @@ def fit_weights(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> dict[str, f
 
     sample = labelled.filter(place < min(1.0, train_pages / n)).select("html")
     sums = sample.mapInArrow(run, "tag string, inside long, outside long").groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    odds = {r["tag"]: math.log((r["i"] + 1) / (r["o"] + 1)) for r in sums.collect()}
-    return {"": WORD} | {t: min(MOST_TAG, max(LEAST_TAG, x)) for t, x in odds.items() if t not in CONTENT_TAGS}
+    odds = {r["tag"]: math.log((r["i"] + 1) / (r["o"] + 1)) for r in sums.filter("i + o > 0").collect()}
+    return {t: min(WORD, max(-WORD, x)) if t[0] == "." else min(MOST_TAG, max(LEAST_TAG, x)) for t, x in odds.items() if t not in CONTENT_TAGS}
 
 
 def extract(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text (main text, empty if none) and n_chars (its code points) of every whole page.
 
-    Elements that are no part of an article go first (by name, class, id or role); of the rest, words score positive
-    and tags negative, and the best contiguous run, found by one scan, is the text. Its character references are
+    Words score positive and tags negative, with weights from labelled pages: words in elements that are no part of an
+    article (by name, class, id or role) score nothing, those outside the article of a page that has one negative. The best
+    contiguous run, found by one scan, is the text; its words of positive score stay. Character references are
     decoded, white space inside a block is one space, and blocks stand on lines of their own.
 
     Null and empty pages have empty text; equal rows each come back; null ids and other columns make no difference.

@@ -150,6 +150,57 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>ab</p><hr><hr><hr><hr><p>cd</p></article>", "ab\ncd"),
+        ("<p>one</p><p></p><table><tr><td>two</td></tr></table>", "one\ntwo"),
+        ("<article><section id='related-work'>a b</section><div class='share-of-market'>c</div><div class='related-posts'>no</div></article>", "a b\nc"),
+        ("<html><head><title>no</title><meta charset=x><p>body starts</p><div>here</div>", "body starts\nhere"),
+        ("<article><svg width='3'/><p>a</p><svg><path d='x'/><text>no</text></svg><p>b</p></article>", "a\nb"),
+        ("<article><div><form>no</div><p>kept</p></article><p>no</p>", "kept"),
+        ("<main>a</main><p>no</p><main>b</main>", "a\nb"),
+        ("<article><p>a</p><article class='comment'>no no</article><aside>no " + "no " * 50 + "</aside><p>b</p></article>", "a\nb"),
+        ("<p title=\"unbalanced>a</p><p>b", "a\nb"),
+        ("a < b &lt; c <!-- no --> d<![CDATA[no]]><?no?>", "a < b < c d"),
+        ("<article>" + "<b class=x>w</b> " * 20_000, "w " * 19_999 + "w"),
+    ],
+)
+def test_html_of_odd_pages(page, text):
+    assert html_text.main_text(page, {}) == text
+
+
+def test_html_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<p a=\"" * 100_000, "<aside>" * 100_000, "<div><p></b></i>" * 100_000, "<" * 300_000, "<a b='c>x" * 100_000):
+        html_text.main_text(page, {})
+    assert time.time() - began < 30
+
+
+def test_html_weights_of_labelled_pages(spark):
+    """On pages without an article what was learned from those with one decides."""
+    prose_ = " ".join(["word"] * 30)
+    labelled = [(i, "u", f"<body><div class='strip'><ul><li><a>{prose_}</a></li></ul></div><article><div class='para'><p>{prose_}</p></div></article></body>") for i in range(30)]
+    page = f"<body><div class='strip'>{'junk ' * 12}</div><div class='para'><p>good text of the page</p></div><div>more</div></body>"
+    pages = spark.createDataFrame([*labelled, (99, "u", page), (99, "u", page)], "page_id long, url string, html string")
+    got = [r.text for r in html_text.extract(pages).filter("page_id = 99").collect()]
+    assert got == ["good text of the page\nmore"] * 2
+
+
+def test_html_of_given_pages(spark):
+    """All pages of the table: the text of the one article element, found by a plain search of these well-formed pages."""
+    import html as h
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        article = re.search(r"(?s)<article>(.*)</article>", r.html)[1]
+        blocks = re.split(r"</?(?:p|h1|ul|li|div)>", re.sub(r"<br>", " ", re.sub(r"</?b>", "", article)))
+        assert got[r.page_id] == "\n".join(x for x in (" ".join(h.unescape(b).split()) for b in blocks) if x)
+
+
 def test_best_run_is_brute_force():
     r = random.Random(3)
     for _ in range(200):
