@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from shoalgrid.llm.store import written
 
-#: Leading hexadecimal digits of a key that name its range: 4,096 ranges in each source.
-RANGE_DIGITS = 3
+#: Documents of a range, about: a key's leading hexadecimal digits name its range, as many as give so many ranges.
+RANGE_ROWS = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -57,23 +58,27 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Words that a mix takes from each document: columns doc_id, source, size, source_size, target, taken.
+    """Words that a mix takes from each document: columns doc_id, source, size, source_size, target, taken, and those in ``keep``.
 
-    A document's key is the MD5 of its id and ``seed``. Within a source documents stand in order of key (ties:
+    A document's key is the MD5 of its id (of its text, if it has none) and ``seed``. Within a source documents stand in order of key (ties:
     id, size). A key's leading digits are its range: sums per range are pre-aggregated, their running sums are
     each range's start, and within a range a running sum gives each document's place, so no task holds a source,
     hot or not. The mix takes whole epochs of a source and then its documents in order up to the exact rest of
     the target (rounded down), the last of them in part.
 
-    Null text counts 0 words and takes 0; null sources form one source, null ids share one key; an empty table
+    Null text counts 0 words and takes 0; null sources form one source; an empty table
     gives no rows; equal rows each have their own place; other columns are ignored. Reruns agree.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name).cast("binary"))
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")
-    ).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), *keep
+    )
     sized = written(sized, "mix")
+    digits = max(1, math.ceil(math.log(max(1, sized.count() / RANGE_ROWS), 16)))
+    sized = sized.withColumn("range", F.substring("key", 1, digits))
     ranges = written(sized.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,17 +88,17 @@ def mix(
     placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     placed = placed.join(
         starts.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.range") == F.col("r.range"))
-    ).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", (F.col("d.ahead") + F.col("r.start")).alias("ahead"))
+    ).select("d.doc_id", "d.source", "d.size", "r.source_size", "r.target", (F.col("d.ahead") + F.col("r.start")).alias("ahead"), *[F.col(f"d.{c}") for c in keep])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target")).cast("long") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("ahead")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *keep)
 
 
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight,
              source_size * 2.0::DOUBLE AS cap FROM s),
