@@ -50,23 +50,29 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counts.join(totals, counts.src == totals.s).select("src", "dst", (F.col("count") / F.col("total")).alias("share"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, settled: float = 1e-4, every: int = 8, rounds: int = 400) -> DataFrame:
     """Personalised PageRank (host, rank) of (host, seed) over (src, dst, share).
 
     Ranks are scaled so that a host has its own seed and ``damping`` times what flows in. A round is one join and
-    one pre-aggregated sum by host; every few rounds a table in the shared folder cuts the lineage.
+    one pre-aggregated sum by host; every few rounds a table in the shared folder cuts the lineage. Ranks only grow,
+    so their sum shows how far they are from the end: rounds go on until that is the share ``settled`` of it.
     """
     seeds = seeds.filter("host <> '' AND seed > 0")
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
+    ranks, before = seeds.select("host", F.col("seed").alias("rank")), None
     for i in range(rounds):
         flow = edges.join(ranks, edges.src == ranks.host).select(F.col("dst").alias("host"), (F.lit(damping) * F.col("share") * F.col("rank")).alias("rank"))
         ranks = flow.union(seeds.select("host", F.col("seed").alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
         if i % every == every - 1:
             ranks = written(ranks, "ranks")
-    return ranks
+            total = single_value(ranks, F.coalesce(F.sum("rank"), F.lit(0.0)))[0]
+            # What is still to come is at most this growth times damping ** every / (1 - damping ** every).
+            if before is not None and (total - before) * damping**every / (1 - damping**every) <= settled * total:
+                return ranks
+            before = total
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = 0.5, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null), verdict, trust and distrust of every page's url.
 
     Where no rule fits, the graph of hosts decides. A host's seed of trust is the share of its pages that rules
@@ -88,11 +94,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold:
         F.avg(F.when(F.col("ruling") == "block", 1.0).otherwise(0.0)).alias("blocked"),
     )
     share = written(share, "seeds")
-    steps = rounds if single_value(edges, F.count("*"))[0] else 0
-    trust = spread(share.select("host", F.col("trusted").alias("seed")), edges, damping, steps)
+    trust = spread(share.select("host", F.col("trusted").alias("seed")), edges, damping)
     rest = share.select(F.col("host").alias("s"), (1 - F.col("blocked")).alias("rest")).filter("rest > 0")
     against = edges.join(rest, edges.src == rest.s).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") * F.col("rest")).alias("share"))
-    distrust = spread(share.select("host", F.col("blocked").alias("seed")), written(against, "edges"), damping, steps)
+    distrust = spread(share.select("host", F.col("blocked").alias("seed")), written(against, "edges"), damping)
     both = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust"))
     both = both.union(distrust.select("host", F.lit(0.0), F.col("rank"))).groupBy(F.col("host").alias("h"))
     both = both.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))

@@ -273,6 +273,8 @@ def test_mix(docs, none, rows):
         open_ = {s: x for s, x in open_.items() if s not in over}
     assert all(target[s][0] == pytest.approx(want[s]) for s in want)
     assert mixing.mix(none).count() == 0
+    kept = mixing.mix(docs, keep=["text", "lang"])
+    assert kept.columns[-2:] == ["text", "lang"] and sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((r[0] is None, r[0] or 0, r[1] or "") for r in rows)
 
 
 def test_urls(spark):
@@ -303,6 +305,38 @@ def test_urls_with_many_linkers(spark):
     assert {k: r.distrust for k, r in got.items()} == pytest.approx(want)
 
 
+def test_urls_on_random_graphs(spark):
+    """Trust and distrust by brute force on graphs with hubs, cycles, hosts without links and repeated pages."""
+    r = random.Random(6)
+    for size in (12, 40):
+        hosts = [f"h{i}.net" for i in range(size)] + ["good.org", "bad.com", "worse.com"]
+        data = []
+        for i, h in enumerate(hosts):
+            for k in range(r.randrange(1, 4)):
+                links = r.choices(hosts[: 1 + size // 4] + ["good.org", "bad.com", h], k=r.randrange(6)) if i % 5 else (hosts if i == 0 else [])
+                path = r.choice(["/de/", "/x"]) if h.endswith(".com") else "/"
+                data.append((len(data), f"http://{h}{path}", "".join(f"<A HREF='//{x.upper()}/q'>x</A>" for x in links)))
+        data.append(data[0])
+        pages = spark.createDataFrame(data, "page_id long, url string, html string")
+        n, at = len(hosts), {h: i for i, h in enumerate(hosts)}
+        counts, seeds = np.zeros((n, n)), np.zeros((n, 3))
+        for _, url, html in data:
+            h = at[url.split("/")[2]]
+            seeds[h] += [url.split("/")[2].endswith(".org"), ".com/de/" in url, 1]
+            for x in re.findall("//(.*?)/q", html):
+                counts[h, at[x.lower()]] += x.lower() != hosts[h]
+        share = counts / np.maximum(1, counts.sum(axis=1, keepdims=True))
+        trusted, blocked = seeds[:, 0] / np.maximum(1, seeds[:, 2]), seeds[:, 1] / np.maximum(1, seeds[:, 2])
+        trust, distrust = trusted.copy(), blocked.copy()
+        for _ in range(500):
+            trust, distrust = trusted + 0.85 * share.T @ trust, blocked + (1 - blocked) * 0.85 * (share @ distrust)
+        for x in url_filter.judge(pages).collect():
+            i = at[x.host]
+            assert (x.trust, x.distrust) == pytest.approx((trust[i], distrust[i]), abs=1e-2, rel=1e-3)
+            if x.rule is None and abs(distrust[i] - 0.5) > 0.01 and abs(distrust[i] - trust[i]) > 0.01:
+                assert x.verdict == ("block" if distrust[i] >= 0.5 and distrust[i] > trust[i] else "allow")
+
+
 def test_quality(docs, rows, none):
     got = by_id(quality.judge(docs))
     for k, text, *_ in rows:
