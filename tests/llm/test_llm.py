@@ -480,10 +480,10 @@ def components_of(prints, bits=2):
     return {k: find(k) for k in ids}
 
 
-def brute_simhash(text):
+def brute_simhash(text, width=3):
     w = "".join(c.lower() if c.isascii() else c for c in text or "")
     w = WORD.findall(w)
-    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    shingles = [" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 

@@ -18,14 +18,14 @@ def test_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     kept = {r.doc_id for r in quality.judge(docs).filter("kept").collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    roots = components_of({k: brute_simhash(t) for k, t in texts.items()})
+    roots = components_of({k: brute_simhash(t, 5) for k, t in texts.items()})
     texts = {k: t for k, t in texts.items() if roots[k] == k}
     items = [shingles(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     texts = {k: t for k, t in texts.items() if not any(len(shingles(t) & i) >= 0.8 * len(i) for i in items)}
     clean = {k: secrets.redacted(t, sorted(secrets.find_base(t) + secrets.find_entropy(t)), "[SECRET]") for k, t in texts.items()}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
     assert set(got) == set(clean)
-    assert all(got[k].size == len(WORD.findall(t)) for k, t in clean.items())
+    assert all((got[k].size, got[k].text) == (len(WORD.findall(t)), t) for k, t in clean.items())
     again = docs.sparkSession.createDataFrame([(k, t, r.source) for r in docs.collect() for k, t in [(r.doc_id, clean.get(r.doc_id))] if k in clean], "doc_id long, text string, source string")
     assert {r.doc_id: r.taken for r in mixing.mix(again).collect()} == {k: r.taken for k, r in got.items()}
 
