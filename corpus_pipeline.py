@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shoalgrid.llm import decontaminate, mixing, quality, secrets, simhash
 from shoalgrid.llm.store import table, written
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
+
 
 def _key() -> Column:
     """What tells rows apart: the doc_id, null after all others, and a hash of the text, for ids that stand for several texts."""
@@ -24,16 +27,22 @@ def _only(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; texts of one id, or of none, are judged each for itself."""
-    return _only(docs, quality.judge(docs.withColumn("__id", _key()), id_col="__id").filter("kept").select("doc_id"))
+    """Rows whose text the rules keep, each judged for itself: equal rows alike, texts of one id, or of none, apart.
+
+    Null, empty and blank texts are rejected; an empty table stays empty; the other columns, whatever their names, come along.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    return quality.judge(rows, id_col="row").filter("kept").select("row.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near-duplicates: one with the smallest doc_id, of the least text hash if that has several texts.
+    """One row of each component of near-duplicates by five-word shingles: one with the smallest doc_id, of the least text hash if that has several texts.
 
-    Rows without an id are documents like others; one stays where its component has no id.
+    Rows without an id are documents like others; one stays where its component has no id. Null, empty and blank
+    texts are near-duplicates of each other; of equal rows one stays; an empty table stays empty.
     """
-    firsts = simhash.near_duplicates(docs.withColumn("__id", _key()), "__id").filter("doc_id = component_id").groupBy("doc_id").count()
+    near = simhash.near_duplicates(docs.withColumn("__id", _key()), "__id", width=SHINGLE)
+    firsts = near.filter("doc_id = component_id").groupBy("doc_id").count()
     firsts = written(firsts.select("doc_id", (F.col("count") > 1).alias("again")), "firsts")
     kept = _only(docs, firsts.filter("not again").select("doc_id"))
     if firsts.filter("again").limit(1).count():
@@ -43,21 +52,24 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, with an id or without."""
+    """Rows that hold no benchmark item, with an id or without; of texts of one id each by itself.
+
+    Null and empty texts hold none; with an empty benchmark all rows stay; an empty table stays empty.
+    """
     items = table(spark, sf_dir, "benchmark")
     leaks = written(decontaminate.contained(docs.withColumn("__id", _key()), items, id_col="__id").select("doc_id").distinct(), "leaks")
     return _only(docs, leaks, "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows the text."""
+    """All rows, secrets in their texts replaced by a mark; n_chars follows the text. Null texts stay null."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document: the columns of ``mixing.mix``."""
-    return mixing.mix(docs)
+    """The texts and how many words the mix takes of each: the columns of ``mixing.mix`` and text, a row for each row of ``docs``."""
+    return mixing.mix(docs, keep=["text"])
 
 
 STAGES = [
