@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and blank texts are rejected; an empty table stays empty; the other columns, whatever their names, come along.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return quality.judge(rows, id_col="row").filter("kept").select("row.*")
+    return quality.judge(rows, id_col="row").filter("kept").select("doc_id.*")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
