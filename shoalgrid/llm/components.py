@@ -9,7 +9,7 @@ from shoalgrid.llm.store import single_value, written
 
 
 #: A node's links are dealt to up to this many tasks.
-SALTS = 1024
+SALTS = 64
 
 
 def _to_minimum(pairs: DataFrame) -> DataFrame:
