@@ -240,6 +240,7 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, i % 2, int(i % 4 == 0), "x") for i in range(120)] + [(None, 1, 1, "x"), (3, None, None, "x"), (5, 1, 0, "x"), (5, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
     got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
     right = [got[i].toxic == (i % 4 == 0) for i in range(120, 160)]
+    assert toxicity.best_threshold(spark.createDataFrame([(0.9, 1.0), (0.41, 1.0), (0.39, 0.0), (0.1, 0.0), (0.1, 0.0)], "p_toxic double, y_toxic double"), "toxic") == 0.4
     assert sum(right) >= 36
     assert not got[900].toxic and got[901].p_toxic == 0.0 and got[903].toxic and got[903].p_toxic == got[904].p_toxic
     assert toxicity.classify(docs.limit(0), labels).count() == 0
