@@ -57,6 +57,22 @@ def leaderboard(fitted: Mapping, rows: DataFrame, label: str = "depth") -> DataF
     return regression_metrics(out, ["model"])
 
 
+def held_out(rows: DataFrame, folds: int = 5, tile: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Rows to fit on and rows to score on: the blocks of cells in the first of ``folds`` are left for scoring.
+
+    Rows whose blocks are all in one fold are all of both.
+    """
+    marked = tile_folds(rows, folds, tile)
+    score, learn = marked.filter("fold = 0").drop("fold"), marked.filter("fold <> 0").drop("fold")
+    return (learn, score) if learn.limit(1).count() and score.limit(1).count() else (rows, rows)
+
+
+def compare(rows: DataFrame, features: Sequence[str], names: Sequence[str] | None = None, label: str = "depth") -> DataFrame:
+    """A row of metrics per model, on blocks of cells that none of them was fitted on."""
+    learn, score = held_out(rows)
+    return leaderboard(fit(learn, features, names, label), score, label)
+
+
 def predict(model, cells: DataFrame, features: Sequence[str]) -> DataFrame:
     """``cells`` with ``y_pred``, NULL where a feature is NULL."""
     missing = F.lit(False)

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.sources.shared import written
+
 #: Side of the square buckets that range and neighbour joins go by, in cells.
 TILE = 16
-#: Sides of the buckets that a neighbour search goes by, in turn, and rings of buckets that it counts around one.
-LEVELS = (16, 256, 1 << 20)
+#: Sides of the buckets that a neighbour search goes by, in turn, up to the range of an integer, and rings of buckets that it counts around one.
+LEVELS = tuple(4**i for i in range(1, 16)) + (1 << 31,)
 RINGS = 2
 
 
@@ -49,9 +51,9 @@ def symmetric_bounds(cells: DataFrame, value: str) -> DataFrame:
     return cells.agg(F.when(b < 0.1, 0.5).otherwise(b).alias("bound"))
 
 
-def bbox(cells: DataFrame, padding: int = 0) -> DataFrame:
-    """One row of the smallest box of rows and columns, with padding."""
-    return cells.agg((F.min("r") - padding).alias("r0"), (F.min("c") - padding).alias("c0"), (F.max("r") + padding).alias("r1"), (F.max("c") + padding).alias("c1"))
+def bbox(cells: DataFrame, padding: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """The smallest box of rows and columns of each ``by``, with padding."""
+    return cells.groupBy(*by).agg((F.min("r") - padding).alias("r0"), (F.min("c") - padding).alias("c0"), (F.max("r") + padding).alias("r1"), (F.max("c") + padding).alias("c1"))
 
 
 def cells_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -97,22 +99,23 @@ def resample_bilinear(source: DataFrame, target: DataFrame, step: float, by: Seq
     return sums.select(*by, "r", "c", value)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, skip_own: bool = False) -> DataFrame:
-    """(query columns, point columns, d2, rank) of the k nearest of ``points`` (r, c, k, ...) to each query (qr, qc), ties by the key ``k``.
+def _nearest(places: DataFrame, points: DataFrame, need: int) -> DataFrame:
+    """(qr, qc, point columns, d2, rank) of the ``need`` nearest points to each of distinct places.
 
-    Both go into square buckets. From counts of points per bucket it is known how many rings around a bucket hold k
-    points, and so how far its queries must look; those that find too few in RINGS rings go by larger buckets, the
-    last of which have everything next door.
+    Both go into square buckets. From counts of points per bucket it is known how many rings around a bucket hold
+    enough points, and so how far its places must look; those that find too few in RINGS rings are written and go
+    by buckets four times as wide, the last of which have everything next door.
     """
-    need = k + 1 if skip_own else k
-    own = Window.partitionBy("qr", "qc").orderBy("d2", "k")
-    d2 = (F.col("qr") - F.col("r")) * (F.col("qr") - F.col("r")) + (F.col("qc") - F.col("c")) * (F.col("qc") - F.col("c"))
-    left, done = queries, None
+    order = Window.partitionBy("qr", "qc").orderBy("d2", "k")
+    across, down = (F.col(x).cast("long") - F.col(y) for x, y in (("qc", "c"), ("qr", "r")))
+    d2 = down * down + across * across
+    left, done = places, None
     for side in LEVELS:
         tile = lambda c, side=side: F.floor(F.col(c) / side).cast("int")
         p = points.withColumn("tr", tile("r")).withColumn("tc", tile("c"))
         q = left.withColumn("qtr", tile("qr")).withColumn("qtc", tile("qc"))
-        if side == LEVELS[-1]:
+        last = side == LEVELS[-1]
+        if last:
             reach = q.select("qtr", "qtc").distinct().withColumn("reach", F.lit(RINGS))
         else:
             counts = p.groupBy("tr", "tc").agg(F.count("*").alias("n"))
@@ -122,19 +125,35 @@ def knn(queries: DataFrame, points: DataFrame, k: int, skip_own: bool = False) -
             rings = seen.join(counts, ["tr", "tc"]).groupBy("qtr", "qtc", "ring").agg(F.sum("n").alias("n"))
             rings = rings.withColumn("n", F.sum("n").over(Window.partitionBy("qtr", "qtc").orderBy("ring"))).filter(F.col("n") >= need)
             # The farthest corners of a square of rings are within its side and a bit more of any query in the middle.
-            reach = rings.groupBy("qtr", "qtc").agg(F.ceil((F.min("ring") + 1) * 1.4143).cast("int").alias("reach"))
-            left = q.join(reach, ["qtr", "qtc"], "left_anti").drop("qtr", "qtc")
+            reach = written(rings.groupBy("qtr", "qtc").agg(F.ceil((F.min("ring") + 1) * 1.4143).cast("int").alias("reach")), "reach")
         over = F.sequence(-F.col("reach"), F.col("reach"))
         sent = reach.withColumn("i", F.explode(over)).withColumn("j", F.explode(over))
         sent = sent.select("qtr", "qtc", (F.col("qtr") + F.col("i")).alias("tr"), (F.col("qtc") + F.col("j")).alias("tc"))
         found = q.join(sent, ["qtr", "qtc"]).join(p, ["tr", "tc"]).withColumn("d2", d2)
-        if skip_own:
-            found = found.filter("d2 > 0")
-        found = found.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).drop("tr", "tc", "qtr", "qtc")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= need).drop("tr", "tc", "qtr", "qtc")
         done = found if done is None else done.unionByName(found)
+        if last:
+            break
+        left = written(q.join(reach, ["qtr", "qtc"], "left_anti").drop("qtr", "qtc"), "left")
+        if not left.limit(1).count():
+            break
     return done
 
 
+def knn(queries: DataFrame, points: DataFrame, k: int, own: str | None = None) -> DataFrame:
+    """(query columns, point columns, d2, rank) of the k nearest of ``points`` (r, c, k, ...) to each query (qr, qc), ties by the key ``k``.
+
+    Queries of one place share one search, and each gets all its k neighbours. own: a column of the queries that names
+    the point which a query is itself; that one is left out, others of its place are neighbours.
+    """
+    near = _nearest(queries.select("qr", "qc").distinct(), points, k if own is None else k + 1)
+    found = near.join(queries, ["qr", "qc"])
+    if own is None:
+        return found
+    order = Window.partitionBy(own).orderBy("d2", "k")
+    return found.filter(F.col("k") != F.col(own)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def idw(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """(qr, qc, v): mean of the k nearest points' ``v`` by the weight 1 / (distance + 1)."""
     w = 1 / (F.sqrt(F.col("d2").cast("double")) + 1)
@@ -145,7 +164,7 @@ def robust_idw(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     """As ``idw``, points down-weighted by how far off they are from what their own neighbours say."""
     w = 1 / (F.sqrt(F.col("d2").cast("double")) + 1)
     named = points.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("k").alias("own"), F.col("v").alias("mine"))
-    others = knn(named, points, k, skip_own=True)
+    others = knn(named, points, k, own="own")
     errors = others.groupBy("own").agg((F.first("mine") - F.sum(F.col("v") * w) / F.sum(w)).alias("e"))
     scale = errors.agg((1.4826 * F.median(F.abs("e"))).alias("s"))
     trust = errors.crossJoin(F.broadcast(scale)).select("own", F.when(F.col("e") == 0, 1.0).otherwise(F.least(F.greatest(1.35 * F.col("s") / F.abs("e"), F.lit(0.0)), F.lit(1.0))).alias("u"))

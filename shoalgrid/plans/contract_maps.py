@@ -188,9 +188,9 @@ def _(spark, sf):
     return spatial.symmetric_bounds(pairs(spark, sf).withColumn("dz", F.col("z2") - F.col("z1")), "dz").select(r6("bound").alias("bound"))
 
 
-@query("bbox_of_valid", "SELECT min(r) - 1 AS r0, min(c) - 1 AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1 FROM fx_depth WHERE year = 1997 AND z < -20", "depth")
+@query("bbox_of_valid", "SELECT year, min(r) - 1 AS r0, min(c) - 1 AS c0, max(r) + 1 AS r1, max(c) + 1 AS c1 FROM fx_depth WHERE z < -20 GROUP BY year", "depth")
 def _(spark, sf):
-    return spatial.bbox(maps(spark, sf).filter("year = 1997 AND z < -20"), 1)
+    return spatial.bbox(maps(spark, sf).filter("z < -20"), 1, ["year"])
 
 
 for _kind in ("float32", "double", "uint16"):
@@ -380,12 +380,12 @@ def _(spark, sf):
     return out.select("year", "r", "c", r6("z").alias("z"))
 
 
-_KNN = "q AS (SELECT DISTINCT r AS qr, c AS qc FROM fx_depth), t AS (SELECT DISTINCT r, c, r * 1000 + c AS k, CAST((r * 7 + c * 3) % 11 AS DOUBLE) AS v FROM fx_points WHERE (r * 5 + c * 3) % 17 = 0), n AS (SELECT qr, qc, k, v, (qr - r) * (qr - r) + (qc - c) * (qc - c) AS d2, row_number() OVER (PARTITION BY qr, qc ORDER BY (qr - r) * (qr - r) + (qc - c) * (qc - c), k) AS rank FROM q, t)"
+_KNN = "q AS (SELECT DISTINCT r AS qr, c AS qc FROM fx_depth), t AS (SELECT DISTINCT r, c, r * 1000 + c AS k, CAST((r * 7 + c * 3) % 11 AS DOUBLE) AS v FROM fx_points), n AS (SELECT qr, qc, k, v, (qr - r) * (qr - r) + (qc - c) * (qc - c) AS d2, row_number() OVER (PARTITION BY qr, qc ORDER BY (qr - r) * (qr - r) + (qc - c) * (qc - c), k) AS rank FROM q, t)"
 
 
 def knn_inputs(spark, sf):
     q = maps(spark, sf).select(F.col("r").alias("qr"), F.col("c").alias("qc")).distinct()
-    t = view(spark, sf, "points").filter((F.col("r") * 5 + F.col("c") * 3) % 17 == 0).select("r", "c").distinct()
+    t = view(spark, sf, "points").select("r", "c").distinct()
     return q, t.select("r", "c", (F.col("r") * 1000 + F.col("c")).alias("k"), ((F.col("r") * 7 + F.col("c") * 3) % 11).cast("double").alias("v"))
 
 

@@ -172,8 +172,7 @@ def _(spark, sf):
 
 @query("fit_models", None)
 def _(spark, sf):
-    x = sampled(spark, sf)
-    return models.leaderboard(models.fit(x, _FEATURES), x)
+    return models.compare(sampled(spark, sf), _FEATURES)
 
 
 @query("predict_cells_forest", None)

@@ -104,9 +104,9 @@ def _(spark, sf):
     return spatial.idw(q, t.withColumn("v", 1.96 * F.abs("v")), 5).select("qr", "qc", r6("v").alias("u"))
 
 
-@query("stack_features", "SELECT d.year, d.r, d.c, s.blue_dn, d.z FROM fx_depth d JOIN fx_spectra s ON s.r = d.r AND s.c = d.c WHERE s.scene_id = 1", "depth", "spectra")
+@query("stack_features", "SELECT d.year, s.scene_id, d.r, d.c, s.blue_dn, d.z FROM fx_depth d JOIN fx_spectra s ON s.r = d.r AND s.c = d.c", "depth", "spectra")
 def _(spark, sf):
-    return maps(spark, sf).select("year", "r", "c", "z").join(view(spark, sf, "spectra").filter("scene_id = 1").select("r", "c", "blue_dn"), ["r", "c"]).select("year", "r", "c", "blue_dn", "z")
+    return maps(spark, sf).select("year", "r", "c", "z").join(view(spark, sf, "spectra").select("scene_id", "r", "c", "blue_dn"), ["r", "c"]).select("year", "scene_id", "r", "c", "blue_dn", "z")
 
 
 @query("feature_importance", None)

@@ -144,9 +144,9 @@ def _(spark, sf):
 
 # Sampling and joins
 
-@query("sample_at_points", f"WITH {_D}, {REFLECTED} SELECT d.point_id, s.scene_id, s.blue, s.green, s.nir FROM d JOIN s ON d.r = s.r AND d.c = s.c WHERE s.scene_id = 1", "points", "spectra")
+@query("sample_at_points", f"WITH {_D}, {REFLECTED} SELECT d.point_id, s.scene_id, s.blue, s.green, s.nir FROM d JOIN s ON d.r = s.r AND d.c = s.c", "points", "spectra")
 def _(spark, sf):
-    cells = reflected(spark, sf).filter("scene_id = 1")
+    cells = reflected(spark, sf)
     return points.sample_at_points(pts(spark, sf), cells.select("r", "c", "scene_id", "blue", "green", "nir"), ["scene_id", "blue", "green", "nir"]).select("point_id", "scene_id", "blue", "green", "nir")
 
 
@@ -387,7 +387,16 @@ def _(spark, sf):
     return out.select("point_id", (F.round("residual", 4) + 0.0).alias("residual"), "accepted")
 
 
-@query("knee_point", "SELECT value AS knee FROM (SELECT value, k, n, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS y FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM (SELECT CAST(confidence AS DOUBLE) + dx + 0.5 AS value FROM fx_points WHERE point_id < 8000) a WHERE value > 0) b) c ORDER BY round(abs(k / (n - 1)::DOUBLE - y), 9) DESC, value LIMIT 1", "points")
+@query(
+    "knee_point",
+    """WITH v AS (SELECT CAST(confidence AS DOUBLE) + dx + 0.5 AS value FROM fx_points WHERE CAST(confidence AS DOUBLE) + dx + 0.5 > 0),
+    a AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM v),
+    i AS (SELECT CASE WHEN n < 10000 THEN i ELSE i * (n - 1) // 4999 END AS k, i, CASE WHEN n < 10000 THEN n ELSE 5000 END AS m
+          FROM (SELECT any_value(n) AS n FROM a) t, range(10000) r(i) WHERE i < CASE WHEN n < 10000 THEN n ELSE 5000 END),
+    b AS (SELECT value, i / (m - 1)::DOUBLE AS x, (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS y FROM a JOIN i ON a.k = i.k)
+    SELECT value AS knee FROM b ORDER BY round(abs(x - y), 9) DESC, value LIMIT 1""",
+    "points",
+)
 def _(spark, sf):
-    p = pts(spark, sf).filter("point_id < 8000").withColumn("v", F.col("weight") + F.col("dx") + 0.5)
+    p = pts(spark, sf).withColumn("v", F.col("weight") + F.col("dx") + 0.5)
     return ranks.knee_point(p, "v")

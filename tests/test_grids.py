@@ -1,10 +1,13 @@
 """Edge rules on small grids made by hand."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import indices
-from shoalgrid.operators import components, focal, points, ranks, spatial, temporal, thresholds
+from shoalgrid.operators import components, focal, models, points, ranks, spatial, temporal, thresholds
 
 
 def cells(spark, rows):
@@ -121,3 +124,51 @@ def test_same_with_other_partitions(spark):
     periods = temporal.change_periods(maps.select("year").distinct())
     run = lambda m: sorted(temporal.sediment_volumes(temporal.significant_change(temporal.aligned_pairs(m, periods), 0.16), 100.0).collect())
     assert run(maps.repartition(1)) == run(maps.repartition(7))
+
+
+@pytest.mark.parametrize(
+    "formula, want",
+    [
+        ("log(2 + B1)**2", [math.log(4) ** 2, math.log(6) ** 2, math.log(2) ** 2]), ("B1**-2", [0.25, 1 / 16, 0.0]), ("(B1 + (B2))**2", [16.0, 64.0, 0.0]), ("B1 / sqrt(B2)", [2 / math.sqrt(2), 2.0, 0.0]),
+        ("where(B1 > 2, clip(B1, 0, 3), -1)", [-1.0, 3.0, -1.0]), ("-B1**2 + arctan(B2) * 0", [-4.0, -16.0, 0.0]), ("log(B1 - 4)", [0.0, 0.0, 0.0]), ("sqrt(-B1)", [0.0, 0.0, 0.0]),
+    ],
+)
+def test_band_formulas(spark, formula, want):
+    df = spark.createDataFrame([(2.0,), (4.0,), (0.0,)], "b double")
+    got = [r.x for r in df.select("b", indices.band_math(formula, {"B1": "b", "B2": "b"}).alias("x")).collect()]
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("formula", ["__import__('os')", "B1.x", "lambda: 1", "exp(B1, 2)", "B3", "B1 +", "'a'", "B1 if B1 else B2"])
+def test_formulas_that_are_refused(formula):
+    with pytest.raises(ValueError):
+        indices.band_math(formula, {"B1": "b", "B2": "b"})
+
+
+def test_neighbours_of_repeated_places(spark):
+    """Every query has its k neighbours, however many are at its place; a point leaves out itself alone; far points are found."""
+    r = random.Random(3)
+    pts = [(r.randrange(40), r.randrange(40), k) for k in range(60)] + [(5, 5, 100), (5, 5, 101), (8_000_000, -3_000_000, 102)]
+    qs = [(i, r.randrange(-50, 90), r.randrange(40)) for i in range(40)] + [(90, 5, 5), (91, 5, 5), (92, 7_999_999, 0), (93, -2_000_000_000, 1)]
+    points, queries = spark.createDataFrame(pts, "r int, c int, k int"), spark.createDataFrame(qs, "id int, qr int, qc int")
+    got = {}
+    for x in spatial.knn(queries, points, 4).collect():
+        got.setdefault(x.id, []).append((x.d2, x.k))
+    near = lambda a, b, without=None: sorted(((a - y) ** 2 + (b - z) ** 2, k) for y, z, k in pts if k != without)[:4]
+    assert {i: sorted(v) for i, v in got.items()} == {i: near(a, b) for i, a, b in qs}
+    own = points.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("k").alias("own"))
+    got = {}
+    for x in spatial.knn(own, points, 4, own="own").collect():
+        got.setdefault(x.own, []).append((x.d2, x.k))
+    assert {k: sorted(v) for k, v in got.items()} == {k: near(a, b, k) for a, b, k in pts}
+
+
+def test_models_are_compared_on_held_out_blocks(spark):
+    """A forest that learns noise by heart doesn't win over a line."""
+    r = random.Random(4)
+    rows = [(i % 40, i // 40, float(i % 97), 0.3 * (i % 97) + r.gauss(0, 6.0)) for i in range(1600)]
+    x = spark.createDataFrame(rows, "r int, c int, x double, depth double")
+    learn, score = models.held_out(x)
+    assert learn.count() + score.count() == 1600 and not learn.select(F.floor(F.col("r") / 8), F.floor(F.col("c") / 8)).intersect(score.select(F.floor(F.col("r") / 8), F.floor(F.col("c") / 8))).count()
+    board = {m.model: m.rmse for m in models.compare(x, ["x"], ["linear", "forest"]).collect()}
+    assert board["linear"] <= board["forest"]
