@@ -58,11 +58,11 @@ def filter_any_attribute(rows: DataFrame, columns: Sequence[str], text: str) ->
 
 
 def filter_time_range(rows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
-    """Rows in [start, end]; a bare end date means its end of day. An end before the start is an error."""
+    """Rows in [start, end]; a bare end date means its end of day, and none is later than now. An end before the start is an error."""
     if end < start[: len(end)]:
         raise ValueError("the end is before the start")
     last = f"{end} 23:59:59.999999" if len(end) == 10 else end
-    return rows.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(last).cast("timestamp")))
+    return rows.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.least(F.lit(last).cast("timestamp"), F.current_timestamp())))
 
 
 def annual_chunks(spark, start: str, end: str) -> DataFrame:

@@ -78,8 +78,14 @@ def filter_ransac(points: DataFrame, x: str, y: str, key: str, trials: int = 20,
     return out.withColumn("accepted", F.abs("residual") <= F.col("threshold"))
 
 
+def centred_residuals(points: DataFrame) -> DataFrame:
+    """``points`` with ``residual``, observed less predicted less the mean of that: what is interpolated where depths are not shifted."""
+    mean = points.agg(F.coalesce(F.avg(F.col("y_true") - F.col("y_pred")), F.lit(0.0)).alias("_m"))
+    return points.crossJoin(F.broadcast(mean)).withColumn("residual", F.col("y_true") - F.col("y_pred") - F.col("_m")).drop("_m")
+
+
 def bias_shift(points: DataFrame, cells: DataFrame, correct: bool = True) -> DataFrame:
-    """``cells`` with every z moved by the mean residual (observed less predicted); unchanged without ``correct``."""
+    """``cells`` with every z moved by the mean residual (observed less predicted). Without ``correct`` depths stay as they are, and ``centred_residuals`` are what is left to spread."""
     mean = points.agg(F.coalesce(F.avg(F.col("y_true") - F.col("y_pred")), F.lit(0.0)).alias("_m"))
     return cells.crossJoin(F.broadcast(mean)).withColumn("z", F.col("z") + (F.col("_m") if correct else 0.0)).drop("_m")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.ranks import running_total
+
 
 def filter_scenes(scenes: DataFrame, cloud: float, platforms: Sequence[str], start: str, end: str, limit: int) -> DataFrame:
     """The newest ``limit`` scenes of some platforms in a range of days with little cloud."""
@@ -56,3 +58,11 @@ def natural_order(rows: DataFrame, path: str) -> DataFrame:
     """Names with their place by the first number in them, then by name."""
     place = F.row_number().over(Window.orderBy(F.regexp_extract(path, r"\d+", 0).try_cast("int"), path))
     return rows.select(path, place.alias("place"))
+
+
+def chronological(rows: DataFrame, ts: str, key: str) -> DataFrame:
+    """``rows`` with ``place`` by time, ties by ``key``: days are counted and added up, and only a day's rows are sorted in one task."""
+    dated = rows.withColumn("_day", F.unix_date(F.to_date(ts)))
+    days = running_total(dated.groupBy("_day").agg(F.count("*").alias("_n")), "_day", "_n", "_upto").select(F.col("_day").alias("_d"), (F.col("_upto") - F.col("_n")).alias("_before"))
+    placed = dated.withColumn("_own", F.row_number().over(Window.partitionBy("_day").orderBy(ts, key))).join(days, F.col("_day") == F.col("_d"))
+    return placed.withColumn("place", F.col("_before") + F.col("_own")).drop("_day", "_d", "_own", "_before")

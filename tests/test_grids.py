@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import indices
-from shoalgrid.operators import components, focal, models, points, ranks, spatial, temporal, thresholds
+from shoalgrid.operators import components, focal, models, points, ranks, selection, spatial, temporal, thresholds
 
 
 def cells(spark, rows):
@@ -172,3 +172,22 @@ def test_models_are_compared_on_held_out_blocks(spark):
     assert learn.count() + score.count() == 1600 and not learn.select(F.floor(F.col("r") / 8), F.floor(F.col("c") / 8)).intersect(score.select(F.floor(F.col("r") / 8), F.floor(F.col("c") / 8))).count()
     board = {m.model: m.rmse for m in models.compare(x, ["x"], ["linear", "forest"]).collect()}
     assert board["linear"] <= board["forest"]
+
+
+def test_score_configuration():
+    c = selection.score_config(metrics=["r2", "mae"])
+    assert dict(c.weights) == pytest.approx({"r2": 0.7, "mae": 0.3}) and c.rounds == 20 and c.ranges["mae"] == pytest.approx((0.195, 0.405))
+    c = selection.score_config(weights={"r2": 70, "rmse": -5, "bias": 30}, variation=200, rounds=0, ranges={"r2": (0.9, 0.5)})
+    assert dict(c.weights) == pytest.approx({"r2": 0.7, "bias": 0.3}) and c.variation == 0.95 and c.rounds == 1 and c.ranges["r2"] == (0.5, 0.9)
+    assert c.ranges["bias"] == pytest.approx((0.015, 0.585))
+    for bad in ({"metrics": ["speed"]}, {"weights": {"r2": 0}}):
+        with pytest.raises(ValueError):
+            selection.score_config(**bad)
+
+
+def test_times_up_to_now(spark):
+    df = spark.sql("SELECT CAST(x AS TIMESTAMP) AS t FROM VALUES ('2001-01-01'), ('2001-01-02 23:59:59'), ('9000-01-01') v(x)")
+    assert points.filter_time_range(df, "t", "2001-01-01", "2001-01-02").count() == 2
+    assert points.filter_time_range(df, "t", "2001-01-01", "9999-01-01").count() == 2
+    with pytest.raises(ValueError):
+        points.filter_time_range(df, "t", "2001-01-02", "2001-01-01")
