@@ -15,7 +15,7 @@ from shoalgrid.llm.store import written
 
 #: Labelled documents, about, that the chain is fitted on.
 TRAIN_DOCS = 12_000
-FEATURES = 1 << 16
+FEATURES = 1 << 15
 #: Partitions that the bounded sample is fitted in.
 TRAIN_PARTITIONS = 6
 FOLDS = 2
