@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shoalgrid.functions import qa
 from shoalgrid.operators import focal, masks, spatial, temporal
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
-from shoalgrid.plans.fixtures import SIDE, view
+from shoalgrid.plans import fixtures
+from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
 
 AREA = 100.0
@@ -365,7 +366,7 @@ def _(spark, sf):
 
 @query("resample_nearest", "SELECT d.year, t.r, t.c, d.z FROM (SELECT a.r, b.c FROM range(0, 16) a(r), range(0, 16) b(c)) t JOIN fx_depth d ON d.r = floor((t.r + 0.5::DOUBLE) * 2) AND d.c = floor((t.c + 0.5::DOUBLE) * 2)", "depth")
 def _(spark, sf):
-    return spatial.resample_nearest(maps(spark, sf), spatial.grid_of(spark, SIDE // 2), 2.0, ["year"], "z")
+    return spatial.resample_nearest(maps(spark, sf), spatial.grid_of(spark, fixtures.SIDE // 2), 2.0, ["year"], "z")
 
 
 @query(

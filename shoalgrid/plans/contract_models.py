@@ -10,7 +10,8 @@ from shoalgrid.plans import jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
 from shoalgrid.plans.contract_maps import maps
 from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, sampled
-from shoalgrid.plans.fixtures import SIDE, view
+from shoalgrid.plans import fixtures
+from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
 
 _M = "m AS (SELECT r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997 AND z < -14)"
@@ -68,7 +69,7 @@ _GROUND = "s0 AS (SELECT r, c FROM fx_depth WHERE year = 1997 AND z < -8), m AS
 @query("fill_holes", _sql(f"{_GROUND}, {_reach('m', 'q', _FOUR)}, o AS (SELECT DISTINCT label FROM q_l WHERE r IN (0, 31) OR c IN (0, 31)) SELECT r, c FROM s0 UNION SELECT r, c FROM q_l WHERE label NOT IN (SELECT label FROM o)"))
 def _(spark, sf):
     grid = maps(spark, sf).filter("year = 1997")
-    return components.fill_holes(grid.filter("z < -8").select("r", "c"), grid, (0, 0, SIDE - 1, SIDE - 1))
+    return components.fill_holes(grid.filter("z < -8").select("r", "c"), grid, (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1))
 
 
 @query(
@@ -95,7 +96,7 @@ def _(spark, sf):
 
 @query("water_mask_hybrid", None)
 def _(spark, sf):
-    return jobs.hybrid_water(reflected(spark, sf).filter("scene_id = 1"), (0, 0, SIDE - 1, SIDE - 1))
+    return jobs.hybrid_water(reflected(spark, sf).filter("scene_id = 1"), (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1))
 
 
 @query("combined_mask", f"WITH {REFLECTED} SELECT scene_id, r, c FROM s WHERE scl = 6 AND blue > 0.05::DOUBLE", "spectra")
