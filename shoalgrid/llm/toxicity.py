@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from functools import reduce
 
@@ -21,7 +22,8 @@ TRAIN_PARTITIONS = 6
 FOLDS = 2
 #: Best threshold for out-of-fold predictions on the given labels: 0.19 of about 12,000 rows.
 THRESHOLD = 0.2
-#: Absolute penalty of the models: few of the terms count.
+#: Absolute penalty of models fitted on TRAIN_DOCS rows: few of the terms count. It grows as 1 / sqrt(rows), the rate of
+#: the noise in a term's gradient, so that a smaller sample doesn't leave a fit with terms that only separate its own rows.
 PENALTY = 1e-4
 #: Iterations that a fit may take; one that has not converged then is an error.
 MOST_ITERATIONS = 500
@@ -80,10 +82,11 @@ class Chain:
 
     @classmethod
     def _fitted(cls, rows: DataFrame, name: str, before: list[str]) -> LogisticRegressionModel | float:
-        kinds = sorted(r[0] for r in rows.select(f"y_{name}").distinct().collect())
+        kinds = {r[0]: r[1] for r in rows.groupBy(f"y_{name}").count().collect()}
         if len(kinds) < 2:
-            return float(kinds[0]) if kinds else 0.0
-        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=MOST_ITERATIONS, tol=1e-3, regParam=PENALTY, elasticNetParam=1.0, standardization=False)
+            return float(*kinds) if kinds else 0.0
+        penalty = PENALTY * math.sqrt(TRAIN_DOCS / sum(kinds.values()))
+        lr = LogisticRegression(featuresCol="features", labelCol=f"y_{name}", maxIter=MOST_ITERATIONS, tol=1e-3, regParam=penalty, elasticNetParam=1.0, standardization=False)
         model = lr.fit(cls._assembled(rows, before))
         if model.summary.totalIterations >= MOST_ITERATIONS:
             raise RuntimeError(f"the model of {name} did not converge in {MOST_ITERATIONS} iterations")
