@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Spark's setting that shuffle files go when a query ends, not when the driver's garbage is collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's setting for the rows of a batch that goes to Python.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the folder ``sf_dir``."""
@@ -25,19 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/llm"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here, and a lost executor costs no recomputation.
 
     The shuffle files behind ``df`` have no reader any more after that, so Spark is told to delete them when the write ends.
+    ``batch_rows``: rows in an Arrow batch meanwhile, where rows may be large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, "false" if k == CLEANUP else "10000") for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
