@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.quantiles import exact_quantiles
+
 NODATA = -9999.0
 
 
@@ -56,7 +58,8 @@ def sentinel_reflectance(cells: DataFrame, band: str, scale: float = 1e-4, offse
 def already_scaled(cells: DataFrame, band: str, by: str = "scene_id") -> DataFrame:
     """Per scene whether a band is reflectance already: its 95th percentile is 2.5 at most and its minimum -0.5 at least."""
     x = F.col(band).cast("double")
-    return cells.groupBy(by).agg(((F.percentile(x, 0.95) <= 2.5) & (F.min(x) >= -0.5)).alias("scaled"))
+    ends = exact_quantiles(cells, {"_high": (x, 0.95), "_low": (x, 0.0)}, [by])
+    return ends.select(by, ((F.col("_high") <= 2.5) & (F.col("_low") >= -0.5)).alias("scaled"))
 
 
 def reflectance_by_sensor(platform: Column, dn: Column) -> Column:

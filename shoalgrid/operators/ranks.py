@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.quantiles import exact_quantiles
+
 SPLITS = 256
 
 
@@ -32,7 +34,7 @@ def knee_point(rows: DataFrame, value: str, samples: int = 5000, limit: int = 10
     """
     v = rows.select(F.col(value).cast("double").alias("v")).filter("v > 0")
     counts = running_total(v.groupBy("v").agg(F.count("*").alias("n")), "v", "n", "upto")
-    total = v.agg(F.count("*").alias("total"), F.percentile("v", 0.1).alias("p10"))
+    total = v.agg(F.count("*").alias("total")).crossJoin(exact_quantiles(v, {"p10": (F.col("v"), 0.1)}))
     ranked = counts.crossJoin(F.broadcast(total))
     few = F.col("total") < limit
     # Ranks, from 0, that each distinct value covers; with sampling, the samples whose rank is among them.

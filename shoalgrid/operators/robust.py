@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.quantiles import exact_median, exact_quantiles
+
 
 def robust_log_ratio(cells: DataFrame, a: str = "blue", b: str = "green", percentile: float = 0.05) -> DataFrame:
     """``cells`` with ``ratio`` ln(a s) / ln(b s), s from the lower of both bands' percentiles; kept between 0.1 and 5."""
-    low = cells.agg(F.least(F.percentile(a, percentile), F.percentile(b, percentile)).alias("_p"))
+    low = exact_quantiles(cells, {"_a": (F.col(a), percentile), "_b": (F.col(b), percentile)}).select(F.least("_a", "_b").alias("_p"))
     scale = F.lit(10.0) / F.greatest(F.col("_p"), F.lit(1e-4))
     log = lambda x: F.log(F.greatest(F.col(x) * scale, F.lit(1.1)))
     out = cells.crossJoin(F.broadcast(low)).withColumn("ratio", log(a) / log(b)).drop("_p")
@@ -23,11 +25,9 @@ def deglint(cells: DataFrame, bands: list[str], water: Column, nir: str = "nir",
     over = cells.withColumn("_w", water)
     some = over.agg(F.coalesce(F.bool_or("_w"), F.lit(False)).alias("_any"))
     used = over.crossJoin(F.broadcast(some)).filter(F.col("_w") | ~F.col("_any"))
-    stats = used.agg(
-        F.percentile(nir, percentile).alias("_low"),
-        *[(F.covar_samp(b, nir) / F.var_pop(nir)).alias(f"_slope_{b}") for b in bands],
-    )
-    out = cells.crossJoin(F.broadcast(stats))
+    stats = used.agg(*[(F.covar_samp(b, nir) / F.var_pop(nir)).alias(f"_slope_{b}") for b in bands])
+    low = exact_quantiles(used, {"_low": (F.col(nir), percentile)})
+    out = cells.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(low))
     for b in bands:
         glint = F.coalesce(F.col(f"_slope_{b}"), F.lit(0.0)) * (F.col(nir) - F.col("_low"))
         out = out.withColumn(f"{b}_deglint", F.greatest(F.col(b) - glint, F.lit(1e-4)))
@@ -51,7 +51,7 @@ def filter_least_squares(points: DataFrame, x: str, y: str, times: float = 3.0)
     """``points`` with ``residual`` of a quadratic fit, ``sigma`` (1.4826 median |residual|) and ``accepted`` (within ``times`` sigma)."""
     c0, c1, c2 = quadratic_fit(points, x, y)
     fitted = points.withColumn("residual", F.col(y) - (c0 + c1 * F.col(x) + c2 * F.col(x) * F.col(x)))
-    sigma = fitted.agg((1.4826 * F.median(F.abs("residual"))).alias("sigma"))
+    sigma = exact_median(fitted, F.abs("residual"), "sigma", scale=1.4826)
     return fitted.crossJoin(F.broadcast(sigma)).withColumn("accepted", F.abs("residual") <= times * F.col("sigma"))
 
 
@@ -63,7 +63,7 @@ def filter_ransac(points: DataFrame, x: str, y: str, key: str, trials: int = 20,
     """
     line = points.agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
     if threshold is None:
-        first = points.crossJoin(F.broadcast(line)).agg((2.5 * F.median(F.abs(F.col(y) - F.col("a") - F.col("b") * F.col(x)))).alias("t"))
+        first = exact_median(points.crossJoin(F.broadcast(line)), F.abs(F.col(y) - F.col("a") - F.col("b") * F.col(x)), "t", scale=2.5)
     else:
         first = points.sparkSession.range(1).select(F.lit(float(threshold)).alias("t"))
     drawn = F.explode(F.filter(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), t.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(share)) == 0))
@@ -98,8 +98,11 @@ def lyzenga(cells: DataFrame, depth: Column, deep: float = 15.0, least: int = 50
     """
     d = cells.withColumn("_d", depth)
     is_deep = F.abs("_d") > deep
-    inf = {b: F.when(F.count_if(is_deep) > least, F.percentile(F.when(is_deep, F.col(b)), 0.05)).otherwise(F.greatest(F.percentile(b, 0.01), F.lit(0.001))).alias(f"_{b}") for b in ("blue", "green")}
-    out = d.crossJoin(F.broadcast(d.agg(*inf.values())))
+    enough = d.agg((F.count_if(is_deep) > least).alias("_enough"))
+    shares = {f"{b}_{k}": (c, p) for b in ("blue", "green") for k, c, p in (("deep", F.when(is_deep, F.col(b)), 0.05), ("all", F.col(b), 0.01))}
+    inf = exact_quantiles(d, shares).crossJoin(enough)
+    inf = inf.select(*[F.when(F.col("_enough"), F.col(f"{b}_deep")).otherwise(F.greatest(F.col(f"{b}_all"), F.lit(0.001))).alias(f"_{b}") for b in ("blue", "green")])
+    out = d.crossJoin(F.broadcast(inf))
     log = lambda b: F.log(F.greatest(F.col(b) - F.col(f"_{b}"), F.lit(1e-4)))
     out = out.withColumn("dii", log("blue") - 0.75 * log("green"))
     return out.withColumn("bottom", (F.col("green") - F.col("_green")) * F.exp(2 * 0.12 * F.abs("_d"))).drop("_d", "_blue", "_green")

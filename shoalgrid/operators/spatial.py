@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.quantiles import exact_median
 from shoalgrid.sources.shared import written
 
 #: Side of the square buckets that range and neighbour joins go by, in cells.
@@ -18,7 +19,7 @@ RINGS = 2
 
 def remove_positive(cells: DataFrame, z: str = "z") -> DataFrame:
     """Negative depths alone where the median is negative; else all."""
-    middle = cells.agg(F.median(z).alias("_m"))
+    middle = exact_median(cells, z, "_m")
     return cells.crossJoin(F.broadcast(middle)).filter((F.col("_m") >= 0) | (F.col(z) < 0)).drop("_m")
 
 
@@ -166,7 +167,7 @@ def robust_idw(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     named = points.select(F.col("r").alias("qr"), F.col("c").alias("qc"), F.col("k").alias("own"), F.col("v").alias("mine"))
     others = knn(named, points, k, own="own")
     errors = others.groupBy("own").agg((F.first("mine") - F.sum(F.col("v") * w) / F.sum(w)).alias("e"))
-    scale = errors.agg((1.4826 * F.median(F.abs("e"))).alias("s"))
+    scale = exact_median(errors, F.abs("e"), "s", scale=1.4826)
     trust = errors.crossJoin(F.broadcast(scale)).select("own", F.when(F.col("e") == 0, 1.0).otherwise(F.least(F.greatest(1.35 * F.col("s") / F.abs("e"), F.lit(0.0)), F.lit(1.0))).alias("u"))
     found = knn(queries, points, k).join(trust, F.col("k") == F.col("own"))
     wu = F.col("u") * w

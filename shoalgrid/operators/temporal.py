@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.focal import binary_opening
+from shoalgrid.operators.quantiles import exact_median, exact_quantiles
 from shoalgrid.operators.thresholds import histogram, otsu_of_histogram
 
 
@@ -115,10 +116,11 @@ def combined_uncertainty(pairs: DataFrame, method: str = "mad") -> DataFrame:
     if method == "classical":
         return raw.withColumn("ucomb", 1.96 * F.sqrt(F.col("u1") ** 2 + F.col("u2") ** 2)).withColumn("dz", F.when(F.abs("dz") >= F.col("ucomb"), F.col("dz")).otherwise(0.0))
     if method == "mad":
-        middle = raw.agg(F.median("dz").alias("_m"))
-        one = raw.crossJoin(F.broadcast(middle)).agg((1.4826 * F.median(F.abs(F.col("dz") - F.col("_m")))).alias("ucomb"))
+        middle = exact_median(raw, "dz", "_m")
+        one = exact_median(raw.crossJoin(F.broadcast(middle)), F.abs(F.col("dz") - F.col("_m")), "ucomb", scale=1.4826)
     else:
-        one = raw.agg(((F.percentile("dz", 0.75) - F.percentile("dz", 0.25)) / 1.349).alias("ucomb"))
+        ends = exact_quantiles(raw, {"a": (F.col("dz"), 0.25), "b": (F.col("dz"), 0.75)})
+        one = ends.select(((F.col("b") - F.col("a")) / 1.349).alias("ucomb"))
     return raw.crossJoin(F.broadcast(one)).withColumn("dz", F.when(F.abs("dz") >= F.col("ucomb"), F.col("dz")).otherwise(0.0))
 
 

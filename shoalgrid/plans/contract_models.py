@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shoalgrid.functions import qa, reflectance
 from shoalgrid.operators import components, focal, metrics, models, robust, spatial, temporal
+from shoalgrid.operators.quantiles import exact_median
 from shoalgrid.plans import jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
 from shoalgrid.plans.contract_maps import maps
@@ -148,7 +149,7 @@ def _(spark, sf):
 @query("benthic_rule", f"{_LYZ} SELECT r, c FROM x WHERE round(dii, 6) < (SELECT round(median(dii), 6) FROM x) AND abs(z) < 20", "spectra", "depth")
 def _(spark, sf):
     x = lyzenga(spark, sf)
-    middle = x.agg(F.round(F.median("dii"), 6).alias("m"))
+    middle = exact_median(x, "dii", "m").select(F.round("m", 6).alias("m"))
     return x.crossJoin(F.broadcast(middle)).filter((F.round("dii", 6) < F.col("m")) & (F.abs("z") < 20)).select("r", "c")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shoalgrid.functions import indices
 from shoalgrid.operators import components, focal, models, points, robust, temporal
 from shoalgrid.operators.masks import water_by_three_indices
+from shoalgrid.operators.quantiles import exact_quantiles
 from shoalgrid.operators.ranks import knee_point
 from shoalgrid.operators.thresholds import BINS, histogram
 
@@ -57,7 +58,7 @@ def hybrid_water(cells: DataFrame, bounds: tuple[int, int, int, int], least: int
 
 
 def nir_percentile(p: float) -> Callable[[DataFrame], DataFrame]:
-    return lambda cells: cells.agg(F.percentile("nir", p).alias("_k"))
+    return lambda cells: exact_quantiles(cells, {"_k": (F.col("nir"), p)})
 
 
 def nir_knee(cells: DataFrame) -> DataFrame:
@@ -80,7 +81,7 @@ def shallow_by_clear(cells: DataFrame, limit: Callable[[DataFrame], DataFrame],
     """As ``shallow_by_deep``, from the deep cells that are not among the most turbid (NDTI at or under its ``most`` quantile there)."""
     marked = cells.withColumn("_ndti", indices.ndti(F.col("red"), F.col("green"))).crossJoin(F.broadcast(limit(cells)))
     deep = marked.filter(F.col("nir") <= F.col("_k"))
-    clear = deep.crossJoin(F.broadcast(deep.agg(F.percentile("_ndti", most).alias("_q")))).filter(F.col("_ndti") <= F.col("_q"))
+    clear = deep.crossJoin(F.broadcast(exact_quantiles(deep, {"_q": (F.col("_ndti"), most)}))).filter(F.col("_ndti") <= F.col("_q"))
     stats = clear.agg(*[(F.avg(b) + 2 * F.stddev_pop(b)).alias(f"_{b}") for b in ("blue", "green")])
     return cells.crossJoin(F.broadcast(stats)).filter((F.col("blue") > F.col("_blue")) | (F.col("green") > F.col("_green"))).drop("_blue", "_green")
 
@@ -88,8 +89,10 @@ def shallow_by_clear(cells: DataFrame, limit: Callable[[DataFrame], DataFrame],
 def quantile_sigma(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
     """``rows`` with ``sigma``: half the distance of the 16 % and 84 % quantiles of y in the row's bin of x."""
     bin_ = F.floor(F.col(x) / width).cast("int")
-    q = rows.groupBy(bin_.alias("_b")).agg(((F.percentile(y, 0.84) - F.percentile(y, 0.16)) / 2).alias("sigma"))
-    return rows.withColumn("_bin", bin_).join(q, F.col("_bin") == F.col("_b")).drop("_bin", "_b")
+    binned = rows.withColumn("_bin", bin_)
+    q = exact_quantiles(binned, {"_high": (F.col(y), 0.84), "_low": (F.col(y), 0.16)}, ["_bin"])
+    q = q.select(F.col("_bin").alias("_b"), ((F.col("_high") - F.col("_low")) / 2).alias("sigma"))
+    return binned.join(q, F.col("_bin") == F.col("_b")).drop("_bin", "_b")
 
 
 def single_scene_depth(cells: DataFrame, soundings: DataFrame) -> DataFrame:
