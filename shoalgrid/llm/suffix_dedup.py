@@ -27,7 +27,9 @@ HOT_SAMPLE, HOT_LEAST, HOT_SHARE, HOT_SALTS = 64, 32, 100_000, 64
 NO_ID = -(1 << 63)
 #: Marks a packed place of a hot k-gram.
 _HOT = 128
-_PLACE = np.uint64((1 << 21) - 1)
+#: Places in a buffer, which pass for the low bits of a hash: no buffer is longer.
+PLACES = 1 << 21
+_PLACE = np.uint64(PLACES - 1)
 #: Constants of two independent hash functions of 64 bits.
 _LANES = [
     [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)],
@@ -101,7 +103,7 @@ def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) ->
     """The next digit for units: aligned blocks of BLOCK starts before a unit's place.
 
     unit (index), key: of the string that all starts of a whole block share; rest and rest2: of what the block's own
-    starts cover; start, n, slot (of its first start, counted down to 0) and digit (BLOCK times 64 bits, then BLOCK times 32 bits, of each whole string).
+    starts cover; start, n, slot (of its first start, counted down to 0) and digit (n by BLOCK by 2, 128 bits of each whole string).
     """
     h32, h64 = gram_hashes(buf)
     last = start + n - 1
@@ -116,10 +118,8 @@ def blocks(buf: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: int) ->
     count = np.diff(np.append(first, len(unit)))
     core = place[unit[first]] - group[first] * BLOCK
     key = _pair(_pair(h64[0][core], h64[0][core + threshold - BLOCK + 1 - 64]), (place[unit[first]] - core).astype(np.uint64))
-    lanes = [np.zeros((len(first), BLOCK), dtype=kind) for kind in ("<u8", "<u4")]
-    for k, h in enumerate(h64):
-        lanes[k][np.repeat(np.arange(len(first)), count), slot] = (_pair(h[each], h[each + threshold - 64], k) >> np.uint64(32 * k)).astype(lanes[k].dtype)
-    digit = np.concatenate([x.view(np.uint8) for x in lanes], axis=1)
+    digit = np.zeros((len(first), BLOCK, 2), dtype="<u8")
+    digit[np.repeat(np.arange(len(first)), count), slot] = np.stack([_pair(h[each], h[each + threshold - 64], k) for k, h in enumerate(h64)], axis=1)
     rest, rest2 = (_pair(h, slot[first].astype(np.uint64), k) for k, h in enumerate(_span_hash(h64, each[first], count + (threshold - 1))))
     return {"unit": unit[first], "key": key, "rest": rest, "rest2": rest2, "start": each[first], "n": count, "slot": slot[first], "digit": digit}
 
@@ -190,6 +190,9 @@ def _arrow_units(threshold: int, hot_keys: np.ndarray):
                 text = text.as_py()
                 for a in range(0, max(0, len(text) - threshold + 1), PIECE):
                     part = text[a : a + PIECE + threshold - 1]
+                    if size + len(part) > PLACES:
+                        parts.append(found_in(held))
+                        held, size = [], 0
                     held.append((doc, twin, a, part))
                     size += len(part)
                     if size >= PIECE:
@@ -261,7 +264,7 @@ def _arrow_blocks(threshold: int):
             found = blocks(np.frombuffer(b"".join(x[2] for x in held), np.uint8), (packed >> 8) - shift, packed & 127, threshold)
             at = (found["start"] + shift[found["unit"]]) << 8 | found["slot"] << 4 | found["n"]
             doc, twin = (np.array([x[i] for x in held], dtype=np.int64)[which[found["unit"]]] for i in range(2))
-            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(12 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
+            digit = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * BLOCK), len(at), [None, pa.py_buffer(found["digit"].tobytes())])
             salt = _salts((packed & _HOT > 0)[found["unit"]], found["rest"])
             columns = [_signed(found["key"]), _signed(found["rest"]), _signed(found["rest2"]), doc, twin, at, salt, digit.cast(pa.binary())]
             return _batch(columns, ["key", "rest", "rest2", "doc", "twin", "at", "salt", "digit"])
@@ -271,8 +274,9 @@ def _arrow_blocks(threshold: int):
             for doc, twin, text, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 text, packed = text.as_py(), np.sort(packed.values.to_numpy())
                 start, n = packed >> 8, packed & 127
-                # Units that lie near each other are cut out together.
-                cuts = np.flatnonzero(start[1:] > (start + n)[:-1] + 2 * threshold) + 1
+                # Units that lie near each other are cut out together, in stretches of PIECE / 2 and a unit at most.
+                part = start // (PIECE // 2)
+                cuts = np.flatnonzero((start[1:] > (start + n)[:-1] + 2 * threshold) | (part[1:] != part[:-1])) + 1
                 for own in np.split(np.arange(len(packed)), cuts):
                     a, b = int(start[own[0]]), int(start[own[-1]] + n[own[-1]]) + threshold - 1
                     held.append((doc, twin, text[a:b], packed[own], a))
@@ -290,13 +294,12 @@ def _arrow_suffixes(batches: Iterator) -> Iterator:
     """Open blocks to their single starts: (key, digit, digit2, doc, twin, at)."""
     for batch in batches:
         key, doc, twin, at = (batch.column(i).to_numpy() for i in range(4))
-        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, 12 * BLOCK)
-        long, short = (x.copy().view(kind) for x, kind in ((digit[:, : 8 * BLOCK], "<u8"), (digit[:, 8 * BLOCK :], "<u4")))
+        digit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u8").reshape(-1, BLOCK, 2)
         start, slot, n = at >> 8, at >> 4 & 15, at & 15
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        own = slot[row] - step
-        yield _batch([key[row], _signed(long[row, own]), short[row, own].astype(np.int64), doc[row], twin[row], (start[row] + step) << 8 | 1], ["key", "digit", "digit2", "doc", "twin", "at"])
+        own = digit[row, slot[row] - step]
+        yield _batch([key[row], _signed(own[:, 0].copy()), _signed(own[:, 1].copy()), doc[row], twin[row], (start[row] + step) << 8 | 1], ["key", "digit", "digit2", "doc", "twin", "at"])
 
 
 def _arrow_result(threshold: int):
@@ -374,7 +377,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, id_col: str = "doc_id"
 
     Earlier is in a document of smaller id, or before in the same one. Returns doc_id, n_bytes, n_removed, n_spans
     (maximal removed runs) and kept_sha256 (of the bytes that stay). Strings are compared by hashes: a pass groups by 64 bits
-    of a shared part, and strings that share it are told apart by 128 bits of the whole string, in the last pass by 96.
+    of a shared part, and strings that share it are told apart by 128 bits of the whole string.
 
     Null and empty texts have 0 bytes and the hash of none; a null id is smaller than all others; rows of one id and
     text are one document seen again and get equal results; different texts of one id (or of none) stand in the order

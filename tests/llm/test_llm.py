@@ -65,6 +65,22 @@ def brute_repeats(order):
     return want
 
 
+def test_suffix_dedup_at_the_end_of_a_buffer(spark, monkeypatch):
+    """A document whose repeat lies near the end of a buffer loses it whatever else its task holds; stretches of long repeats are cut."""
+    for piece in (1 << 20, 4096):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "PLACES", 2 * piece)
+        r = random.Random(piece)
+        letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        x, long = letters(100), letters(5 * min(piece, 40_000))
+        texts = {1: letters(piece - 1), 2: letters(piece - 1) + x, 5: x, 6: long, 7: "-" + long + "-"}
+        want = brute_repeats(sorted((k, v.encode()) for k, v in texts.items())) if piece < 1 << 20 else {5: (100, 100, 1, hashlib.sha256(b"").hexdigest())}
+        for rows, parts in ((texts, 1), (texts, 3), ({k: v for k, v in texts.items() if k != 1}, 1)):
+            got = {r[0]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string").coalesce(1).repartition(parts)).collect()}
+            assert all(got[k] == w for k, w in want.items() if k in rows), (piece, parts)
+            assert got[7][1] == len(long)
+
+
 def test_suffix_dedup(docs, rows, none):
     texts = {}
     for r in rows:
