@@ -14,7 +14,7 @@ from shoalgrid.llm.store import in_slices, written
 #: Folder of the public vocabularies; a parameter of ``align``, the files are never copied.
 TOKENIZERS = "/opt/tokenizers"
 #: Texts go to blocks of about this many bytes (a longer text is a block of its own), which bounds a task's arrays.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Longer texts are encoded by the slower of two encoders of the same vocabulary, whose pattern matcher has no stack to overflow.
 FAST_CHARS = 100_000
 #: Ids of B are below this in a link's number ``a * STRIDE + b``.
@@ -170,7 +170,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, folder: str) -> DataFra
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum (longs) and groups_sha256 of every row, by both public tokenizers.
 
-    A block of texts, about 4 MB, is one line of bytes for the pointer jumping; it keeps its links as places in the
+    A block of texts, about 1 MB, is one line of bytes for the pointer jumping; it keeps its links as places in the
     list of its distinct id pairs. Only those lists are counted over the corpus and go back to their blocks, so a
     pair that every text holds has a row a block in the shuffle, not one a text.
 
