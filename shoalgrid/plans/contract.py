@@ -1,6 +1,6 @@
 """All contract queries."""
 
-from shoalgrid.plans import contract_cells, contract_points, contract_maps, contract_models, contract_more, contract_selection  # noqa: F401
+from shoalgrid.plans import contract_cells, contract_points, contract_maps, contract_models, contract_more, contract_selection, contract_tides  # noqa: F401
 from shoalgrid.plans.registry import QUERIES, SQL
 
 

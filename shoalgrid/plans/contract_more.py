@@ -165,13 +165,6 @@ def _(spark, sf):
     return sanitize_columns(e.select("event_id", "ts", F.year("ts").alias("year"), "value", F.array("event_id").alias("dropped")))
 
 
-@query("job_datum_convert", None)
-def _(spark, sf):
-    tide = spatial.coastal_fix(spatial.tide_in_metres(view(spark, sf, "tide")))
-    p = view(spark, sf, "points").select("point_id", F.col("depth").cast("double").alias("depth"), (F.col("r") * F.lit(0.3)).alias("lat"), (F.col("c") * F.lit(0.25)).alias("lon"))
-    return spatial.datum_shift(spatial.harmonic_sums(spatial.tide_lookup(p, tide)), "MSL", "LAT").select("point_id", r6("depth").alias("depth"))
-
-
 @query("job_evaluate_map", f"WITH p AS (SELECT CAST(p.depth AS DOUBLE) AS y_true, d.z AS y_pred FROM fx_points p JOIN fx_depth d ON d.r = p.r AND d.c = p.c AND d.year = 1997) SELECT {_METRICS} FROM p", "points", "depth")
 def _(spark, sf):
     found = points.sample_at_points(pts(spark, sf).drop("year"), maps(spark, sf).filter("year = 1997"), ["z"])
