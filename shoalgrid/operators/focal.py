@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.tiles import Bounds, by_tile, filled_from_nearest, with_edges
+
 HORN = {(-1, -1): (-1, 1), (-1, 0): (0, 2), (-1, 1): (1, 1), (0, -1): (-2, 0), (0, 1): (2, 0), (1, -1): (-1, -1), (1, 0): (0, -2), (1, 1): (1, -1)}
 
 
@@ -41,18 +43,31 @@ def binary_closing(mask: DataFrame, by: Sequence[str] = (), inside: tuple[int, i
     return erode(dilate(mask, by, inside), by)
 
 
-def focal_median(cells: DataFrame, value: str, by: Sequence[str] = (), k: int = 3, fill: float | None = None) -> DataFrame:
-    """(by..., r, c, median) of the k x k window of each cell; cells that lack are left out, or count as ``fill``."""
+def focal_median(cells: DataFrame, value: str, by: Sequence[str] = (), k: int = 3, fill: float | str | None = None, bounds: Bounds | None = None) -> DataFrame:
+    """(by..., r, c, median) of the k x k window of each cell.
+
+    Cells that lack are left out, or count as the number ``fill``, or with ``fill="nearest"`` as the nearest cell that is
+    there; with a fill the grid goes on beyond its border (``bounds``, or the cells' own box) as its mirror image. A
+    missing cell of a window has that window's middle within reach, so none looks further than k / 2 times the root of 2.
+    """
     h = k // 2
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-h, h + 1) for j in range(-h, h + 1)])).alias("o")
-    sent = cells.select(*by, "r", "c", value, offsets).select(*by, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), value, ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("_own"))
-    x = F.collect_list(value)
-    if fill is not None:
-        x = F.concat(x, F.array_repeat(F.lit(float(fill)), F.lit(k * k) - F.size(x)))
-    sent = sent.groupBy(*by, "r", "c").agg(F.bool_or("_own").alias("_own"), F.sort_array(x).alias("_x")).filter("_own")
-    n = F.size("_x")
-    middle = (F.get("_x", F.floor((n - 1) / 2).cast("int")) + F.get("_x", F.floor(n / 2).cast("int"))) / 2
-    return sent.select(*by, "r", "c", middle.alias("median"))
+    far = int(h * 1.4142136)
+
+    def work(window, edges):
+        import numpy as np
+
+        x = window
+        if fill == "nearest":
+            x = with_edges(filled_from_nearest(window, far), edges, "reflect")
+        elif fill is not None:
+            x = with_edges(np.where(np.isnan(window), float(fill), window), edges, "reflect")
+        views = np.lib.stride_tricks.sliding_window_view(x[far : len(x) - far, far : x.shape[1] - far], (k, k))
+        views = np.sort(views.reshape(*views.shape[:2], k * k), axis=2)
+        n = k * k - np.isnan(views).sum(axis=2, keepdims=True)
+        low, high = (np.take_along_axis(views, np.maximum(m, 0), 2)[:, :, 0] for m in ((n - 1) // 2, n // 2))
+        return np.where(n[:, :, 0] > 0, (low + high) / 2, np.nan)
+
+    return by_tile(cells, value, by, h + far, work, "median", bounds)
 
 
 def mask_majority(mask: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFrame:
@@ -63,17 +78,27 @@ def mask_majority(mask: DataFrame, by: Sequence[str] = (), k: int = 3) -> DataFr
     return out.filter(F.col("_n") > k * k // 2).select(*by, "r", "c")
 
 
-def horn_slope(cells: DataFrame, value: str, by: Sequence[str] = (), dx: float = 10.0, dy: float = 10.0) -> DataFrame:
-    """(by..., r, c, slope) in degrees by Horn's gradient; a missing neighbour counts as the cell itself."""
+def horn_slope(cells: DataFrame, value: str, by: Sequence[str] = (), dx: float = 10.0, dy: float = 10.0, bounds: Bounds | None = None) -> DataFrame:
+    """(by..., r, c, slope) in degrees by Horn's gradient.
+
+    A missing neighbour is the valid cell nearest to it, which is among its own eight neighbours, as the cell asked for is
+    one of them; beyond the grid's border (``bounds``, or the cells' own box) the border's cells go on.
+    """
     dx, dy = (dx if dx > 0 else 10.0), (dy if dy > 0 else 10.0)
-    offsets = F.explode(F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for (i, j), (a, b) in HORN.items()])).alias("o")
-    sent = cells.select(*by, F.col("r"), F.col("c"), F.col(value).alias("_v"), offsets)
-    near = sent.select(*by, (F.col("r") + F.col("o.i")).alias("r"), (F.col("c") + F.col("o.j")).alias("c"), (F.col("_v") * F.col("o.a")).alias("_gx"), (F.col("_v") * F.col("o.b")).alias("_gy"), F.col("o.a").alias("_a"), F.col("o.b").alias("_b"))
-    sums = near.groupBy(*by, "r", "c").agg(*[F.sum(x).alias(x) for x in ("_gx", "_gy", "_a", "_b")])
-    out = cells.select(*by, "r", "c", F.col(value).alias("_v")).join(sums, [*by, "r", "c"], "left").fillna(0.0, ["_gx", "_gy", "_a", "_b"])
-    gx = (F.col("_gx") - F.col("_a") * F.col("_v")) / (8 * dx)
-    gy = (F.col("_gy") - F.col("_b") * F.col("_v")) / (8 * dy)
-    return out.select(*by, "r", "c", F.degrees(F.atan(F.hypot(gx, gy))).alias("slope"))
+
+    def work(window, edges):
+        import numpy as np
+
+        x = with_edges(filled_from_nearest(window, 1), edges, "nearest")[1:-1, 1:-1]
+        rows, cols = x.shape[0] - 2, x.shape[1] - 2
+        gx, gy = np.zeros((rows, cols)), np.zeros((rows, cols))
+        for (i, j), (a, b) in HORN.items():
+            near = x[1 + i : 1 + i + rows, 1 + j : 1 + j + cols]
+            gx += a * near if a else 0
+            gy += b * near if b else 0
+        return np.degrees(np.arctan(np.hypot(gx / (8 * dx), gy / (8 * dy))))
+
+    return by_tile(cells, value, by, 2, work, "slope", bounds)
 
 
 def shrink(mask: DataFrame, d: float, by: Sequence[str] = (), inside: tuple[int, int, int, int] | None = None) -> DataFrame:

@@ -281,9 +281,27 @@ def _(spark, sf):
     return focal.focal_median(maps(spark, sf), "z", ["year"])
 
 
-@query("focal_median_zero_fill", f"SELECT year, r, c, CASE WHEN n = 9 THEN m ELSE list_sort(list_concat(x, list_transform(range(0, 9 - n), lambda q : 0.0::DOUBLE)))[5] END AS median FROM (SELECT a.year, a.r, a.c, count(*) AS n, median(b.z) AS m, list(b.z) AS x FROM fx_depth a JOIN fx_depth b ON {_NEAR} GROUP BY a.year, a.r, a.c) t", "depth")
+def grid_bounds():
+    return 0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1
+
+
+# Places of every cell's 3 x 3 window, those beyond the border as the border's (for this width its mirror image, too), and what is there: of a missing cell the nearest one with a value.
+_WINDOWS = "o AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)), q AS (SELECT year, r, c, i, j, least(greatest(r + i, 0), 31) AS rr, least(greatest(c + j, 0), 31) AS cc FROM {src}, o)"
+_FILLED = f"""{_WINDOWS}, p AS (SELECT DISTINCT year, rr, cc FROM q),
+  f AS (SELECT p.year, rr, cc, arg_min(d.z, ((d.r - rr) * (d.r - rr) + (d.c - cc) * (d.c - cc)) * 1000000 + d.r * 1000 + d.c) AS v FROM p JOIN {{src}} d ON d.year = p.year AND d.r BETWEEN rr - 1 AND rr + 1 AND d.c BETWEEN cc - 1 AND cc + 1 GROUP BY ALL)"""
+_SLOPE = "slopes AS (SELECT year, r, c, degrees(atan(sqrt(power(sum(v * j * CASE i WHEN 0 THEN 2 ELSE 1 END) / 80.0::DOUBLE, 2) + power(sum(v * -i * CASE j WHEN 0 THEN 2 ELSE 1 END) / 80.0::DOUBLE, 2)))) AS slope FROM q JOIN f USING (year, rr, cc) GROUP BY ALL)"
+SLOPES = f"{_FILLED.replace('{src}', 'fx_depth')}, {_SLOPE}"
+_GAPS = "x AS (SELECT * FROM fx_depth WHERE z < -6)"
+
+
+@query("focal_median_zero_fill", f"WITH {_GAPS}, {_WINDOWS.replace('{src}', 'x')} SELECT q.year, q.r, q.c, median(coalesce(d.z, 0)) AS median FROM q LEFT JOIN x d ON d.year = q.year AND d.r = rr AND d.c = cc GROUP BY ALL", "depth")
+def _(spark, sf):
+    return focal.focal_median(maps(spark, sf).filter("z < -6"), "z", ["year"], fill=0.0, bounds=grid_bounds())
+
+
+@query("focal_median_nearest_fill", f"WITH {_GAPS}, {_FILLED.replace('{src}', 'x')} SELECT year, r, c, median(v) AS median FROM q JOIN f USING (year, rr, cc) GROUP BY ALL", "depth")
 def _(spark, sf):
-    return focal.focal_median(maps(spark, sf), "z", ["year"], fill=0.0)
+    return focal.focal_median(maps(spark, sf).filter("z < -6"), "z", ["year"], fill="nearest", bounds=grid_bounds())
 
 
 _M = "m AS (SELECT year, r, c FROM fx_depth WHERE z < -6)"
@@ -298,10 +316,14 @@ def _(spark, sf):
     return focal.mask_majority(deep(spark, sf), ["year"])
 
 
-@query("horn_slope", """WITH v AS (SELECT a.year, a.r, a.c, sum((b.z - a.z) * CASE WHEN b.c > a.c THEN 1 WHEN b.c < a.c THEN -1 ELSE 0 END * CASE WHEN b.r = a.r THEN 2 ELSE 1 END) / 80.0::DOUBLE AS gx,
-   sum((b.z - a.z) * CASE WHEN b.r < a.r THEN 1 WHEN b.r > a.r THEN -1 ELSE 0 END * CASE WHEN b.c = a.c THEN 2 ELSE 1 END) / 80.0::DOUBLE AS gy FROM fx_depth a JOIN fx_depth b ON """ + _NEAR + " GROUP BY a.year, a.r, a.c) SELECT year, r, c, round(degrees(atan(sqrt(gx*gx + gy*gy))), 6) + 0.0 AS slope FROM v", "depth")
+@query("horn_slope", f"WITH {SLOPES} SELECT year, r, c, round(slope, 6) + 0.0 AS slope FROM slopes", "depth")
+def _(spark, sf):
+    return focal.horn_slope(maps(spark, sf), "z", ["year"], bounds=grid_bounds()).select("year", "r", "c", r6("slope").alias("slope"))
+
+
+@query("horn_slope_gaps", f"WITH {_GAPS}, {_FILLED.replace('{src}', 'x')}, {_SLOPE} SELECT year, r, c, round(slope, 6) + 0.0 AS slope FROM slopes", "depth")
 def _(spark, sf):
-    return focal.horn_slope(maps(spark, sf), "z", ["year"]).select("year", "r", "c", r6("slope").alias("slope"))
+    return focal.horn_slope(maps(spark, sf).filter("z < -6"), "z", ["year"], bounds=grid_bounds()).select("year", "r", "c", r6("slope").alias("slope"))
 
 
 @query("dilate", f"WITH {_M} SELECT DISTINCT year, r + i AS r, c + j AS c FROM m, range(-1, 2) q(i), range(-1, 2) w(j)", "depth")

@@ -9,25 +9,26 @@ from shoalgrid.operators import components, focal, metrics, models, robust, spat
 from shoalgrid.operators.quantiles import exact_median
 from shoalgrid.plans import jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
-from shoalgrid.plans.contract_maps import maps
+from shoalgrid.plans.contract_maps import SLOPES, grid_bounds, maps
 from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, sampled
 from shoalgrid.plans import fixtures
 from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
 
-_M = "m AS (SELECT r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997 AND z < -14)"
+_M = "m AS (SELECT year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE z < -14)"
 
 
 def _reach(src: str, out: str, side: str = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1") -> str:
-    return f"""{out}(node, r, c) AS (SELECT node, r, c FROM {src} UNION SELECT x.node, b.r, b.c FROM {out} x JOIN {src} a ON a.r = x.r AND a.c = x.c JOIN {src} b ON {side}),
-      {out}_l AS (SELECT r, c, min(node) AS label FROM {out} GROUP BY r, c)"""
+    return f"""{out}(year, node, r, c) AS (SELECT year, node, r, c FROM {src} UNION SELECT a.year, a.node, b.r, b.c FROM {out} a JOIN {src} b ON b.year = a.year AND {side}),
+      {out}_l AS (SELECT year, r, c, min(node) AS label FROM {out} GROUP BY year, r, c)"""
 
 
 _FOUR = "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
+_BY = ["year"]
 
 
-def mask97(spark, sf):
-    return maps(spark, sf).filter("year = 1997 AND z < -14").select("r", "c")
+def deep_cells(spark, sf):
+    return maps(spark, sf).filter("z < -14").select("year", "r", "c")
 
 
 def _sql(body: str) -> str:
@@ -39,60 +40,59 @@ def _sql(body: str) -> str:
 _REACHED = f"""{_M}, {_reach('m', 'q')}"""
 
 
-@query("label_components", _sql(f"{_REACHED} SELECT r, c, label FROM q_l"))
+@query("label_components", _sql(f"{_REACHED} SELECT year, r, c, label FROM q_l"))
 def _(spark, sf):
-    return components.label(mask97(spark, sf))
+    return components.label(deep_cells(spark, sf), _BY)
 
 
-@query("label_components_4", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT r, c, label FROM q_l"))
+@query("label_components_4", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT year, r, c, label FROM q_l"))
 def _(spark, sf):
-    return components.label(mask97(spark, sf), connectivity=4)
+    return components.label(deep_cells(spark, sf), _BY, connectivity=4)
 
 
-@query("drop_small_components", _sql(f"{_REACHED}, n AS (SELECT label, count(*) AS n FROM q_l GROUP BY label) SELECT r, c, q_l.label FROM q_l JOIN n ON q_l.label = n.label WHERE n >= 6"))
+@query("drop_small_components", _sql(f"{_REACHED}, n AS (SELECT year, label FROM q_l GROUP BY ALL HAVING count(*) >= 6) SELECT year, r, c, label FROM q_l JOIN n USING (year, label)"))
 def _(spark, sf):
-    return components.drop_small(components.label(mask97(spark, sf)), 6)
+    return components.drop_small(components.label(deep_cells(spark, sf), _BY), 6, _BY)
 
 
-@query("largest_component", _sql(f"{_REACHED}, n AS (SELECT label FROM q_l GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) SELECT r, c, q_l.label FROM q_l JOIN n ON q_l.label = n.label"))
+@query("largest_component", _sql(f"{_REACHED}, n AS (SELECT year, label, row_number() OVER (PARTITION BY year ORDER BY count(*) DESC, label) AS k FROM q_l GROUP BY year, label) SELECT year, r, c, label FROM q_l JOIN n USING (year, label) WHERE k = 1"))
 def _(spark, sf):
-    return components.largest(components.label(mask97(spark, sf)))
+    return components.largest(components.label(deep_cells(spark, sf), _BY), _BY)
 
 
-@query("component_patches", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT a.label, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1, sum(4 - (SELECT count(*) FROM q_l b WHERE abs(a.r - b.r) + abs(a.c - b.c) = 1))::BIGINT AS edges FROM q_l a GROUP BY a.label"))
+@query("component_patches", _sql(f"{_M}, {_reach('m', 'q', _FOUR)} SELECT a.year, a.label, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1, sum(4 - (SELECT count(*) FROM q_l b WHERE b.year = a.year AND abs(a.r - b.r) + abs(a.c - b.c) = 1))::BIGINT AS edges FROM q_l a GROUP BY a.year, a.label"))
 def _(spark, sf):
-    return components.patches(components.label(mask97(spark, sf), connectivity=4), 100.0)
+    return components.patches(components.label(deep_cells(spark, sf), _BY, connectivity=4), 100.0, _BY)
 
 
-_GROUND = "s0 AS (SELECT r, c FROM fx_depth WHERE year = 1997 AND z < -8), m AS (SELECT r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997 AND NOT z < -8)"
+_GROUND = "s0 AS (SELECT year, r, c FROM fx_depth WHERE z < -8), m AS (SELECT year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE NOT z < -8)"
 
 
-@query("fill_holes", _sql(f"{_GROUND}, {_reach('m', 'q', _FOUR)}, o AS (SELECT DISTINCT label FROM q_l WHERE r IN (0, 31) OR c IN (0, 31)) SELECT r, c FROM s0 UNION SELECT r, c FROM q_l WHERE label NOT IN (SELECT label FROM o)"))
+@query("fill_holes", _sql(f"{_GROUND}, {_reach('m', 'q', _FOUR)}, o AS (SELECT DISTINCT year, label FROM q_l WHERE r IN (0, 31) OR c IN (0, 31)) SELECT year, r, c FROM s0 UNION SELECT year, r, c FROM q_l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.year = q_l.year AND o.label = q_l.label)"))
 def _(spark, sf):
-    grid = maps(spark, sf).filter("year = 1997")
-    return components.fill_holes(grid.filter("z < -8").select("r", "c"), grid, (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1))
+    grid = maps(spark, sf)
+    return components.fill_holes(grid.filter("z < -8").select("year", "r", "c"), grid, (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1), _BY)
 
 
 @query(
     "sieve",
     _sql(
-        f"""v AS (SELECT r, c, CASE WHEN z < -14 THEN 1 ELSE 0 END AS v, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE year = 1997),
-        q(node, r, c) AS (SELECT node, r, c FROM v UNION SELECT x.node, b.r, b.c FROM q x JOIN v a ON a.r = x.r AND a.c = x.c JOIN v b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v = b.v),
-        l AS (SELECT v.r, v.c, v.v, min(q.node) AS label FROM q JOIN v ON q.r = v.r AND q.c = v.c GROUP BY ALL), n AS (SELECT label, any_value(v) AS v, count(*) AS n FROM l GROUP BY label),
-        k AS (SELECT a.label, arg_max(b.v, struct_pack(n := nb.n, k := -b.label)) AS v FROM l a JOIN n na ON a.label = na.label JOIN l b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v <> b.v JOIN n nb ON nb.label = b.label WHERE na.n < 4 GROUP BY a.label)
-        SELECT l.r, l.c, coalesce(k.v, l.v) AS v FROM l LEFT JOIN k ON l.label = k.label"""
+        f"""v AS (SELECT year, r, c, CASE WHEN z < -14 THEN 1 ELSE 0 END AS v, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth),
+        q(year, node, v, r, c) AS (SELECT year, node, v, r, c FROM v UNION SELECT x.year, x.node, x.v, b.r, b.c FROM q x JOIN v b ON b.year = x.year AND abs(x.r - b.r) <= 1 AND abs(x.c - b.c) <= 1 AND x.v = b.v),
+        l AS (SELECT year, r, c, v, min(node) AS label FROM q GROUP BY ALL), n AS (SELECT year, label, any_value(v) AS v, count(*) AS n FROM l GROUP BY year, label),
+        k AS (SELECT a.year, a.label, arg_max(b.v, struct_pack(n := nb.n, k := -b.label)) AS v FROM l a JOIN n na ON a.label = na.label AND a.year = na.year JOIN l b ON b.year = a.year AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.v <> b.v JOIN n nb ON nb.label = b.label AND nb.year = b.year WHERE na.n < 4 GROUP BY a.year, a.label)
+        SELECT l.year, l.r, l.c, coalesce(k.v, l.v) AS v FROM l LEFT JOIN k ON l.label = k.label AND l.year = k.year"""
     ),
 )
 def _(spark, sf):
-    m = maps(spark, sf).filter("year = 1997").select("r", "c", F.when(F.col("z") < -14, 1).otherwise(0).alias("v"))
-    return components.sieve(m, "v", 4)
+    m = maps(spark, sf).select("year", "r", "c", F.when(F.col("z") < -14, 1).otherwise(0).alias("v"))
+    return components.sieve(m, "v", 4, _BY)
 
 
-@query("slope_filter", None)
+@query("slope_filter", _sql(f"{SLOPES}, m AS (SELECT year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM slopes WHERE slope <= 40), {_reach("m", "s")}, n AS (SELECT year, label FROM s_l GROUP BY ALL HAVING count(*) >= 10) SELECT year, r, c FROM s_l JOIN n USING (year, label)"))
 def _(spark, sf):
-    m = maps(spark, sf).filter("year = 1997")
-    flat = focal.horn_slope(m, "z").filter("slope <= 40")
-    return components.drop_small(components.label(flat), 10, keep_one=False).select("r", "c")
+    flat = focal.horn_slope(maps(spark, sf), "z", _BY, bounds=grid_bounds()).filter("slope <= 40")
+    return components.drop_small(components.label(flat, _BY), 10, _BY, keep_one=False).select("year", "r", "c")
 
 
 @query("water_mask_hybrid", None)
