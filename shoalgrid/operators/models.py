@@ -7,15 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoalgrid.operators.metrics import regression_metrics
-from shoalgrid.operators.robust import filter_ransac
 
 
 def registry(label: str = "depth", weight: str | None = None, seed: int = 42) -> dict:
@@ -95,16 +92,6 @@ def kmeans_folds(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     return KMeans(k=folds, seed=seed, featuresCol="_place", predictionCol="fold").fit(placed).transform(placed).drop("_place")
 
 
-def grid_search(rows: DataFrame, features: Sequence[str], label: str = "depth", folds: int = 2, seed: int = 42):
-    """Best elastic net over a grid of strengths and mixes, cross-validated by blocks of cells."""
-    lr = LinearRegression(labelCol=label, featuresCol="features", predictionCol="y_pred")
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
-    score = RegressionEvaluator(labelCol=label, predictionCol="y_pred", metricName="rmse")
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(tile_folds(rows, folds))
-    search = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=score, numFolds=folds, foldCol="fold", parallelism=2, seed=seed)
-    return search.fit(data)
-
-
 def cluster_deep_water(cells: DataFrame, bands: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
     """``cells`` with ``deep``: in the cluster whose centre is darkest in the first two bands."""
     data = VectorAssembler(inputCols=list(bands), outputCol="_f").transform(cells)
@@ -121,37 +108,12 @@ def feature_importance(model, features: Sequence[str]) -> list[tuple[str, float]
     return sorted(((f, float(v / total)) for f, v in zip(features, own)), key=lambda x: (-x[1], x[0]))
 
 
-def huber_correction(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """``cells`` with z moved by a robust line of the residual on the predicted depth."""
-    data = VectorAssembler(inputCols=["y_pred"], outputCol="features").transform(rows.withColumn("_e", F.col("y_true") - F.col("y_pred")))
-    line = LinearRegression(featuresCol="features", labelCol="_e", loss="huber", epsilon=1.35).fit(data)
-    return cells.withColumn("z", F.col("z") + F.lit(float(line.coefficients[0])) * F.col("z") + F.lit(float(line.intercept)))
-
-
 def year_matrix(rows: DataFrame, least: int = 10) -> DataFrame:
     """Rows of years with ``least`` rows or more, the year as a feature."""
     n = rows.groupBy(F.col("year").alias("_y")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
     return rows.join(F.broadcast(n), F.col("year") == F.col("_y"), "left_semi").withColumn("year_feature", F.col("year").cast("double"))
 
 
-def filter_huber(points: DataFrame, x: str, y: str, key: str, least: float = 0.0025) -> DataFrame:
-    """``points`` with ``residual`` of the line of most inliers, ``sigma`` (a robust line of the squared residual on y) and ``accepted`` (within 3 sigma)."""
-    fitted = filter_ransac(points, x, y, key).drop("accepted", "threshold").withColumn("_r2", F.col("residual") * F.col("residual"))
-    data = VectorAssembler(inputCols=[y], outputCol="_f").transform(fitted)
-    line = LinearRegression(featuresCol="_f", labelCol="_r2", loss="huber", epsilon=1.35).fit(data)
-    sigma = F.sqrt(F.greatest(F.lit(float(line.intercept)) + F.lit(float(line.coefficients[0])) * F.col(y), F.lit(least)))
-    return fitted.withColumn("sigma", sigma).withColumn("accepted", F.abs("residual") <= 3 * F.col("sigma")).drop("_r2")
-
-
-def stacked(rows: DataFrame, features: Sequence[str], names: Sequence[str], label: str = "depth") -> DataFrame:
-    """``rows`` with ``y_pred`` of a ridge over the predictions of some models."""
-    out = rows
-    for name, model in fit(rows, features, names, label).items():
-        out = model.transform(out).drop("features").withColumnRenamed("y_pred", f"p_{name}")
-    own = [f"p_{n}" for n in names]
-    return fit(out, own, ["ridge"], label)["ridge"].transform(out).drop("features", *own)
-
-
 def uncertainty(rows: DataFrame, cells: DataFrame, features: Sequence[str], label: str = "depth") -> DataFrame:
     """``cells`` with ``u``: a forest of 1.96 times the magnitude of a forest's residual."""
     first = fit(rows, features, ["forest"], label)["forest"].transform(rows).drop("features")

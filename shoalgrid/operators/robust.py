@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.groups import beside
 from shoalgrid.operators.quantiles import exact_median, exact_quantiles
 
 
-def robust_log_ratio(cells: DataFrame, a: str = "blue", b: str = "green", percentile: float = 0.05) -> DataFrame:
-    """``cells`` with ``ratio`` ln(a s) / ln(b s), s from the lower of both bands' percentiles; kept between 0.1 and 5."""
-    low = exact_quantiles(cells, {"_a": (F.col(a), percentile), "_b": (F.col(b), percentile)}).select(F.least("_a", "_b").alias("_p"))
+def robust_log_ratio(cells: DataFrame, a: str = "blue", b: str = "green", percentile: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """``cells`` with ``ratio`` ln(a s) / ln(b s), s from the lower of both bands' percentiles in each ``by``; kept between 0.1 and 5."""
+    low = exact_quantiles(cells, {"_a": (F.col(a), percentile), "_b": (F.col(b), percentile)}, by).select(*by, F.least("_a", "_b").alias("_p"))
     scale = F.lit(10.0) / F.greatest(F.col("_p"), F.lit(1e-4))
     log = lambda x: F.log(F.greatest(F.col(x) * scale, F.lit(1.1)))
-    out = cells.crossJoin(F.broadcast(low)).withColumn("ratio", log(a) / log(b)).drop("_p")
+    out = beside(cells, low, by).withColumn("ratio", log(a) / log(b)).drop("_p")
     return out.filter((F.col("ratio") > 0.1) & (F.col("ratio") < 5))
 
 
-def deglint(cells: DataFrame, bands: list[str], water: Column, nir: str = "nir", percentile: float = 0.05) -> DataFrame:
-    """Bands less their slope on the infrared over water (sample covariance by population variance), at least 1e-4.
+def deglint(cells: DataFrame, bands: list[str], water: Column, nir: str = "nir", percentile: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Bands less their slope on the infrared over water (sample covariance by population variance) in each ``by``, at least 1e-4.
 
     All cells count where there is no water.
     """
     over = cells.withColumn("_w", water)
-    some = over.agg(F.coalesce(F.bool_or("_w"), F.lit(False)).alias("_any"))
-    used = over.crossJoin(F.broadcast(some)).filter(F.col("_w") | ~F.col("_any"))
-    stats = used.agg(*[(F.covar_samp(b, nir) / F.var_pop(nir)).alias(f"_slope_{b}") for b in bands])
-    low = exact_quantiles(used, {"_low": (F.col(nir), percentile)})
-    out = cells.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(low))
+    some = over.groupBy(*by).agg(F.coalesce(F.bool_or("_w"), F.lit(False)).alias("_any"))
+    used = beside(over, some, by).filter(F.col("_w") | ~F.col("_any"))
+    stats = used.groupBy(*by).agg(*[(F.covar_samp(b, nir) / F.var_pop(nir)).alias(f"_slope_{b}") for b in bands])
+    low = exact_quantiles(used, {"_low": (F.col(nir), percentile)}, by)
+    out = beside(beside(cells, stats, by), low, by)
     for b in bands:
         glint = F.coalesce(F.col(f"_slope_{b}"), F.lit(0.0)) * (F.col(nir) - F.col("_low"))
         out = out.withColumn(f"{b}_deglint", F.greatest(F.col(b) - glint, F.lit(1e-4)))
@@ -90,19 +93,19 @@ def bias_shift(points: DataFrame, cells: DataFrame, correct: bool = True) -> Dat
     return cells.crossJoin(F.broadcast(mean)).withColumn("z", F.col("z") + (F.col("_m") if correct else 0.0)).drop("_m")
 
 
-def lyzenga(cells: DataFrame, depth: Column, deep: float = 15.0, least: int = 50) -> DataFrame:
-    """``cells`` with ``dii`` and ``bottom`` (bottom reflectance of green) from blue, green and a depth.
+def lyzenga(cells: DataFrame, depth: Column, deep: float = 15.0, least: int = 50, by: Sequence[str] = ()) -> DataFrame:
+    """``cells`` with ``dii`` and ``bottom`` (bottom reflectance of green) from blue, green and a depth, each ``by`` by its own deep water.
 
     The deep-water signal of a band is its 5th percentile where the depth is over ``deep``, if more than ``least``
     cells are, else its first percentile, 0.001 at least.
     """
     d = cells.withColumn("_d", depth)
     is_deep = F.abs("_d") > deep
-    enough = d.agg((F.count_if(is_deep) > least).alias("_enough"))
+    enough = d.groupBy(*by).agg((F.count_if(is_deep) > least).alias("_enough"))
     shares = {f"{b}_{k}": (c, p) for b in ("blue", "green") for k, c, p in (("deep", F.when(is_deep, F.col(b)), 0.05), ("all", F.col(b), 0.01))}
-    inf = exact_quantiles(d, shares).crossJoin(enough)
-    inf = inf.select(*[F.when(F.col("_enough"), F.col(f"{b}_deep")).otherwise(F.greatest(F.col(f"{b}_all"), F.lit(0.001))).alias(f"_{b}") for b in ("blue", "green")])
-    out = d.crossJoin(F.broadcast(inf))
+    inf = beside(exact_quantiles(d, shares, by), enough, by)
+    inf = inf.select(*by, *[F.when(F.col("_enough"), F.col(f"{b}_deep")).otherwise(F.greatest(F.col(f"{b}_all"), F.lit(0.001))).alias(f"_{b}") for b in ("blue", "green")])
+    out = beside(d, inf, by)
     log = lambda b: F.log(F.greatest(F.col(b) - F.col(f"_{b}"), F.lit(1e-4)))
     out = out.withColumn("dii", log("blue") - 0.75 * log("green"))
     return out.withColumn("bottom", (F.col("green") - F.col("_green")) * F.exp(2 * 0.12 * F.abs("_d"))).drop("_d", "_blue", "_green")

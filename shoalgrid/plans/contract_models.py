@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import qa, reflectance
-from shoalgrid.operators import components, focal, metrics, models, robust, spatial, temporal
+from shoalgrid.operators import components, crossfit, fits, focal, metrics, models, robust, spatial, temporal
+from shoalgrid.operators.groups import beside
 from shoalgrid.operators.quantiles import exact_median
 from shoalgrid.plans import jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
 from shoalgrid.plans.contract_maps import SLOPES, grid_bounds, maps
-from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, sampled
+from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, pts, sampled
 from shoalgrid.plans import fixtures
 from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
@@ -24,7 +25,7 @@ def _reach(src: str, out: str, side: str = "abs(a.r - b.r) <= 1 AND abs(a.c - b.
 
 
 _FOUR = "abs(a.r - b.r) + abs(a.c - b.c) <= 1"
-_BY = ["year"]
+_BY, _SCENE = ["year"], ["scene_id"]
 
 
 def deep_cells(spark, sf):
@@ -97,7 +98,7 @@ def _(spark, sf):
 
 @query("water_mask_hybrid", None)
 def _(spark, sf):
-    return jobs.hybrid_water(reflected(spark, sf).filter("scene_id = 1"), (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1))
+    return jobs.hybrid_water(reflected(spark, sf), grid_bounds(), by=_SCENE)
 
 
 @query("combined_mask", f"WITH {REFLECTED} SELECT scene_id, r, c FROM s WHERE scl = 6 AND blue > 0.05::DOUBLE", "spectra")
@@ -107,50 +108,59 @@ def _(spark, sf):
     return s.filter("scl = 6").join(shallow, ["scene_id", "r", "c"], "left_semi").select("scene_id", "r", "c")
 
 
-_OSW = "WITH s AS (SELECT scene_id, r, c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, nir_dn/10000.0::DOUBLE AS nir FROM fx_spectra WHERE scene_id = 1)"
+_OSW = "WITH s AS (SELECT scene_id, r, c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, nir_dn/10000.0::DOUBLE AS nir FROM fx_spectra)"
 
 
-@query("osw_nir_percentile", f"{_OSW}, k AS (SELECT quantile_cont(nir, 0.4) AS k FROM s), t AS (SELECT avg(blue) + 2 * stddev_pop(blue) AS tb, avg(green) + 2 * stddev_pop(green) AS tg FROM s, k WHERE nir <= k) SELECT r, c FROM s, t WHERE blue > tb OR green > tg", "spectra")
+# The values of a band are spread evenly, so nothing is 2 deviations over the mean; 1.5 are asked for.
+_BRIGHT = "t AS (SELECT scene_id, avg(blue) + 1.5::DOUBLE * stddev_pop(blue) AS tb, avg(green) + 1.5::DOUBLE * stddev_pop(green) AS tg FROM s JOIN k USING (scene_id) WHERE nir <= k GROUP BY ALL) SELECT scene_id, r, c FROM s JOIN t USING (scene_id) WHERE blue > tb OR green > tg"
+
+
+@query("osw_nir_percentile", f"{_OSW}, k AS (SELECT scene_id, quantile_cont(nir, 0.4) AS k FROM s GROUP BY ALL), {_BRIGHT}", "spectra")
 def _(spark, sf):
-    return jobs.shallow_by_deep(reflected(spark, sf).filter("scene_id = 1"), jobs.nir_percentile(0.4)).select("r", "c")
+    return jobs.shallow_by_deep(reflected(spark, sf), jobs.nir_percentile(0.4), _SCENE, 1.5).select("scene_id", "r", "c")
 
 
-@query("osw_knee", None)
+@query(
+    "osw_knee",
+    f"""{_OSW}, v AS (SELECT scene_id, nir, (row_number() OVER (w ORDER BY nir) - 1) / (count(*) OVER w - 1)::DOUBLE AS x, (nir - min(nir) OVER w) / (max(nir) OVER w - min(nir) OVER w) AS y FROM s WHERE nir > 0 WINDOW w AS (PARTITION BY scene_id)),
+        k AS (SELECT scene_id, nir AS k FROM v QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY round(abs(x - y), 9) DESC, nir) = 1), {_BRIGHT}""",
+    "spectra",
+)
 def _(spark, sf):
-    return jobs.shallow_by_deep(reflected(spark, sf).filter("scene_id = 1"), jobs.nir_knee).select("r", "c")
+    return jobs.shallow_by_deep(reflected(spark, sf), jobs.nir_knee, _SCENE, 1.5).select("scene_id", "r", "c")
 
 
 @query("osw_cluster", None)
 def _(spark, sf):
-    return models.cluster_deep_water(reflected(spark, sf).filter("scene_id = 1"), ["blue", "green", "nir"]).select("r", "c", "deep")
+    return models.cluster_deep_water(reflected(spark, sf), ["blue", "green", "nir"]).select("scene_id", "r", "c", "deep")
 
 
-@query("osw_stats", f"{_OSW} SELECT count(*) AS n, round(avg(blue), 6) + 0.0 AS blue_mean, round(stddev_pop(blue), 6) + 0.0 AS blue_std, round(avg(blue) + 2 * stddev_pop(blue), 6) + 0.0 AS blue_limit FROM s", "spectra")
+@query("osw_stats", f"{_OSW} SELECT scene_id, count(*) AS n, round(avg(blue), 6) + 0.0 AS blue_mean, round(stddev_pop(blue), 6) + 0.0 AS blue_std, round(avg(blue) + 2 * stddev_pop(blue), 6) + 0.0 AS blue_limit FROM s GROUP BY scene_id", "spectra")
 def _(spark, sf):
-    s = reflected(spark, sf).filter("scene_id = 1")
-    return s.agg(F.count("*").alias("n"), r6(F.avg("blue")).alias("blue_mean"), r6(F.stddev_pop("blue")).alias("blue_std"), r6(F.avg("blue") + 2 * F.stddev_pop("blue")).alias("blue_limit"))
+    s = reflected(spark, sf)
+    return s.groupBy("scene_id").agg(F.count("*").alias("n"), r6(F.avg("blue")).alias("blue_mean"), r6(F.stddev_pop("blue")).alias("blue_std"), r6(F.avg("blue") + 2 * F.stddev_pop("blue")).alias("blue_limit"))
 
 
-_LYZ = """WITH s AS (SELECT f.r, f.c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, d.z FROM fx_spectra f JOIN fx_depth d ON d.r = f.r AND d.c = f.c WHERE f.scene_id = 1 AND d.year = 1997),
-  k AS (SELECT CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(blue, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(blue, 0.01), 0.001) END AS rb, CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(green, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(green, 0.01), 0.001) END AS rg FROM s),
-  x AS (SELECT r, c, z, ln(greatest(blue - rb, 1e-4::DOUBLE)) - 0.75::DOUBLE * ln(greatest(green - rg, 1e-4::DOUBLE)) AS dii, (green - rg) * exp(0.24::DOUBLE * abs(z)) AS bottom FROM s CROSS JOIN k)"""
+_LYZ = """WITH s AS (SELECT f.scene_id, d.year, f.r, f.c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, d.z FROM fx_spectra f JOIN fx_depth d ON d.r = f.r AND d.c = f.c),
+  k AS (SELECT scene_id, year, CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(blue, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(blue, 0.01), 0.001) END AS rb, CASE WHEN count(*) FILTER (WHERE abs(z) > 15) > 50 THEN quantile_cont(green, 0.05) FILTER (WHERE abs(z) > 15) ELSE greatest(quantile_cont(green, 0.01), 0.001) END AS rg FROM s GROUP BY scene_id, year),
+  x AS (SELECT scene_id, year, r, c, z, ln(greatest(blue - rb, 1e-4::DOUBLE)) - 0.75::DOUBLE * ln(greatest(green - rg, 1e-4::DOUBLE)) AS dii, (green - rg) * exp(0.24::DOUBLE * abs(z)) AS bottom FROM s JOIN k USING (scene_id, year))"""
 
 
 def lyzenga(spark, sf):
-    s = reflected(spark, sf).filter("scene_id = 1").join(maps(spark, sf).filter("year = 1997").select("r", "c", "z"), ["r", "c"])
-    return robust.lyzenga(s, F.col("z"))
+    s = reflected(spark, sf).join(maps(spark, sf).select("year", "r", "c", "z"), ["r", "c"])
+    return robust.lyzenga(s, F.col("z"), by=["scene_id", "year"])
 
 
-@query("dii_bottom_reflectance", f"{_LYZ} SELECT r, c, round(dii, 6) + 0.0 AS dii, round(bottom, 6) + 0.0 AS bottom FROM x", "spectra", "depth")
+@query("dii_bottom_reflectance", f"{_LYZ} SELECT scene_id, year, r, c, round(dii, 6) + 0.0 AS dii, round(bottom, 6) + 0.0 AS bottom FROM x", "spectra", "depth")
 def _(spark, sf):
-    return lyzenga(spark, sf).select("r", "c", r6("dii").alias("dii"), r6("bottom").alias("bottom"))
+    return lyzenga(spark, sf).select("scene_id", "year", "r", "c", r6("dii").alias("dii"), r6("bottom").alias("bottom"))
 
 
-@query("benthic_rule", f"{_LYZ} SELECT r, c FROM x WHERE round(dii, 6) < (SELECT round(median(dii), 6) FROM x) AND abs(z) < 20", "spectra", "depth")
+@query("benthic_rule", f"{_LYZ}, h AS (SELECT scene_id, year, round(median(dii), 6) AS m FROM x GROUP BY ALL) SELECT scene_id, year, r, c FROM x JOIN h USING (scene_id, year) WHERE round(dii, 6) < m AND abs(z) < 20", "spectra", "depth")
 def _(spark, sf):
     x = lyzenga(spark, sf)
-    middle = exact_median(x, "dii", "m").select(F.round("m", 6).alias("m"))
-    return x.crossJoin(F.broadcast(middle)).filter((F.round("dii", 6) < F.col("m")) & (F.abs("z") < 20)).select("r", "c")
+    middle = exact_median(x, "dii", "m", ["scene_id", "year"]).withColumn("m", F.round("m", 6))
+    return beside(x, middle, ["scene_id", "year"]).filter((F.round("dii", 6) < F.col("m")) & (F.abs("z") < 20)).select("scene_id", "year", "r", "c")
 
 
 # Models
@@ -174,7 +184,7 @@ def _(spark, sf):
 
 @query("fit_models", None)
 def _(spark, sf):
-    return models.compare(sampled(spark, sf), _FEATURES)
+    return crossfit.cross_scores(sampled(spark, sf), _FEATURES)
 
 
 @query("predict_cells_forest", None)
@@ -183,28 +193,32 @@ def _(spark, sf):
     return models.predict(model, reflected(spark, sf), _FEATURES).select("scene_id", "r", "c", "y_pred")
 
 
-@query("spatial_folds", f"WITH {_SAMPLED} SELECT point_id, CAST((floor(r / 8.0) * 1000003 + floor(c / 8.0))::BIGINT % 5 AS INT) AS fold FROM x", "points", "spectra")
+@query("spatial_folds", f"WITH {_SAMPLED} SELECT point_id, scene_id, CAST((floor(r / 8.0) * 1000003 + floor(c / 8.0))::BIGINT % 5 AS INT) AS fold FROM x", "points", "spectra")
 def _(spark, sf):
-    return models.tile_folds(sampled(spark, sf)).select("point_id", "fold")
+    return models.tile_folds(sampled(spark, sf)).select("point_id", "scene_id", "fold")
 
 
 @query("spatial_folds_kmeans", None)
 def _(spark, sf):
-    return models.kmeans_folds(sampled(spark, sf)).select("point_id", "fold")
+    return models.kmeans_folds(sampled(spark, sf)).select("point_id", "scene_id", "fold")
 
 
 @query("grid_search", None)
 def _(spark, sf):
-    best = models.grid_search(sampled(spark, sf), _FEATURES).bestModel
-    x = sampled(spark, sf)
-    return x.select("point_id", F.lit(float(best.getRegParam())).alias("reg_param"))
+    return crossfit.search(sampled(spark, sf), _FEATURES, "elastic_net", crossfit.grid({"regParam": [0.01, 0.1, 0.5], "elasticNetParam": [0.0, 1.0]}), folds=2)
 
 
-@query("huber_depth_correction", None)
+@query("random_search", None)
 def _(spark, sf):
-    from shoalgrid.plans.contract_points import pairs
+    space = {"maxDepth": [2, 6], "minInstancesPerNode": [1, 20], "minInfoGain": [0.0, 0.1]}
+    return crossfit.search(sampled(spark, sf), _FEATURES, "tree", crossfit.draws(space, 8), folds=4, kind="kmeans", halving=True)
+
 
-    return models.huber_correction(pairs(spark, sf), maps(spark, sf)).select("year", "r", "c", "z")
+@query("huber_depth_correction", None)
+def _(spark, sf):
+    """Each year's soundings against that year's map, and the map moved by the year's own robust line."""
+    met = pts(spark, sf).select("year", "r", "c", F.col("depth").alias("y_true")).join(maps(spark, sf).select("year", "r", "c", F.col("z").alias("y_pred")), ["year", "r", "c"])
+    return fits.huber_by_group(met, maps(spark, sf), ["year"]).select("year", "r", "c", "z")
 
 
 @query("bias_shift", "WITH b AS (SELECT avg(CAST(y_true AS DOUBLE) - CAST(y_pred AS DOUBLE)) AS b FROM fx_pairs) SELECT year, r, c, round(z + b, 6) + 0.0 AS z FROM fx_depth CROSS JOIN b", "depth", "pairs")
@@ -224,9 +238,9 @@ def _(spark, sf):
     return temporal.fused_depth(maps(spark, sf), "median").select("r", "c", r6("z").alias("z"))
 
 
-@query("quantile_sigma", f"WITH {_SAMPLED} SELECT point_id, round((quantile_cont(depth, 0.84) OVER w - quantile_cont(depth, 0.16) OVER w) / 2, 6) + 0.0 AS sigma FROM x WINDOW w AS (PARTITION BY CAST(floor(nir / 0.01) AS INT))", "points", "spectra")
+@query("quantile_sigma", f"WITH {_SAMPLED} SELECT point_id, scene_id, round((quantile_cont(depth, 0.84) OVER w - quantile_cont(depth, 0.16) OVER w) / 2, 6) + 0.0 AS sigma FROM x WINDOW w AS (PARTITION BY CAST(floor(nir / 0.01) AS INT))", "points", "spectra")
 def _(spark, sf):
-    return jobs.quantile_sigma(sampled(spark, sf), "nir", "depth", 0.01).select("point_id", r6("sigma").alias("sigma"))
+    return jobs.quantile_sigma(sampled(spark, sf), "nir", "depth", 0.01).select("point_id", "scene_id", r6("sigma").alias("sigma"))
 
 
 # Whole jobs

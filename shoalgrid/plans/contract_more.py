@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import qa
-from shoalgrid.operators import metrics, models, points, spatial, temporal
+from shoalgrid.operators import crossfit, fits, metrics, models, points, spatial, temporal
 from shoalgrid.plans import jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected, with_ndwi
 from shoalgrid.plans.contract_maps import _INSIDE, _KNN, knn_inputs, maps, polygons
@@ -23,29 +23,29 @@ def _(spark, sf):
     return view(spark, sf, "spectra").join(_inside(spark, sf), ["r", "c"], "left_semi").select("scene_id", "r", "c")
 
 
-@query("osw_polygon", f"WITH {_INSIDE} SELECT r, c FROM fx_spectra s WHERE scene_id = 1 AND scl = 6 AND EXISTS (SELECT 1 FROM i WHERE poly_id = 2 AND i.r = s.r AND i.c = s.c)", "depth", "spectra")
+@query("osw_polygon", f"WITH {_INSIDE} SELECT scene_id, r, c FROM fx_spectra s WHERE scl = 6 AND EXISTS (SELECT 1 FROM i WHERE poly_id = 2 AND i.r = s.r AND i.c = s.c)", "depth", "spectra")
 def _(spark, sf):
-    one = view(spark, sf, "spectra").filter("scene_id = 1 AND scl = 6")
-    return one.join(_inside(spark, sf).filter("poly_id = 2"), ["r", "c"], "left_semi").select("r", "c")
+    one = view(spark, sf, "spectra").filter("scl = 6")
+    return one.join(_inside(spark, sf).filter("poly_id = 2"), ["r", "c"], "left_semi").select("scene_id", "r", "c")
 
 
-@query("osw_roi_stats", f"WITH {_INSIDE}, {REFLECTED} SELECT poly_id, round(avg(blue) + 2 * stddev_pop(blue), 6) + 0.0 AS blue_limit, round(avg(green) + 2 * stddev_pop(green), 6) + 0.0 AS green_limit FROM s JOIN i ON i.r = s.r AND i.c = s.c WHERE scene_id = 1 GROUP BY poly_id", "depth", "spectra")
+@query("osw_roi_stats", f"WITH {_INSIDE}, {REFLECTED} SELECT scene_id, poly_id, round(avg(blue) + 2 * stddev_pop(blue), 6) + 0.0 AS blue_limit, round(avg(green) + 2 * stddev_pop(green), 6) + 0.0 AS green_limit FROM s JOIN i ON i.r = s.r AND i.c = s.c GROUP BY scene_id, poly_id", "depth", "spectra")
 def _(spark, sf):
-    s = reflected(spark, sf).filter("scene_id = 1").join(_inside(spark, sf), ["r", "c"])
-    return s.groupBy("poly_id").agg(*[r6(F.avg(b) + 2 * F.stddev_pop(b)).alias(f"{b}_limit") for b in ("blue", "green")])
+    s = reflected(spark, sf).join(_inside(spark, sf), ["r", "c"])
+    return s.groupBy("scene_id", "poly_id").agg(*[r6(F.avg(b) + 2 * F.stddev_pop(b)).alias(f"{b}_limit") for b in ("blue", "green")])
 
 
-_OSW = "WITH s AS (SELECT r, c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, red_dn/10000.0::DOUBLE AS red, nir_dn/10000.0::DOUBLE AS nir FROM fx_spectra WHERE scene_id = 1)"
+_OSW = "WITH s AS (SELECT scene_id, r, c, blue_dn/10000.0::DOUBLE AS blue, green_dn/10000.0::DOUBLE AS green, red_dn/10000.0::DOUBLE AS red, nir_dn/10000.0::DOUBLE AS nir FROM fx_spectra)"
 
 
 @query(
     "osw_turbidity",
-    f"""{_OSW}, k AS (SELECT quantile_cont(nir, 0.4) AS k FROM s), d AS (SELECT *, (red - green) / (red + green + 1e-6::DOUBLE) AS t FROM s, k WHERE nir <= k), q AS (SELECT quantile_cont(t, 0.75) AS q FROM d),
-        l AS (SELECT avg(blue) + 2 * stddev_pop(blue) AS tb, avg(green) + 2 * stddev_pop(green) AS tg FROM d, q WHERE t <= q) SELECT r, c FROM s, l WHERE blue > tb OR green > tg""",
+    f"""{_OSW}, k AS (SELECT scene_id, quantile_cont(nir, 0.4) AS k FROM s GROUP BY ALL), d AS (SELECT *, (red - green) / (red + green + 1e-6::DOUBLE) AS t FROM s JOIN k USING (scene_id) WHERE nir <= k), q AS (SELECT scene_id, quantile_cont(t, 0.75) AS q FROM d GROUP BY ALL),
+        l AS (SELECT scene_id, avg(blue) + 1.5::DOUBLE * stddev_pop(blue) AS tb, avg(green) + 1.5::DOUBLE * stddev_pop(green) AS tg FROM d JOIN q USING (scene_id) WHERE t <= q GROUP BY ALL) SELECT scene_id, r, c FROM s JOIN l USING (scene_id) WHERE blue > tb OR green > tg""",
     "spectra",
 )
 def _(spark, sf):
-    return jobs.shallow_by_clear(reflected(spark, sf).filter("scene_id = 1"), jobs.nir_percentile(0.4)).select("r", "c")
+    return jobs.shallow_by_clear(reflected(spark, sf), jobs.nir_percentile(0.4), by=["scene_id"], times=1.5).select("scene_id", "r", "c")
 
 
 @query("valley_otsu", None)
@@ -95,7 +95,7 @@ def _(spark, sf):
 
 @query("filter_huber_variance", None)
 def _(spark, sf):
-    return models.filter_huber(sampled(spark, sf), "green", "depth", "point_id").select("point_id", "residual", "sigma", "accepted")
+    return fits.huber_variance(sampled(spark, sf), "green", "depth", "point_id").select("point_id", "scene_id", "residual", "sigma", "accepted")
 
 
 @query("residual_uncertainty", f"WITH {_KNN} SELECT qr, qc, round(sum(1.96::DOUBLE * v / (sqrt(d2) + 1)) / sum(1 / (sqrt(d2) + 1)), 6) + 0.0 AS u FROM n WHERE rank <= 5 GROUP BY qr, qc", "depth", "points")
@@ -111,13 +111,20 @@ def _(spark, sf):
 
 @query("feature_importance", None)
 def _(spark, sf):
-    model = models.fit(sampled(spark, sf), _FEATURES, ["forest"])["forest"]
-    return spark.createDataFrame(models.feature_importance(model, _FEATURES), "feature string, share double")
+    """The mean of what a forest and a line make of each feature."""
+    rows = sampled(spark, sf)
+    return crossfit.importance(models.fit(rows, _FEATURES, ["forest", "linear"]), rows, _FEATURES, "point_id")
+
+
+@query("permutation_importance", None)
+def _(spark, sf):
+    rows = sampled(spark, sf).withColumn("key", F.concat_ws(":", "point_id", "scene_id"))
+    return crossfit.permutation_importance(models.fit(rows, _FEATURES, ["boosted"])["boosted"], rows, _FEATURES, "key")
 
 
 @query("ensemble_stacking", None)
 def _(spark, sf):
-    return models.stacked(sampled(spark, sf), _FEATURES, ["linear", "tree"]).select("point_id", "y_pred")
+    return crossfit.stacked(sampled(spark, sf), reflected(spark, sf), _FEATURES, ["linear", "tree"])[1].select("scene_id", "r", "c", "y_pred")
 
 
 @query("uncertainty_model", None)
@@ -127,8 +134,8 @@ def _(spark, sf):
 
 @query("benthic_supervised", None)
 def _(spark, sf):
-    labelled = reflected(spark, sf).filter("scene_id = 1").join(_inside(spark, sf), ["r", "c"])
-    return models.benthic(labelled, reflected(spark, sf).filter("scene_id = 1"), ["blue", "green", "red"], "poly_id").select("r", "c", "benthic_class")
+    labelled = reflected(spark, sf).join(_inside(spark, sf), ["r", "c"])
+    return models.benthic(labelled, reflected(spark, sf), ["blue", "green", "red"], "poly_id").select("scene_id", "r", "c", "benthic_class")
 
 
 # Jobs

@@ -249,12 +249,12 @@ def _(spark, sf):
 
 
 _FEATURES = ("blue", "green", "red", "nir")
-_SAMPLED = f"{_D}, {REFLECTED}, x AS (SELECT d.point_id, d.depth, s.* FROM d JOIN s ON d.r = s.r AND d.c = s.c WHERE s.scene_id = 1)"
+_SAMPLED = f"{_D}, {REFLECTED}, x AS (SELECT d.point_id, d.depth, s.* FROM d JOIN s ON d.r = s.r AND d.c = s.c )"
 
 
 def sampled(spark, sf):
-    cells = reflected(spark, sf).filter("scene_id = 1")
-    return points.sample_at_points(pts(spark, sf), cells, list(_FEATURES))
+    """Soundings beside the bands of their cell in every scene."""
+    return points.sample_at_points(pts(spark, sf), reflected(spark, sf), ["scene_id", *_FEATURES])
 
 
 @query("feature_corr_pearson", f"WITH {_SAMPLED} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(coalesce(corr({f}, depth), 0), 6) + 0.0 AS pearson FROM x" for f in _FEATURES), "points", "spectra")
@@ -268,7 +268,7 @@ def _rank(f):
 
 @query("feature_corr_spearman", f"WITH {_SAMPLED}, k AS (SELECT {', '.join(_rank(f) for f in (*_FEATURES, 'depth'))} FROM x) " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(coalesce(corr(k_{f}, k_depth), 0), 6) + 0.0 AS spearman FROM k" for f in _FEATURES), "points", "spectra")
 def _(spark, sf):
-    return metrics.spearman(sampled(spark, sf).select("point_id", "depth", *_FEATURES), list(_FEATURES), "depth", ["point_id"]).select("feature", r6("spearman").alias("spearman"))
+    return metrics.spearman(sampled(spark, sf).select("point_id", "scene_id", "depth", *_FEATURES), list(_FEATURES), "depth", ["point_id", "scene_id"]).select("feature", r6("spearman").alias("spearman"))
 
 
 @query("feature_select", f"WITH {_SAMPLED}, f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, coalesce(corr({f}, depth), 0) AS pearson FROM x" for f in _FEATURES) + "), t AS (SELECT greatest(0.0::DOUBLE, avg(abs(pearson)) - stddev_pop(abs(pearson))) AS t FROM f) SELECT feature FROM f, t WHERE abs(pearson) >= t", "points", "spectra")
