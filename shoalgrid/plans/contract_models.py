@@ -8,7 +8,7 @@ from shoalgrid.functions import qa, reflectance
 from shoalgrid.operators import components, crossfit, fits, focal, metrics, models, robust, spatial, temporal
 from shoalgrid.operators.groups import beside
 from shoalgrid.operators.quantiles import exact_median
-from shoalgrid.plans import jobs
+from shoalgrid.plans import depth_jobs, jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
 from shoalgrid.plans.contract_maps import SLOPES, grid_bounds, maps
 from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, pts, sampled
@@ -247,7 +247,13 @@ def _(spark, sf):
 
 @query("job_single_scene_depth", None)
 def _(spark, sf):
-    return jobs.single_scene_depth(reflected(spark, sf).filter("scene_id = 1"), view(spark, sf, "points").withColumn("depth", F.col("depth").cast("double")))
+    return depth_jobs.scene_depths(reflected(spark, sf), pts(spark, sf), grid_bounds())
+
+
+@query("job_multi_scene_chain", None)
+def _(spark, sf):
+    depths = depth_jobs.written(depth_jobs.scene_depths(reflected(spark, sf), pts(spark, sf), grid_bounds()), "scenes")
+    return depth_jobs.multi_scene_depth(depths, pts(spark, sf))[0]
 
 
 @query("job_coastal_change", None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shoalgrid.functions import qa
 from shoalgrid.operators import crossfit, fits, metrics, models, points, spatial, temporal
-from shoalgrid.plans import jobs
+from shoalgrid.plans import depth_jobs, fixtures, jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected, with_ndwi
 from shoalgrid.plans.contract_maps import _INSIDE, _KNN, knn_inputs, maps, polygons
 from shoalgrid.plans.contract_points import _FEATURES, _METRICS, _SAMPLED, pts, sampled
@@ -155,13 +155,7 @@ def _(spark, sf):
 
 @query("job_multi_year_depth", None)
 def _(spark, sf):
-    soundings = pts(spark, sf).select("r", "c", "year", "depth")
-    cells = reflected(spark, sf).filter("scene_id = 1")
-    rows = models.year_matrix(soundings.join(cells.select("r", "c", *_FEATURES), ["r", "c"]))
-    names = [*_FEATURES, "year_feature"]
-    model = models.fit(rows, names, ["ridge"])["ridge"]
-    years = rows.select("year", "year_feature").distinct()
-    return models.predict(model, cells.crossJoin(F.broadcast(years)), names).select("year", "r", "c", F.col("y_pred").alias("z"))
+    return depth_jobs.multi_year_depth(reflected(spark, sf), pts(spark, sf), (0, 0, fixtures.SIDE - 1, fixtures.SIDE - 1))
 
 
 @query("job_lidar_points_prep", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts, CAST(EXTRACT(YEAR FROM ts) AS INT) AS year, CAST(value AS DOUBLE) AS value FROM events WHERE EXTRACT(DAY FROM ts) <= 15")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import indices
-from shoalgrid.operators import components, focal, models, points, robust, temporal
+from shoalgrid.operators import components, focal, temporal
 from shoalgrid.operators.groups import beside
 from shoalgrid.operators.masks import water_by_three_indices
 from shoalgrid.operators.quantiles import exact_quantiles
@@ -109,18 +109,6 @@ def quantile_sigma(rows: DataFrame, x: str, y: str, width: float) -> DataFrame:
     return binned.join(q, F.col("_bin") == F.col("_b")).drop("_bin", "_b")
 
 
-def single_scene_depth(cells: DataFrame, soundings: DataFrame) -> DataFrame:
-    """(r, c, z) of one scene: glint off, features, outliers of the soundings off, the model of three that is best on held-out blocks, fitted again on all."""
-    clean = robust.deglint(cells, ["blue", "green", "red"], F.col("scl") == 6)
-    features = clean.select("r", "c", "scl", *[indices.log_band(F.col(f"{b}_deglint")).alias(f"log_{b}") for b in ("blue", "green", "red")])
-    names = ["log_blue", "log_green", "log_red"]
-    own = points.collision_reduce(soundings.withColumn("weight", F.col("confidence").cast("double")), 3)
-    sampled = points.sample_at_points(own.withColumnRenamed("value", "depth"), features, names)
-    kept = robust.filter_least_squares(sampled, "log_green", "depth").filter("accepted").select("r", "c", "depth", *names)
-    best = models.compare(kept, names, ["linear", "ridge", "forest"]).orderBy("rmse", "model").first()["model"]
-    return models.predict(models.fit(kept, names, [best])[best], features, names).select("r", "c", F.col("y_pred").alias("z"))
-
-
 def coastal_change(maps: DataFrame, area: float) -> DataFrame:
     """Sediment balance of consecutive years with healthy maps, by an automatic threshold and after an opening."""
     healthy = maps.join(temporal.healthy_years(maps), "year", "left_semi")
