@@ -156,9 +156,11 @@ def fit_rules(
 ) -> tuple[float, list[dict[int, float]]]:
     """EM for a two-class model with independent rules, from counts of vote patterns, until no estimate moves by ``settled``.
 
-    A class has its probability, and each rule its probabilities of voting good, bad or abstaining in each class. The
-    estimates are the most probable ones under a Dirichlet prior that counts as ``trust`` documents of rules that
-    seldom vote against the truth; without it the two classes could change places. Returns the log odds of the prior
+    A class has its probability, and each rule its probabilities of what it does in each class. A rule that votes both
+    ways abstains where it has nothing to say, so its votes alone count; one that votes one way only has two outcomes, and
+    not to vote is one of them. The
+    estimates are the most probable ones under a Dirichlet prior that counts as ``trust`` documents, ``prior`` of them
+    good, of rules that seldom vote against the truth; without it the two classes could change places. Returns the log odds of the prior
     and, per rule, the log likelihood ratio of each vote and of abstaining.
     """
     if not patterns:
@@ -172,10 +174,17 @@ def fit_rules(
     }
     begin = [start[sum({v[j] for v, _ in patterns} - {0})] for j in range(k)]
 
-    def ratios(like: list) -> list[dict[int, float]]:
-        return [{v: math.log(g[v] / b[v]) for v in votes} for g, b in like]
+    both = [{v[j] for v, _ in patterns} - {0} != {1} and {v[j] for v, _ in patterns} - {0} != {-1} for j in range(k)]
 
-    found = ratios(begin)
+    def ratios(sides: list) -> list[dict[int, float]]:
+        out = []
+        for (g, b), two in zip(sides, both):
+            held = (-1, 1) if two else votes
+            whole = sum(g[v] for v in held) / sum(b[v] for v in held)
+            out.append({v: math.log(g[v] / b[v] / whole) if v in held else 0.0 for v in votes})
+        return out
+
+    found, usual = ratios(begin), prior
     total = sum(n for _, n in patterns)
     for _ in range(rounds):
         sums = [[{v: trust * p for v, p in side.items()} for side in pair] for pair in begin]
@@ -188,12 +197,12 @@ def fit_rules(
                 sums[j][0][v] += p * n
                 sums[j][1][v] += (1 - p) * n
         old = [math.log(prior / (1 - prior)), *(x for r in found for x in r.values())]
-        prior = min(0.999, max(0.5, (good + 1) / (total + 2)))
-        found = ratios([[{v: s[v] / sum(s.values()) for v in votes} for s in pair] for pair in sums])
+        prior = (good + trust * usual) / (total + trust)
+        found = ratios(sums)
         new = [math.log(prior / (1 - prior)), *(x for r in found for x in r.values())]
         if max(abs(x - y) for x, y in zip(old, new)) < settled:
-            break
-    return math.log(prior / (1 - prior)), found
+            return math.log(prior / (1 - prior)), found
+    raise RuntimeError(f"estimates did not settle in {rounds} rounds")
 
 
 def judge(
@@ -207,8 +216,8 @@ def judge(
 
     Rules vote on measured rates or abstain. How often each vote comes with good and with bad documents is
     estimated by expectation-maximisation over the counts of all vote patterns (3 to the number of rules at most,
-    however many documents there are). The posterior is that given the votes cast: what a rule that abstains might have
-    said is summed out, so a document on which all abstain has the prior. ``kept`` needs a posterior of ``least`` and no ``base_failed``.
+    however many documents there are). The posterior is the one that the estimation itself uses (see ``fit_rules``
+    for rules that abstain). ``kept`` needs a posterior of ``least`` and no ``base_failed``.
 
     Null and empty texts have no words and fail; equal rows are judged alike; null ids and other columns make no
     difference; an empty table gives no rows.
@@ -219,7 +228,7 @@ def judge(
     prior, ratios = fit_rules([(tuple(r[x] for x in names), r["count"]) for r in counts])
     odds = F.lit(prior)
     for name, r in zip(names, ratios, strict=False):
-        odds = odds + F.when(F.col(name) == 1, r[1]).when(F.col(name) == -1, r[-1]).otherwise(F.lit(0.0))
+        odds = odds + F.when(F.col(name) == 1, r[1]).when(F.col(name) == -1, r[-1]).otherwise(r[0])
     p = 1 / (1 + F.exp(-odds))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
