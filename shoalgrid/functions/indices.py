@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import operator
 
 from pyspark.sql import Column
@@ -24,6 +25,7 @@ def _log(x: Column, base: float | None = None) -> Column:
 #: What a band formula may use: operators, and functions with the number of their arguments.
 OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: _over, ast.Pow: F.pow}
 COMPARISONS = {ast.Lt: operator.lt, ast.LtE: operator.le, ast.Gt: operator.gt, ast.GtE: operator.ge, ast.Eq: operator.eq, ast.NotEq: operator.ne}
+CONSTANTS = {"pi": math.pi, "e": math.e}
 FUNCTIONS = {
     "log": (_log, 1), "log10": (lambda x: _log(x, 10.0), 1), "log2": (lambda x: _log(x, 2.0), 1), "exp": (F.exp, 1), "sqrt": (_root, 1), "abs": (F.abs, 1),
     "sin": (F.sin, 1), "cos": (F.cos, 1), "tan": (F.tan, 1), "asin": (F.asin, 1), "acos": (F.acos, 1), "atan": (F.atan, 1),
@@ -83,7 +85,7 @@ def log_ratio(a: Column, b: Column) -> Column:
 def band_math(formula: str, columns: dict[str, str]) -> Column:
     """A user's formula over named bands; what is not finite becomes 0.
 
-    Python's parser reads it, and each node becomes a column: numbers, names in ``columns``, + - * / **, unary signs,
+    Python's parser reads it, and each node becomes a column: numbers, names in ``columns``, pi and e, + - * / **, unary signs,
     comparisons, ``where(condition, a, b)``, ``clip(x, low, high)`` and the functions in FUNCTIONS. Anything else is an error.
     Dividing by zero gives NULL, so 0 in the end.
     """
@@ -93,6 +95,8 @@ def band_math(formula: str, columns: dict[str, str]) -> Column:
             return F.lit(float(node.value))
         if isinstance(node, ast.Name) and node.id in columns:
             return F.col(f"`{columns[node.id]}`").cast("double")
+        if isinstance(node, ast.Name) and node.id in CONSTANTS:
+            return F.lit(CONSTANTS[node.id])
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.USub, ast.UAdd)):
             return -of(node.operand) if isinstance(node.op, ast.USub) else of(node.operand)
         if isinstance(node, ast.BinOp) and type(node.op) in OPERATORS:

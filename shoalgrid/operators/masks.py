@@ -42,6 +42,52 @@ def water_by_quality(cells: DataFrame, by: str = "scene_id") -> DataFrame:
     return out.withColumn("strict", water_flag(invalid, water & index)).drop("_by", "_t")
 
 
+def water_mask(cells: DataFrame, method: str = "hybrid", mode: str = "permissive", quality: str | None = "scl", threshold: float | None = None, by: str = "scene_id") -> DataFrame:
+    """``cells`` with ``flag``: 1 water, 0 land, 255 what is no data, cloud, shadow, snow or saturated.
+
+    quality: the column whose class or bits say so, ``scl`` or ``qa_pixel`` (with ``qa_radsat`` where cells have it),
+    or None. method: ``qa`` takes its water alone; ``ndwi`` and ``mndwi`` an index above a threshold, the given one or each
+    scene's own by its valid cells; ``hybrid`` both: in the mode ``strict`` cells that both call water, else those that either does
+    (the index with some green). Without an index or a quality column hybrid takes what there is.
+    """
+    if method not in ("qa", "scl", "ndwi", "mndwi", "hybrid") or mode not in ("strict", "permissive") or quality not in (None, "scl", "qa_pixel"):
+        raise ValueError(f"no water mask by {method}, {mode}, {quality}")
+    if method in ("qa", "scl") and quality is None:
+        raise ValueError(f"{method} needs a quality column")
+    if quality == "scl":
+        invalid, water = qa.scl_invalid(F.col("scl")), qa.scl_water(F.col("scl"))
+    elif quality == "qa_pixel":
+        flags = qa.qa_pixel(F.col("qa_pixel"))
+        invalid, water = flags["invalid"], flags["water"]
+        if "qa_radsat" in cells.columns:
+            invalid = invalid | qa.radsat_saturated(F.col("qa_radsat"))
+    else:
+        invalid, water = F.lit(False), F.lit(False)
+    invalid, water = (F.coalesce(x, F.lit(k)) for x, k in ((invalid, True), (water, False)))
+    marked = cells.withColumn("_bad", invalid).withColumn("_aux", water)
+    other = "swir" if method == "mndwi" else "nir"
+    if method in ("qa", "scl") or not {"green", other} <= set(cells.columns):
+        if method in ("ndwi", "mndwi"):
+            raise ValueError(f"{method} needs green and {other}")
+        wet = F.col("_aux") if quality else F.lit(True)
+        return marked.withColumn("flag", water_flag(F.col("_bad"), wet)).drop("_bad", "_aux")
+    index = indices.normalized_difference(F.col("green"), F.col(other))
+    marked = marked.withColumn("_index", F.when(~F.col("_bad"), index))
+    if threshold is None:
+        limits = otsu(marked.filter("_index IS NOT NULL"), "_index", by=[by], place="middle", clip=True).select(F.col(by).alias("_by"), F.col("threshold").alias("_t"))
+        marked = marked.join(limits, marked[by].eqNullSafe(limits["_by"]), "left").withColumn("_t", F.coalesce("_t", F.lit(0.0))).drop("_by")
+    else:
+        marked = marked.withColumn("_t", F.lit(float(threshold)))
+    above = F.coalesce(F.col("_index") > F.col("_t"), F.lit(False))
+    if method != "hybrid" or quality is None:
+        wet = above
+    elif mode == "strict":
+        wet = F.col("_aux") & above
+    else:
+        wet = F.col("_aux") | (above & F.coalesce(F.col("green") > 0.005, F.lit(False)))
+    return marked.withColumn("flag", water_flag(F.col("_bad"), wet)).drop("_bad", "_aux", "_index", "_t")
+
+
 def water_stats(flagged: DataFrame, by: Sequence[str] = (), flag: str = "flag") -> DataFrame:
     """Counts and percentage of ``flag`` codes."""
     f = F.col(flag)

@@ -32,24 +32,38 @@ def aoi_coverage(scenes: DataFrame, aoi: tuple[float, float, float, float]) -> D
     return scenes.withColumn("coverage", 100.0 * w * h / ((x1 - x0) * (y1 - y0)))
 
 
-def resolve_band_asset(assets: Column, band: str, aliases: Sequence[str] = ()) -> Column:
-    """Address of a band in a map of assets: by key, alias, key in other case, or the end of a file's name."""
+def resolve_band_asset(assets: Column, band: str, aliases: Sequence[str] = (), bands: Column | None = None) -> Column:
+    """Address of a band in a map of assets: by key, alias, key in other case, a band that the asset describes, or the end of a file's name.
+
+    bands: a map of assets' keys to what they describe, arrays of structs (name, common_name).
+    """
     other = lambda f: F.element_at(F.map_values(F.map_filter(assets, f)), 1)
     first = lambda f: F.when(F.size(F.map_filter(assets, f)) > 0, other(f))
-    suffix = rf"(?i)(^|[_/]){band}\.[a-z0-9]+$"
+    short = band.upper().replace("SR_", "").replace("B0", "B")
+    names = [band.upper(), short, f"OLI_{short}", f"OLI_{band.upper()}"]
+    tells = lambda k, v: F.coalesce(F.exists(F.try_element_at(bands, k), lambda b: F.upper(b["name"]).isin(names) | (F.lower(b["common_name"]) == band.lower())), F.lit(False))
+    ends = "|".join(dict.fromkeys([band, band.removeprefix("SR_")]))
+    suffix = rf"(?i)(^|[_/])({ends})\.[a-z0-9]+$"
     return F.coalesce(
         F.try_element_at(assets, F.lit(band)),
         *[F.try_element_at(assets, F.lit(a)) for a in aliases],
         first(lambda k, v: F.lower(k).isin(band.lower(), *[a.lower() for a in aliases])),
+        *([first(tells)] if bands is not None else []),
         first(lambda k, v: v.rlike(suffix)),
     )
 
 
+#: Words in a file's name that tell its role, looked for in this order.
+CONTROL = ("control", "check", "ctrl", "residual", "datum", "error")
+VALIDATION = ("unseen", "sonar", "test", "valid", "eval", "chk", "ground")
+TRAIN = ("train", "lidar", "icesat", "atl", "bathy", "depth", "point", "survey")
+
+
 def discover(files: DataFrame) -> DataFrame:
     """(year, role, path): for each year in file names the file of each role, by the order of its key words, then by name."""
     path = F.lower("path")
     has = lambda *words: path.rlike("|".join(words))
-    role = F.when(has("control", "check"), "control").when(has("train", "lidar"), "train").otherwise("image")
+    role = F.when(has(*CONTROL), "control").when(has(*VALIDATION), "validation").when(has(*TRAIN), "train").otherwise("image")
     named = files.distinct().select("path", F.regexp_extract("path", r"(19|20)\d\d", 0).cast("int").alias("year"), role.alias("role"), F.when(has("control", "train"), 0).otherwise(1).alias("priority"))
     return named.groupBy("year", "role").agg(F.min(F.struct("priority", "path")).alias("best")).select("year", "role", "best.path")
 

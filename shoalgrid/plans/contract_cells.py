@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shoalgrid.functions import geo, indices, qa, reflectance
 from shoalgrid.operators import masks, thresholds
+from shoalgrid.sources import tables
+from shoalgrid.sources.shared import shared_dir
 from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
 
@@ -26,6 +30,14 @@ def _(spark, sf):
     return view(spark, sf, "spectra")
 
 
+@query("read_cells_in_box", "SELECT * FROM fx_spectra WHERE scene_id IN (1, 3) AND r BETWEEN 5 AND 20 AND c BETWEEN 3 AND 9", "spectra")
+def _(spark, sf):
+    """The cells written by scene and tile, and a box of two scenes read back."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    tables.write_cells(view(spark, sf, "spectra"), path, tile=8)
+    return tables.read_cells(spark, path, (5, 3, 20, 9), (1, 3), tile=8)
+
+
 @query(
     "null_if_nodata",
     "SELECT r, c, scene_id, CASE WHEN v <> -9999 AND v > -9000 AND abs(v) <= 15000 THEN v END AS value FROM (SELECT r, c, scene_id, CAST(CASE blue_dn % 4 WHEN 0 THEN -9999 WHEN 1 THEN -9500 ELSE blue_dn * (CASE WHEN blue_dn > 600 THEN 20 ELSE 1 END) END AS DOUBLE) AS v FROM fx_spectra) t",
@@ -353,6 +365,26 @@ def _(spark, sf):
     return reflected(spark, sf).select("scene_id", "r", "c", masks.water_by_three_indices().alias("water"))
 
 
+# Bits of the pixel quality: fill, dilated, cirrus, cloud, shadow and snow, and four confidences of two bits.
+_BAD = "((qa_pixel & 63) <> 0 OR ((qa_pixel >> 8) & 3) >= 2 OR ((qa_pixel >> 10) & 3) >= 2 OR ((qa_pixel >> 12) & 3) >= 2 OR ((qa_pixel >> 14) & 3) >= 2)"
+_WET = "((qa_pixel >> 7) & 1) = 1"
+
+
+@query(
+    "water_mask_methods",
+    f"""WITH {REFLECTED}, i AS (SELECT *, {_BAD} AS bad, {_WET} AS wet, {_g('green', 'nir')} > 0.05 AS n, {_g('green', 'swir')} > 0.05 AS m FROM s)
+        SELECT scene_id, r, c, CAST(CASE WHEN bad THEN 255 WHEN wet THEN 1 ELSE 0 END AS INT) AS qa, CAST(CASE WHEN bad THEN 255 WHEN coalesce(m, false) THEN 1 ELSE 0 END AS INT) AS mndwi,
+               CAST(CASE WHEN bad THEN 255 WHEN wet AND coalesce(n, false) THEN 1 ELSE 0 END AS INT) AS strict, CAST(CASE WHEN bad THEN 255 WHEN wet OR (coalesce(n, false) AND green > 0.005::DOUBLE) THEN 1 ELSE 0 END AS INT) AS permissive FROM i""",
+    "spectra",
+)
+def _(spark, sf):
+    """Landsat's pixel quality with either index: flags side by side."""
+    out = reflected(spark, sf)
+    for name, method, mode in (("qa", "qa", "strict"), ("mndwi", "mndwi", "strict"), ("strict", "hybrid", "strict"), ("permissive", "hybrid", "permissive")):
+        out = masks.water_mask(out, method, mode, "qa_pixel", 0.05).withColumnRenamed("flag", name)
+    return out.select("scene_id", "r", "c", "qa", "mndwi", "strict", "permissive")
+
+
 @query(
     "water_mask_qa",
     f"""WITH {_S0}, {_NDWI}, q AS (SELECT * FROM s WHERE scl NOT IN (0,1,3,8,9,10,11)), {_otsu(*_RANGE, 'ndwi IS NOT NULL', '-1 + (min(b) + 0.5) * 2.0::DOUBLE / 256', src='q')}

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoalgrid.functions.geo import Grid
 
+#: Rows and columns of a tile in storage: half a million cells or so a file.
+TILE_ROWS = 700
+
 NUMBERS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "bigint", "float": "double", "double": "double"}
 
 
@@ -22,6 +27,26 @@ def write_depth_product(cells: DataFrame, path: str, kind: str = "double", parti
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def write_cells(cells: DataFrame, path: str, scene: str = "scene_id", tile: int = TILE_ROWS) -> None:
+    """Cells as Parquet in a folder for each scene and square tile of ``tile`` rows and columns; a tile's rows are written by one task, sorted."""
+    at = lambda x: F.floor(F.col(x) / tile).cast("int")
+    tiled = cells.withColumn("tile_r", at("r")).withColumn("tile_c", at("c"))
+    tiled = tiled.repartition(scene, "tile_r", "tile_c").sortWithinPartitions(scene, "tile_r", "tile_c", "r", "c")
+    tiled.write.mode("overwrite").partitionBy(scene, "tile_r", "tile_c").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, box: tuple[int, int, int, int] | None = None, scenes: Sequence | None = None, scene: str = "scene_id", tile: int = TILE_ROWS) -> DataFrame:
+    """Cells of the box (r0, c0, r1, c1, both ends in) and scenes asked for; folders of other scenes and tiles aren't opened."""
+    cells = spark.read.parquet(path)
+    if scenes is not None:
+        cells = cells.filter(F.col(scene).isin(*scenes))
+    if box is not None:
+        r0, c0, r1, c1 = box
+        cells = cells.filter(F.col("tile_r").between(r0 // tile, r1 // tile) & F.col("tile_c").between(c0 // tile, c1 // tile))
+        cells = cells.filter(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
+    return cells.drop("tile_r", "tile_c")
+
+
 def depth_product(cells: DataFrame, kind: str) -> DataFrame:
     """``z`` as float, double or uint16 (in an int: not negative, rounded down, 65535 for no data)."""
     if kind == "uint16":

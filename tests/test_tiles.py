@@ -98,3 +98,16 @@ def test_shuffle_is_under_twice_the_cells(spark):
     reach = lambda x, halo=2: F.explode(F.sequence(F.floor((F.col(x) - halo) / tiles.TILE), F.floor((F.col(x) + halo) / tiles.TILE)))
     assert cells.withColumn("a", reach("r")).withColumn("b", reach("c")).count() < 1.2 * 256 * 256
     assert focal.horn_slope(cells, "z").filter("slope = 0").count() == 256 * 256
+
+
+def test_folders_of_other_tiles_are_not_read(spark, tmp_path):
+    from shoalgrid.sources import tables
+
+    cells = spark.createDataFrame([(s, r, c, float(r * c)) for s in (1, 2, None) for r in range(-8, 24) for c in range(24)], "scene_id int, r int, c int, z double")
+    tables.write_cells(cells, str(tmp_path / "cells"), tile=8)
+    box = tables.read_cells(spark, str(tmp_path / "cells"), (-3, 8, 9, 15), [2], tile=8)
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    held = plan[plan.index("PartitionFilters") :].split("PushedFilters")
+    assert "scene_id" in held[0] and "tile_r" in held[0] and "tile_c" in held[0] and "GreaterThanOrEqual(r,-3)" in held[1]
+    assert {(x.r, x.c, x.z) for x in box.collect()} == {(r, c, float(r * c)) for r in range(-3, 10) for c in range(8, 16)}
+    assert tables.read_cells(spark, str(tmp_path / "cells")).count() == cells.count()
