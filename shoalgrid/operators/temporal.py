@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoalgrid.operators.components import label
 from shoalgrid.operators.focal import binary_opening
 from shoalgrid.operators.quantiles import exact_median, exact_quantiles
 from shoalgrid.operators.thresholds import histogram, otsu_of_histogram
@@ -78,17 +79,28 @@ def significant_change(pairs: DataFrame, base: float | None = 0.15, factor: floa
     return out.withColumn("change", change).drop("_p", "_q", "_down", "base")
 
 
-def sediment_volumes(changed: DataFrame, area: float, opening: bool = True) -> DataFrame:
-    """(period, accretion_m3, erosion_m3, net_balance_m3); with ``opening`` only cells of areas that survive a 3 x 3 opening."""
+def sediment_volumes(changed: DataFrame, area: float, opening: bool = True, target: DataFrame | None = None) -> DataFrame:
+    """(period, accretion_m3, erosion_m3, net_balance_m3); with ``opening`` only cells of areas that survive a 3 x 3 opening.
+
+    ``target``: cells (r, c) of a region, whose part of the volumes is in target_accretion_m3, target_erosion_m3 and target_net_balance_m3.
+    """
     up, down = changed.filter("change = 1"), changed.filter("change = -1")
     if opening:
         keep = lambda side: side.join(binary_opening(side.select("period", "r", "c"), ["period"]), ["period", "r", "c"], "left_semi")
         up, down = keep(up), keep(down)
-    parts = up.select("period", F.col("dz").alias("a"), F.lit(0.0).alias("e")).union(down.select("period", F.lit(0.0), F.abs("dz")))
-    periods = changed.select("period").distinct()
-    sums = parts.groupBy("period").agg((F.sum("a") * area).alias("accretion_m3"), (F.sum("e") * area).alias("erosion_m3"))
-    out = periods.join(sums, "period", "left").fillna(0.0, ["accretion_m3", "erosion_m3"])
-    return out.withColumn("net_balance_m3", F.col("accretion_m3") - F.col("erosion_m3"))
+    parts = up.select("period", "r", "c", F.col("dz").alias("a"), F.lit(0.0).alias("e")).union(down.select("period", "r", "c", F.lit(0.0), F.abs("dz")))
+    periods, heads = changed.select("period").distinct(), [""]
+    sums = [F.sum("a").alias("accretion_m3"), F.sum("e").alias("erosion_m3")]
+    if target is not None:
+        heads = ["", "target_"]
+        parts = parts.join(target.select("r", "c").distinct().withColumn("_in", F.lit(True)), ["r", "c"], "left")
+        sums += [F.sum(F.when(F.col("_in"), F.col(x))).alias(f"target_{n}") for x, n in (("a", "accretion_m3"), ("e", "erosion_m3"))]
+    out = periods.join(parts.groupBy("period").agg(*sums), "period", "left")
+    for h in heads:
+        for n in ("accretion_m3", "erosion_m3"):
+            out = out.withColumn(f"{h}{n}", F.coalesce(F.col(f"{h}{n}") * area, F.lit(0.0)))
+        out = out.withColumn(f"{h}net_balance_m3", F.col(f"{h}accretion_m3") - F.col(f"{h}erosion_m3"))
+    return out
 
 
 def stability(maps: DataFrame, default_u: float = 0.4) -> DataFrame:
@@ -131,15 +143,35 @@ def year_water_mask(maps: DataFrame, shore: float = 0.5) -> DataFrame:
     return maps.join(F.broadcast(sign), F.col("year") == F.col("_y")).select("year", "r", "c", (z > shore).alias("water"))
 
 
-def shoreline_change(water: DataFrame, periods: DataFrame, area: float) -> DataFrame:
-    """(period, change_type, cells, area_m2): land that became water is erosion, water that became land accretion; no data is land."""
+def shoreline_cells(water: DataFrame, periods: DataFrame) -> DataFrame:
+    """(period, r, c, change_type): land that became water is erosion, water that became land accretion; no data is land."""
     wet = water.filter("water").select("year", "r", "c")
     p = F.broadcast(periods.select("period", "y1", "y2"))
     a = wet.join(p, wet.year == p.y1).select("period", "r", "c", F.lit(1).alias("w1"))
     b = wet.join(p, wet.year == p.y2).select("period", "r", "c", F.lit(1).alias("w2"))
     both = a.join(b, ["period", "r", "c"], "full").fillna(0, ["w1", "w2"]).filter("w1 <> w2")
     kind = F.when(F.col("w2") > F.col("w1"), "Erosion").otherwise("Accretion")
-    return both.groupBy("period", kind.alias("change_type")).agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(area))).alias("area_m2"))
+    return both.select("period", "r", "c", kind.alias("change_type"))
+
+
+def shoreline_change(water: DataFrame, periods: DataFrame, area: float) -> DataFrame:
+    """(period, change_type, cells, area_m2) over all ``shoreline_cells``."""
+    return shoreline_cells(water, periods).groupBy("period", "change_type").agg(F.count("*").alias("cells"), (F.count("*") * F.lit(float(area))).alias("area_m2"))
+
+
+def shoreline_patches(water: DataFrame, periods: DataFrame, area: float, least_m2: float = 1.0, target: DataFrame | None = None) -> DataFrame:
+    """(period, year_from, year_to, change_type, label, cells, area_m2, area_ha) of each connected area (by sides) of one change; those under ``least_m2`` are left out.
+
+    ``target``: cells (r, c) that changes count in alone.
+    """
+    changed = shoreline_cells(water, periods)
+    if target is not None:
+        changed = changed.join(target.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    labels = label(changed, ["period", "change_type"], 4)
+    size = F.count("*") * F.lit(float(area))
+    out = labels.groupBy("period", "change_type", "label").agg(F.count("*").alias("cells"), size.alias("area_m2"), (size / 10_000).alias("area_ha")).filter(F.col("area_m2") >= least_m2)
+    years = F.broadcast(periods.select("period", F.col("y1").alias("year_from"), F.col("y2").alias("year_to")))  # one row for each pair of years
+    return out.join(years, "period").select("period", "year_from", "year_to", "change_type", "label", "cells", "area_m2", "area_ha")
 
 
 def composite(cells: DataFrame, bands: Sequence[str], valid, least: int = 1) -> DataFrame:

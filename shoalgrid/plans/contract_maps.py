@@ -46,6 +46,16 @@ def _(spark, sf):
     return out.select("period", *[r6(c).alias(c) for c in ("accretion_m3", "erosion_m3", "net_balance_m3")])
 
 
+_TARGET = "r BETWEEN 4 AND 20 AND c < 16"
+
+
+@query("sediment_volumes_target", f"WITH {_CHANGE} SELECT period, {_VOLUME}, {_VOLUME.replace('accretion_m3', 'target_accretion_m3').replace('erosion_m3', 'target_erosion_m3').replace('net_balance_m3', 'target_net_balance_m3').replace('WHERE ', f'WHERE {_TARGET} AND ')} FROM x GROUP BY period", "depth")
+def _(spark, sf):
+    target = maps(spark, sf).filter(_TARGET).select("r", "c")
+    out = temporal.sediment_volumes(changed(spark, sf), AREA, opening=False, target=target)
+    return out.select("period", *[r6(c).alias(c) for c in out.columns if c != "period"])
+
+
 def _window(src, by, extra=""):
     """Erosion then dilation of the cells of ``src`` in SQL."""
     return f"""{src}e AS (SELECT {by}, a.r, a.c FROM {src} a WHERE (SELECT count(*) FROM {src} b WHERE b.{by} = a.{by} AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1) = 9),

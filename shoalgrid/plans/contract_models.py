@@ -96,6 +96,25 @@ def _(spark, sf):
     return components.drop_small(components.label(flat, _BY), 10, _BY, keep_one=False).select("year", "r", "c")
 
 
+_PERIODS = "y AS (SELECT DISTINCT year FROM fx_depth), p AS (SELECT lag(year) OVER (ORDER BY year) AS y1, year AS y2 FROM y), w AS (SELECT year, r, c FROM fx_depth WHERE -z > 5)"
+
+
+@query(
+    "shoreline_patches",
+    _sql(
+        f"""{_PERIODS}, a AS (SELECT y1, y2, w.r, w.c FROM p JOIN w ON w.year = p.y1), b AS (SELECT y1, y2, w.r, w.c FROM p JOIN w ON w.year = p.y2),
+        x AS (SELECT y1, y2, r, c, 1 AS kind FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT y1, y2, r, c, 0 FROM (SELECT * FROM a EXCEPT SELECT * FROM b)),
+        m AS (SELECT y1 * 2 + kind AS year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM x WHERE y1 IS NOT NULL), {_reach('m', 'q', _FOUR)}
+        SELECT y1 || '-' || y2 AS period, y1 AS year_from, y2 AS year_to, CASE q_l.year % 2 WHEN 1 THEN 'Erosion' ELSE 'Accretion' END AS change_type, label, count(*) AS cells, count(*) * 100.0::DOUBLE AS area_m2, count(*) / 100.0::DOUBLE AS area_ha
+        FROM q_l JOIN p ON p.y1 = q_l.year // 2 GROUP BY ALL HAVING count(*) * 100 >= 300"""
+    ),
+)
+def _(spark, sf):
+    wet = temporal.year_water_mask(maps(spark, sf), 5.0)
+    periods = temporal.change_periods(maps(spark, sf).select("year").distinct()).filter("kind = 'Sequential'")
+    return temporal.shoreline_patches(wet, periods, 100.0, 300.0)
+
+
 @query("water_mask_hybrid", None)
 def _(spark, sf):
     return jobs.hybrid_water(reflected(spark, sf), grid_bounds(), by=_SCENE)

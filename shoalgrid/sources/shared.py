@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; the warehouse, shared as well, where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/shoalgrid"
+    """``spark.checkpoint.dir`` of the session. Where that is unset the warehouse, which only a local session may fall back to."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/shoalgrid"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
