@@ -216,7 +216,7 @@ def judge(
 
     Rules vote on measured rates or abstain. How often each vote comes with good and with bad documents is
     estimated by expectation-maximisation over the counts of all vote patterns (3 to the number of rules at most,
-    however many documents there are). The posterior is the one that the estimation itself uses (see ``fit_rules``
+    however many documents there are); documents that fail the base rule are decided without it and left out. The posterior is the one that the estimation itself uses (see ``fit_rules``
     for rules that abstain). ``kept`` needs a posterior of ``least`` and no ``base_failed``.
 
     Null and empty texts have no words and fail; equal rows are judged alike; null ids and other columns make no
@@ -224,7 +224,7 @@ def judge(
     """
     rows = written(measured(docs, id_col, text_col).select("*", *_votes(rules)), "quality")
     names = list(rules)
-    counts = rows.filter("n_words > 0").groupBy(*names).count().collect()
+    counts = rows.filter("n_words > 0 AND NOT base_failed").groupBy(*names).count().collect()
     prior, ratios = fit_rules([(tuple(r[x] for x in names), r["count"]) for r in counts])
     odds = F.lit(prior)
     for name, r in zip(names, ratios, strict=False):
