@@ -47,6 +47,8 @@ def test_equals_sql(spark, duck, name):
         assert a == pytest.approx(b, rel=1e-6, abs=1e-6, nan_ok=True) if all(isinstance(x, (int, float)) for x in (*a, *b)) else a == b
 
 
-@pytest.mark.parametrize("name", ["slope_filter", "osw_knee", "job_coastal_change", "predict_cells_forest"])
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
+@pytest.mark.parametrize("name", ["job_coastal_change", "predict_cells_forest", "osw_cluster", "huber_depth_correction"])
+def test_gives_rows(spark, name):
+    """Queries without SQL whose parts are tested elsewhere have rows, and every row a value."""
+    rows = QUERIES[name](spark, DATA).collect()
+    assert rows and all(v is not None for r in rows for v in r)
