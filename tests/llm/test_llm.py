@@ -372,35 +372,6 @@ def test_quality(docs, rows, none):
     assert quality.judge(none).count() == 0
 
 
-def test_quality_is_the_fitted_posterior(spark):
-    """The query's posteriors, fed to one more step of counting and Bayes' rule document by document, come back as they are; so do its verdicts."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    got = {r.doc_id: r for r in quality.judge(docs).collect()}
-    names = list(quality.RULES)
-    votes = {r.doc_id: tuple(r[n] for n in names) for r in quality.measured(docs, "doc_id", "text").select("*", *quality._votes(quality.RULES)).filter("n_words > 0 AND NOT base_failed").collect()}
-    assert len(votes) > 130
-    usual = {1: ((0.01, 0.14, 0.85), (0.01, 0.84, 0.15)), -1: ((0.02, 0.97, 0.01), (0.25, 0.74, 0.01)), 0: ((0.02, 0.38, 0.6), (0.25, 0.6, 0.15))}
-    like = []
-    for j in range(len(names)):
-        kinds = {v[j] for v in votes.values()} - {0}
-        counts = [[20 * p for p in side] for side in usual[sum(kinds)]]
-        for k, v in votes.items():
-            counts[0][v[j] + 1] += got[k].quality
-            counts[1][v[j] + 1] += 1 - got[k].quality
-        if kinds in ({1}, {-1}):
-            like.append([[c / sum(side) for c in side] for side in counts])
-        else:  # not to vote says nothing
-            like.append([[side[0] / (side[0] + side[2]), 1.0, side[2] / (side[0] + side[2])] for side in counts])
-    good = (sum(got[k].quality for k in votes) + 20 * 0.85) / (len(votes) + 20)
-    for k, v in votes.items():
-        a = good * math.prod(like[j][0][x + 1] for j, x in enumerate(v))
-        b = (1 - good) * math.prod(like[j][1][x + 1] for j, x in enumerate(v))
-        assert got[k].quality == pytest.approx(a / (a + b), abs=1e-4), k
-        assert got[k].kept == (not got[k].base_failed and got[k].quality >= 0.5)
-    with pytest.raises(RuntimeError):
-        quality.fit_rules([((1, 0), 10), ((-1, 1), 5)], rounds=1)
-
-
 def test_quality_of_odd_spaces_and_equal_hashes(spark, monkeypatch):
     """Only the six white-space characters are blank; windows of one hash are told apart by their words."""
     texts = [(1, "\u0085\n\u0085\n\u2028\na b\n \x0b\n \x0b"), (2, "a b c x a b c y " * 3 + "z"), (3, " ".join(f"w{i}" for i in range(60)) + " w7 w8 w9"), (4, "p q r s")]
