@@ -16,12 +16,13 @@ def _to_minimum(pairs: DataFrame) -> DataFrame:
     """(u, v) rows to (u, v, m): m is the smallest of u and all v of that u.
 
     A hub's rows go by (u, salt of v): each salt's minimum is found first, then that of at most ``SALTS`` rows of a
-    node, which goes back to the rows by the same two columns, so no task holds all links of a hub.
+    node, which goes back to the rows by the same two columns, so no task holds all links of a hub. The minima grow
+    with the rows, so that join is by shuffle at every size.
     """
     pairs = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     least = pairs.groupBy("u", "s").agg(F.min("v").alias("m"))
     least = least.select("u", "s", F.least("u", F.min("m").over(Window.partitionBy("u"))).alias("m"))
-    return pairs.join(least, ["u", "s"]).drop("s")
+    return pairs.join(least.hint("merge"), ["u", "s"]).drop("s")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

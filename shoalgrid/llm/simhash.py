@@ -78,10 +78,10 @@ def links(fps: DataFrame) -> DataFrame:
     """
     variants = _variants(fps)
     crowded = variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = written(variants.join(crowded, "key"), "buckets")
+    crowded = written(variants.join(crowded.hint("merge"), "key"), "buckets")
     few = crowded.filter(F.col("n") <= PAIR_BUCKET)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
-    pairs = a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
+    pairs = a.join(b.hint("merge"), "key").filter((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
     many = crowded.filter(F.col("n") > PAIR_BUCKET).select("fp").distinct()
     near = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     around = many.select("fp", F.explode(near).alias("bit")).select(F.col("fp").bitwiseXOR(F.col("bit")).alias("word"), "fp")
@@ -95,6 +95,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints of ``width``-word shingles are grouped first, so exact copies never meet as pairs. Rows of one
     fingerprint are dealt to many tasks by a salt, both to find their smallest id and to get their component.
+    Both sides of each join grow with the documents, so all are by shuffle at every size: the driver holds none.
 
     Null, empty and blank texts have fingerprint zero and link like any other; equal rows each come back; a null id
     is returned and takes the component of its fingerprint (null if that has no id at all); other columns are
@@ -105,11 +106,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shares = written(prints.groupBy("fp", "salt").agg(F.min("doc_id").alias("first_id")), "shares")
     groups = written(shares.groupBy("fp").agg(F.min("first_id").alias("first_id")), "groups")
     roots = written(connected_components(links(groups.select("fp"))), "roots")
-    rooted = groups.join(roots, groups.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = groups.join(roots.hint("merge"), groups.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = rooted.withColumn("s", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
     least = rooted.groupBy("root", "s").agg(F.min("first_id").alias("first_id"))
     least = least.select("root", "s", F.min("first_id").over(Window.partitionBy("root")).alias("component_id"))
-    firsts = rooted.join(least, ["root", "s"]).select("fp", "component_id")
-    firsts = written(shares.select("fp", "salt").join(firsts, "fp"), "components")
+    firsts = rooted.join(least.hint("merge"), ["root", "s"]).select("fp", "component_id")
+    firsts = written(shares.select("fp", "salt").join(firsts.hint("merge"), "fp"), "components")
     fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(firsts, ["fp", "salt"]).select("doc_id", fingerprint, "component_id")
+    return prints.join(firsts.hint("merge"), ["fp", "salt"]).select("doc_id", fingerprint, "component_id")

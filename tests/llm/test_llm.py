@@ -535,6 +535,22 @@ def test_simhash_links(spark, monkeypatch, bucket):
     assert {k: roots.get(k, k) for k in signed} == want
 
 
+def test_simhash_joins_by_shuffle(docs, monkeypatch):
+    """No join of the near-duplicates goes through the driver, small as the tables are here: all of them grow with the documents."""
+    from shoalgrid.llm import components
+
+    plans = []
+
+    def noted(df, *args, own=simhash.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, *args)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    noted(simhash.near_duplicates(docs), "last")
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_secrets(docs, rows, none, spark):
     got = by_id(secrets.scan(docs))
     assert (got[11][0].n_assign, got[11][0].n_hex, got[11][0].n_access) == (1, 1, 0)
