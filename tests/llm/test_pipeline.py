@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from shoalgrid.llm import mixing, quality, secrets
+from shoalgrid.llm import components, mixing, quality, secrets, simhash
 from tests.llm.test_llm import DATA, brute_simhash, components_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +60,18 @@ def test_rows_without_id(spark):
     item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 100").first().text
     held = [(None, good["a"]), (None, f"x {item} y"), (7, good["b"]), (7, item)]
     assert left("benchmark decontamination", held) == sorted([(None, good["a"]), (7, good["b"])], key=str)
+
+
+def test_near_dedup_joins_by_shuffle(spark, monkeypatch):
+    """Stage 2 sends no table through the driver: fingerprints, links and keys grow with the documents."""
+    plans = []
+
+    def noted(df, *args, own=simhash.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, *args)
+
+    for module in (simhash, components, corpus_pipeline):
+        monkeypatch.setattr(module, "written", noted)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    noted(corpus_pipeline.simhash_near_dedup(spark, docs, DATA), "stage")
+    assert sum("SortMergeJoin" in p for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
