@@ -76,3 +76,74 @@ def test_search(spark, rows):
     assert [all_folds[k].folds for k in range(4)] == [4] * 4 and (all_folds[0].best or all_folds[2].best) and all_folds[1].r2 < all_folds[0].r2
     halved = {r.candidate: r for r in crossfit.search(rows, ["a", "b"], "ridge", candidates, folds=4, halving=True).collect()}
     assert sorted(r.folds for r in halved.values()) == [1, 1, 2, 4] and sum(r.best for r in halved.values()) == 1 and halved[3].folds == 1
+
+
+@pytest.fixture(scope="module")
+def surveyed(spark):
+    """Many soundings a cell: 108 pairs of features, each in both of two folds of tiles, 4,800 rows."""
+    r = random.Random(4)
+    data = []
+    for k in range(4800):
+        i, j = r.randrange(12), r.randrange(9)
+        data.append((k, 8 * (k % 2) + i % 8, j % 8, i / 12, j / 9, -3.0 * i / 12 - (j / 9) ** 2 + r.gauss(0, 0.4)))
+    return spark.createDataFrame(data, "k long, r int, c int, a double, b double, depth double").repartition(3).cache()
+
+
+def fitted_to_all(model, learn):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    return Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), model]).fit(learn)
+
+
+def test_condensed_fits_are_those_of_all_rows(surveyed):
+    few = models.condensed(surveyed, ["a", "b"])
+    n, w, s, q = few.agg(F.count("*"), F.sum("_w"), F.sum(F.col("_w") * F.col("depth")), F.sum(F.col("_w") * F.col("depth") * F.col("depth"))).first()
+    assert n <= 216 and (w, s, q) == pytest.approx(surveyed.agg(F.count("*"), F.sum("depth"), F.sum(F.col("depth") * F.col("depth"))).first())
+    fitted = models.fit(surveyed, ["a", "b"], models.BY_MOMENTS)
+    cells = surveyed.select("a", "b").distinct()
+    for name in models.BY_MOMENTS:
+        want = {(r.a, r.b): r.y_pred for r in fitted_to_all(models.registry()[name], surveyed).transform(cells).collect()}
+        got = {(r.a, r.b): r.y_pred for r in fitted[name].transform(cells).collect()}
+        assert got == {k: pytest.approx(v, rel=1e-6, abs=1e-6) for k, v in want.items()}, name
+    weighed = surveyed.withColumn("w", 1.0 + F.col("k") % 3)
+    line = models.fit(weighed, ["a", "b"], ["linear"], weight="w")["linear"].stages[-1]
+    assert line.coefficients.toArray() == pytest.approx(fitted_to_all(models.registry(weight="w")["linear"], weighed).stages[-1].coefficients.toArray())
+
+
+def test_search_on_condensed_rows_scores_all_rows(surveyed):
+    """R2 and the least soundings of a node are those of all rows, also where they leave no split."""
+    candidates = [{"maxDepth": 4, "minInstancesPerNode": m} for m in (1, 90, 400, 5000)]
+    got = {r.candidate: r.r2 for r in crossfit.search(surveyed, ["a", "b"], "tree", candidates, folds=2).collect()}
+    marked = models.tile_folds(surveyed, 2)
+    for k, own in enumerate(candidates):
+        scores = []
+        for fold in (0, 1):
+            model = models.registry()["tree"]
+            found = fitted_to_all(model.copy({model.getParam(p): v for p, v in own.items()}), marked.filter(F.col("fold") != fold)).transform(marked.filter(F.col("fold") == fold))
+            scores.append(crossfit.regression_metrics(found.withColumnRenamed("depth", "y_true")).first()["r2"])
+        assert got[k] == pytest.approx(sum(scores) / 2, abs=1e-9)
+
+
+def test_places_are_clustered_by_weight(spark, surveyed):
+    """Each row is in the cluster of its place, and clusters hold their nearest rows."""
+    marked = models.kmeans_folds(surveyed, 3).select("r", "c", "fold").collect()
+    centres = {f: [sum(x) / len(x) for x in zip(*[(m.r, m.c) for m in marked if m.fold == f])] for f in {m.fold for m in marked}}
+    assert len(marked) == 4800 and len(centres) == 3
+    near = [min(centres, key=lambda f: (m.r - centres[f][0]) ** 2 + (m.c - centres[f][1]) ** 2) == m.fold for m in marked]
+    assert sum(near) > 4600
+
+
+def test_permutations_are_plans_of_their_own(spark, surveyed, monkeypatch):
+    """One permutation a plan, joined by shuffle, so the driver's share doesn't grow with features, repeats or rows."""
+    plans, own = [], crossfit.regression_metrics
+
+    def noted(pairs, *args):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return own(pairs, *args)
+
+    monkeypatch.setattr(crossfit, "regression_metrics", noted)
+    line = models.fit(surveyed, ["a", "b"], ["linear"])["linear"]
+    got = {r.feature: r.importance for r in crossfit.permutation_importance(line, surveyed, ["a", "b"], "k").collect()}
+    assert sum(got.values()) == pytest.approx(1.0) and got["a"] > got["b"] > 0
+    assert len(plans) == 7 and all(p.count("- Window [") <= 4 and "Union" not in p for p in plans) and all("SortMergeJoin" in p for p in plans[1:])
