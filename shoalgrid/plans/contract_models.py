@@ -15,6 +15,7 @@ from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, pts, sampled
 from shoalgrid.plans import fixtures
 from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
+from shoalgrid.sources.shared import written
 
 _M = "m AS (SELECT year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE z < -14)"
 
@@ -208,7 +209,7 @@ def _(spark, sf):
 
 @query("predict_cells_forest", None)
 def _(spark, sf):
-    model = models.fit(sampled(spark, sf), _FEATURES, ["forest"])["forest"]
+    model = models.fit(written(sampled(spark, sf).select("depth", *_FEATURES), "rows"), _FEATURES, ["forest"])["forest"]
     return models.predict(model, reflected(spark, sf), _FEATURES).select("scene_id", "r", "c", "y_pred")
 
 
