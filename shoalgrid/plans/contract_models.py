@@ -11,11 +11,10 @@ from shoalgrid.operators.quantiles import exact_median
 from shoalgrid.plans import depth_jobs, jobs
 from shoalgrid.plans.contract_cells import REFLECTED, reflected
 from shoalgrid.plans.contract_maps import SLOPES, grid_bounds, maps
-from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, pts, sampled
+from shoalgrid.plans.contract_points import _FEATURES, _SAMPLED, counted, pts, sampled
 from shoalgrid.plans import fixtures
 from shoalgrid.plans.fixtures import view
 from shoalgrid.plans.registry import query, r6
-from shoalgrid.sources.shared import written
 
 _M = "m AS (SELECT year, r, c, CAST(r AS BIGINT) * 2147483648 + c AS node FROM fx_depth WHERE z < -14)"
 
@@ -204,12 +203,12 @@ def _(spark, sf):
 
 @query("fit_models", None)
 def _(spark, sf):
-    return crossfit.cross_scores(sampled(spark, sf), _FEATURES)
+    return crossfit.cross_scores(counted(spark, sf), _FEATURES, count="_n")
 
 
 @query("predict_cells_forest", None)
 def _(spark, sf):
-    model = models.fit(written(sampled(spark, sf).select("depth", *_FEATURES), "rows"), _FEATURES, ["forest"])["forest"]
+    model = models.fit(counted(spark, sf), _FEATURES, ["forest"], count="_n")["forest"]
     return models.predict(model, reflected(spark, sf), _FEATURES).select("scene_id", "r", "c", "y_pred")
 
 

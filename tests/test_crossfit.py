@@ -147,3 +147,77 @@ def test_permutations_are_plans_of_their_own(spark, surveyed, monkeypatch):
     got = {r.feature: r.importance for r in crossfit.permutation_importance(line, surveyed, ["a", "b"], "k").collect()}
     assert sum(got.values()) == pytest.approx(1.0) and got["a"] > got["b"] > 0
     assert len(plans) == 7 and all(p.count("- Window [") <= 4 and "Union" not in p for p in plans) and all("SortMergeJoin" in p for p in plans[1:])
+
+
+def test_poisson_draws_follow_from_their_marks():
+    """Means and variances of draws of small and large means; a mark gives one number wherever it stands."""
+    import numpy as np
+
+    from shoalgrid.operators.bootstrap import poisson_draws
+
+    marks = np.random.Generator(np.random.PCG64(1)).integers(-(1 << 63), 1 << 63, 4000, dtype=np.int64)
+    for mean in (1.0, 7.0, 64.0, 65.0, 3000.0):
+        got = poisson_draws(marks, np.full(4000, mean))
+        assert abs(got.mean() - mean) < 5 * (mean / 4000) ** 0.5 and abs(got.var() / mean - 1) < 0.15
+        assert (poisson_draws(marks[::-1], np.full(4000, mean))[::-1] == got).all()
+    assert list(poisson_draws(np.array([-(1 << 63), -1, 0], dtype=np.int64), np.array([1.0, 1.0, 0.5]))[[0, 2]]) == [1, 0]
+
+
+def test_forests_are_grown_on_bootstraps_of_all_soundings(spark, surveyed, monkeypatch):
+    """A tree's bootstrap has as many soundings as there are, give or take, whether rows are counted or not, and the rows that fits read have no more rows than cells."""
+    alike = models.tally(surveyed, ["a", "b", "depth"])
+    drawn = models.bagged(alike, ["a", "b"]).groupBy("_tree").agg(F.sum("_w").alias("w"), F.count("*").alias("n")).collect()
+    assert len(drawn) == models.TREES and all(abs(d.w - 4800) < 350 and d.n <= 216 for d in drawn) and len({d.w for d in drawn}) > 15
+    again = models.bagged(alike.repartition(7), ["a", "b"]).groupBy("_tree").agg(F.sum("_w").alias("w")).collect()
+    assert {(d["_tree"], d.w) for d in drawn} == {(d["_tree"], d.w) for d in again}
+    fold = models.tile_folds(surveyed, 2)
+    mean = {(r.a, r.b): r.m for r in surveyed.groupBy("a", "b").agg(F.avg("depth").alias("m")).collect()}
+    forest = models.fit(fold, ["a", "b"], ["forest"])["forest"]
+    own = {(r.a, r.b): r.y_pred for r in forest.transform(surveyed.select("a", "b").distinct()).collect()}
+    want = {(r.a, r.b): r.y_pred for r in fitted_to_all(models.registry()["forest"], surveyed).transform(surveyed.select("a", "b").distinct()).collect()}
+    off = lambda p: (sum((p[k] - mean[k]) ** 2 for k in mean) / len(mean)) ** 0.5
+    assert off(own) < 1.3 * off(want) + 0.05 and sum(forest.stages[-1].featureImportances.toArray()) == pytest.approx(1.0)
+
+
+def test_counted_rows_score_as_all_rows(spark, surveyed, monkeypatch):
+    """Soundings rounded to a step, once as rows and once as counted rows: every model's metrics are the same, and fits read reduced tables only."""
+    rows = surveyed.withColumn("depth", F.round("depth", 1))
+    read, own = [], models.prepared
+
+    def noted(x, *args, **kwargs):
+        read.append(x.count())
+        return own(x, *args, **kwargs)
+
+    monkeypatch.setattr(models, "prepared", noted)
+    names = ["linear", "huber", "forest"]
+    all_rows = {r.model: r for r in crossfit.cross_scores(rows, ["a", "b"], names, folds=2, kind="tiles").collect()}
+    few = models.tally(rows, ["r", "c", "a", "b", "depth"])
+    counted = {r.model: r for r in crossfit.cross_scores(few, ["a", "b"], names, folds=2, kind="tiles", count="_n").collect()}
+    assert set(read) == {few.count()} and few.count() < 3600
+    for name in names:
+        assert all_rows[name].n == counted[name].n == 4800
+        assert counted[name].asDict() == {k: v if k in ("model", "n") else pytest.approx(v, rel=1e-6, abs=1e-6) for k, v in all_rows[name].asDict().items()}
+    marked, e = models.tile_folds(rows, 2), []
+    for fold in (0, 1):
+        huber = fitted_to_all(models.registry()["huber"], marked.filter(F.col("fold") != fold))
+        e += [r.depth - r.y_pred for r in huber.transform(marked.filter(F.col("fold") == fold)).collect()]
+    assert counted["huber"].mae == pytest.approx(sum(map(abs, e)) / 4800, rel=1e-3)
+
+
+def test_soundings_are_joined_once(spark, surveyed):
+    """A search, a stack and scores read the rows they are given once, however many folds, rounds and models there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = surveyed.mapInArrow(note, surveyed.schema)
+    for run in (
+        lambda: crossfit.search(rows, ["a", "b"], "tree", [{"maxDepth": 2}, {"maxDepth": 3}], folds=4, kind="kmeans", halving=True),
+        lambda: crossfit.stacked(rows, surveyed.drop("depth"), ["a", "b"], ["linear", "tree"], folds=3)[1],
+        lambda: crossfit.cross_scores(rows, ["a", "b"], ["linear", "forest"], folds=3),
+    ):
+        before = seen.value
+        assert run().count() > 0 and seen.value - before == 4800
