@@ -224,7 +224,7 @@ def _(spark, sf):
 
 @query("grid_search", None)
 def _(spark, sf):
-    return crossfit.search(sampled(spark, sf), _FEATURES, "elastic_net", crossfit.grid({"regParam": [0.01, 0.1, 0.5], "elasticNetParam": [0.0, 1.0]}), folds=2)
+    return crossfit.search(counted(spark, sf), _FEATURES, "elastic_net", crossfit.grid({"regParam": [0.01, 0.1, 0.5], "elasticNetParam": [0.0, 1.0]}), folds=2, count="_n")
 
 
 @query("random_search", None)
