@@ -230,7 +230,7 @@ def _(spark, sf):
 @query("random_search", None)
 def _(spark, sf):
     space = {"maxDepth": [2, 6], "minInstancesPerNode": [1, 20], "minInfoGain": [0.0, 0.1]}
-    return crossfit.search(counted(spark, sf), _FEATURES, "tree", crossfit.draws(space, 8), folds=4, kind="kmeans", halving=True, count="_n")
+    return crossfit.search(counted(spark, sf), _FEATURES, "tree", crossfit.draws(space, 8), folds=4, kind="kmeans", count="_n", refit=True)[0]
 
 
 @query("huber_depth_correction", None)

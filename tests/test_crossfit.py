@@ -221,3 +221,47 @@ def test_soundings_are_joined_once(spark, surveyed):
     ):
         before = seen.value
         assert run().count() > 0 and seen.value - before == 4800
+
+
+def test_random_search_scores_every_candidate_on_every_fold(spark):
+    """No draw is given up after some folds; the first of the best by the mean of all folds is fitted to all rows."""
+    from shoalgrid.plans import contract
+
+    got = sorted(contract.queries()["random_search"](spark, "/root/testdata/sf0.001").collect())
+    assert [r.candidate for r in got] == list(range(8)) and [r.folds for r in got] == [4] * 8
+    top = max(round(r.r2, 12) for r in got)
+    assert [r.candidate for r in got if r.best] == [next(r.candidate for r in got if round(r.r2, 12) == top)]
+    assert all((r.r2_refit is not None) == r.best for r in got) and next(r for r in got if r.best).r2_refit >= -1e-9
+
+
+def test_a_late_winner_is_found(spark):
+    """A candidate that is the worst on the first fold, which is noise, and the best on all of them wins; halving gives it up."""
+    data = [(8 * fold + i % 8, 0, i / 40, (-10.0 if i < 20 else 10.0) if fold else (-20.0 if i % 2 else 20.0)) for fold in range(4) for i in range(40)]
+    rows = spark.createDataFrame(data, "r int, c int, a double, depth double")
+    candidates = [{"maxDepth": 0}, {"maxDepth": 0}, {"maxDepth": 1}]
+    whole = {r.candidate: r for r in crossfit.search(rows, ["a"], "tree", candidates, folds=4).collect()}
+    halved = {r.candidate: r for r in crossfit.search(rows, ["a"], "tree", candidates, folds=4, halving=True).collect()}
+    assert [whole[k].folds for k in range(3)] == [4] * 3 and [k for k in whole if whole[k].best] == [2] and whole[2].r2 > 0.5
+    assert halved[2].folds == 1 and [k for k in halved if halved[k].best] == [0]
+
+
+def test_the_best_candidate_is_fitted_to_all_rows(spark, surveyed):
+    candidates = [{"maxDepth": 1}, {"maxDepth": 4, "minInstancesPerNode": 90}, {"maxDepth": 0}]
+    table, model = crossfit.search(surveyed, ["a", "b"], "tree", candidates, folds=2, refit=True)
+    got = {r.candidate: r for r in table.collect()}
+    best = models.registry()["tree"]
+    want = fitted_to_all(best.copy({best.getParam(p): v for p, v in candidates[1].items()}), surveyed)
+    cells = surveyed.select("a", "b").distinct()
+    known = {(r.a, r.b): r.y_pred for r in want.transform(cells).collect()}
+    assert {(r.a, r.b): r.y_pred for r in model.transform(cells).collect()} == {k: pytest.approx(v) for k, v in known.items()}
+    r2 = crossfit.regression_metrics(want.transform(surveyed).withColumnRenamed("depth", "y_true")).first().r2
+    assert got[1].best and got[1].r2_refit == pytest.approx(r2) and got[0].r2_refit is got[2].r2_refit is None
+    plain = crossfit.search(surveyed, ["a", "b"], "tree", candidates, folds=2)
+    assert plain.columns == table.columns[:-1] and {r.candidate: r.r2 for r in plain.collect()} == {k: pytest.approx(r.r2) for k, r in got.items()}
+
+
+def test_lists_alone_are_drawn_without_replacement():
+    space = {"a": ["x", "y", "z"], "b": [3, 1], "c": [1, 2, 4]}
+    some = crossfit.draws(space, 12)
+    assert len(some) == 12 == len({tuple(d.values()) for d in some}) and some == crossfit.draws(space, 12) != crossfit.draws(space, 12, 7)
+    assert sorted(crossfit.draws(space, 100), key=str) == sorted(crossfit.grid(space), key=str)
